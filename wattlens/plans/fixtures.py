@@ -5,7 +5,12 @@ Every view reads its whole table; the mappings only rename and compute columns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..operators import capacity as cap, reports as rep, validation as val
+from ..operators.panel import PanelOptions, build_segments
+from ..operators.tallies import tally
+from ..session import materialise
 
 # Bounds that hold every report of the given tables.
 START, END = "1995-01-01 00:00:00", "2002-01-01 00:00:00"
@@ -91,3 +96,60 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.join(u, "unit_eic").selectExpr(
         "*", "area AS area_code", "'BZN' AS area_type", "area AS map_code",
         "cast(NULL AS double) AS installed_capacity", "plant_type_code AS plant_type")
+
+
+# --- shared intermediates ---------------------------------------------------------------
+# Many queries start from the same cleaned reports or the same panel. As in production,
+# these are built once per session and input and read back from the shared folder.
+
+_built: dict = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _built:
+        _built[key] = materialise(make())
+    return _built[key]
+
+
+OPTIONS = PanelOptions(reactive_extension=False)
+
+
+def intervals(spark, sf_dir):
+    return _once(spark, sf_dir, "intervals", lambda: cap.active_intervals(capacity(spark, sf_dir)))
+
+
+def lookup(spark, sf_dir):
+    return intervals(spark, sf_dir).select(
+        F.lit("eic").alias("key_kind"), F.col("unit_eic").alias("key"), "valid_from", "valid_to",
+        F.col("unit_installed_capacity").alias("mw"))
+
+
+def prepared(spark, sf_dir):
+    key = (spark.sparkContext.applicationId, sf_dir, "prepared")
+    if key not in _built:
+        _built[key] = rep.prepare_reports(
+            reports(spark, sf_dir), start=START, end=END, lookup=lookup(spark, sf_dir), check_areas=False)
+    return _built[key]
+
+
+def clean(spark, sf_dir):
+    return prepared(spark, sf_dir).clean
+
+
+def segments(spark, sf_dir):
+    return _once(spark, sf_dir, "segments", lambda: build_segments(clean(spark, sf_dir), START, END, OPTIONS))
+
+
+def tallies(spark, sf_dir):
+    tables(spark, sf_dir)
+    return tally(segments(spark, sf_dir))
+
+
+def gen(spark, sf_dir):
+    return _once(spark, sf_dir, "gen", lambda: generation(spark, sf_dir))
+
+
+def compared(spark, sf_dir):
+    """Restricted panel intervals with the capacities used for comparison."""
+    return val.restricted(val.compared_capacity(segments(spark, sf_dir)))
