@@ -32,8 +32,8 @@ def query(name: str, sql: str | None = None):
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round doubles so that summation order cannot show."""
-    return df.select(*[F.round(f.name, digits).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema])
+    """Round doubles so that summation order cannot show (the shift keeps exact ties apart)."""
+    return df.select(*[F.round(F.col(f.name) + 1e-9, digits).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema])
 
 
 # --- reports and capacity ---------------------------------------------------------------
@@ -220,7 +220,7 @@ TALLY = [*tl.FULL, *tl.PARTIAL]
 
 
 @query("unit_tallies", chain("tal") + """SELECT unit_eic AS eic_code, date_trunc('month', h) AS month, CAST(sum(CASE WHEN active THEN 1 ELSE 0 END) AS BIGINT) AS active_hours, """ + ", ".join(
-    f"CAST(sum({c}) AS BIGINT) AS {c}" for c in tl.FULL) + ", " + ", ".join(f"round(sum({c}), 6) AS {c}" for c in tl.PARTIAL) + " FROM tal GROUP BY 1, 2")
+    f"CAST(sum({c}) AS BIGINT) AS {c}" for c in tl.FULL) + ", " + ", ".join(f"round(sum({c}) + 1e-9, 6) AS {c}" for c in tl.PARTIAL) + " FROM tal GROUP BY 1, 2")
 def unit_tallies(spark, d):
     h = runs.hours_col()
     return rounded(fx.tallies(spark, d).groupBy("eic_code", F.date_trunc("month", "seg_start").alias("month")).agg(
@@ -264,15 +264,15 @@ def _kpi_sql(period: str, select: str, group: str = "") -> str:
 
 
 def _q(n: str, den: str, alias: str) -> str:
-    return f"round(CASE WHEN {den} > 0 THEN ({n}) / ({den}) END, 6) AS {alias}"
+    return f"round(CASE WHEN {den} > 0 THEN CAST({n} AS DOUBLE) / ({den}) END + 1e-9, 6) AS {alias}"
 
 
-_BLOCK_SELECT = "SELECT country, plant_type_code, unit_name, eic_code, period_key, ACTH, round(AH, 6) AS AH, round(EAH, 6) AS EAH, " + ", ".join([
-    *(f"round({c}, 6) AS {c}" for c in TALLY), *(f"N_{e}, TOT_{e}_h" for e in kpis.EVENTS),
+_BLOCK_SELECT = "SELECT country, plant_type_code, unit_name, eic_code, period_key, ACTH, round(AH + 1e-9, 6) AS AH, round(EAH + 1e-9, 6) AS EAH, " + ", ".join([
+    *(f"round({c} + 1e-9, 6) AS {c}" for c in TALLY), *(f"N_{e}, TOT_{e}_h" for e in kpis.EVENTS),
     _q("AH", "ACTH", "AF"), _q("EAH", "ACTH", "EAF"), _q("POH + MOH + FOH", "ACTH", "TOF"), _q("EAH", "ACTH", "ESF"),
     *(_q(f"{k}OH", "ACTH", f"{k}OF") for k in "PMFUS"), *(_q(f"{k}OH + E{k}DH", "ACTH", f"E{k}OF") for k in "PMFUS"),
     *(_q(f"{k}OH", f"AH + {k}OH", f"{k}OR") for k in "PMFUS"), *(_q(f"{k}OH + E{k}DH", f"AH + {k}OH + E{k}DH", f"E{k}OR") for k in "PMFUS"),
-    _q("EFD_S", "EFD_H", "EFD_mw_mean"), "round(sqrt(greatest(EFD_Q / nullif(EFD_H, 0) - (EFD_S / nullif(EFD_H, 0)) * (EFD_S / nullif(EFD_H, 0)), 0)), 4) AS EFD_mw_std",
+    _q("EFD_S", "EFD_H", "EFD_mw_mean"), "round(CASE WHEN EFD_H > 0 THEN sqrt(greatest(EFD_Q / EFD_H - (EFD_S / EFD_H) * (EFD_S / EFD_H), 0)) END + 1e-4, 2) AS EFD_mw_std",
     _q("N_EFO", "TOT_EFO_h", "RR_efo_h"), _q("N_EFO", "AH", "FR_efo_h"), _q("N_UO", "TOT_UO_h", "RR_un_h"), _q("N_SO", "TOT_SO_h", "RR_so_h"),
     _q("cap_mwh", "ACTH", "cap_weight_MW")]) + " FROM k3"
 _BLOCK_COLS = ["country", "plant_type_code", "unit_name", "eic_code", "period_key", "ACTH", "AH", "EAH", *TALLY,
@@ -284,7 +284,7 @@ _BLOCK_COLS = ["country", "plant_type_code", "unit_name", "eic_code", "period_ke
 def _block_query(period: str):
     def run(spark, d):
         b = kpis.block_kpis(fx.tallies(spark, d), period).select(*_BLOCK_COLS)
-        return rounded(b.withColumn("EFD_mw_std", F.round("EFD_mw_std", 4)))
+        return rounded(b.withColumn("_s", F.round(F.col("EFD_mw_std") + 1e-4, 2)).drop("EFD_mw_std")).withColumnRenamed("_s", "EFD_mw_std")
     return run
 
 
@@ -412,7 +412,7 @@ def duplicate_unit_blocks(spark, d):
 
 # --- generation -------------------------------------------------------------------------
 
-@query("generation_unit_hours", chain("gen") + "SELECT timestamp, eic_code, round(actual_generation_mw, 6) AS actual_generation_mw, actual_generation_obs_count FROM gen")
+@query("generation_unit_hours", chain("gen") + "SELECT timestamp, eic_code, round(actual_generation_mw + 1e-9, 6) AS actual_generation_mw, actual_generation_obs_count FROM gen")
 def generation_unit_hours(spark, d):
     raw = fx.view(spark, d, """SELECT ts - interval '26' year AS timestamp, value * 2 AS actual_generation_mw,
         concat('U', lpad(cast(user_id % (SELECT count(*) FROM supplier) AS varchar(20)), 5, '0')) AS eic_code FROM events""")
@@ -426,7 +426,7 @@ def generation_bounds(spark, d):
 
 
 @query("positive_hours_by_share", chain("gen", "panel") + """, c AS (SELECT unit_eic, max(inst) AS cap FROM panel GROUP BY 1)
-SELECT gen.eic_code, count(*) AS hours, round(sum(actual_generation_mw), 6) AS mwh FROM gen JOIN c ON gen.eic_code = c.unit_eic WHERE actual_generation_mw >= cap * 0.3 GROUP BY 1""")
+SELECT gen.eic_code, count(*) AS hours, round(sum(actual_generation_mw) + 1e-9, 6) AS mwh FROM gen JOIN c ON gen.eic_code = c.unit_eic WHERE actual_generation_mw >= cap * 0.3 GROUP BY 1""")
 def positive_hours_by_share(spark, d):
     p = gen.positive_hours(fx.gen(spark, d), gen.unit_capacity(fx.segments(spark, d)), 0.3)
     return rounded(p.groupBy("eic_code").agg(F.count(F.lit(1)).alias("hours"), F.sum("actual_generation_mw").alias("mwh")))
@@ -480,8 +480,8 @@ def _violations(spark, d):
     return val.violation_hours(fx.compared(spark, d), fx.gen(spark, d), **_TOL)
 
 
-@query("violation_hours", chain("panel", "gen") + _CMP + """SELECT unit_eic AS eic_code, h AS timestamp, country, inst AS cmp_installed, av AS cmp_available, round(used, 6) AS actual_generation_used_mw,
-  round(excess, 6) AS excess_generation_mw, round(excess - tol, 6) AS excess_generation_above_tolerance_mw, round(100.0 * used / inst, 6) AS generation_factor_pct FROM viol""")
+@query("violation_hours", chain("panel", "gen") + _CMP + """SELECT unit_eic AS eic_code, h AS timestamp, country, inst AS cmp_installed, av AS cmp_available, round(used + 1e-9, 6) AS actual_generation_used_mw,
+  round(excess + 1e-9, 6) AS excess_generation_mw, round(excess - tol + 1e-9, 6) AS excess_generation_above_tolerance_mw, round(100.0 * used / inst + 1e-9, 6) AS generation_factor_pct FROM viol""")
 def violation_hours(spark, d):
     return rounded(_violations(spark, d).select("eic_code", "timestamp", "country", "cmp_installed", "cmp_available", "actual_generation_used_mw", "excess_generation_mw",
                                                 "excess_generation_above_tolerance_mw", "generation_factor_pct"))
@@ -490,8 +490,8 @@ def violation_hours(spark, d):
 @query("violation_segments", chain("panel", "gen") + _CMP + f""", z AS (SELECT *, CASE WHEN lag(h) OVER (PARTITION BY unit_eic ORDER BY h) = h - {H} THEN 0 ELSE 1 END AS nw FROM viol),
 y AS (SELECT *, sum(nw) OVER (PARTITION BY unit_eic ORDER BY h) AS s FROM z)
 SELECT concat(country, '|', asset_type, '|', plant_type_code, '|', unit_eic, '|', strftime(min(h), '%Y%m%d%H')) AS segment_id, count(*) AS violation_hours, max(h) + {H} AS segment_end_utc,
-  max(inst) AS max_comparison_installed_capacity_mw, min(av) AS min_comparison_available_capacity_mw, round(max(raw), 6) AS max_actual_generation_mw,
-  round(sum(excess - tol), 6) AS sum_excess_generation_above_tolerance_mwh FROM y GROUP BY country, asset_type, plant_type_code, unit_eic, s""")
+  max(inst) AS max_comparison_installed_capacity_mw, min(av) AS min_comparison_available_capacity_mw, round(max(raw) + 1e-9, 6) AS max_actual_generation_mw,
+  round(sum(excess - tol) + 1e-9, 6) AS sum_excess_generation_above_tolerance_mwh FROM y GROUP BY country, asset_type, plant_type_code, unit_eic, s""")
 def violation_segments(spark, d):
     s, _ = val.violation_segments(_violations(spark, d))
     return rounded(s.select("segment_id", "violation_hours", "segment_end_utc", "max_comparison_installed_capacity_mw", "min_comparison_available_capacity_mw",
@@ -499,7 +499,7 @@ def violation_segments(spark, d):
 
 
 @query("violation_summary_monthly", chain("panel", "gen") + _CMP + """SELECT country, plant_type_code, date_trunc('month', h) AS month, count(*) AS violation_unit_hours, count(DISTINCT unit_eic) AS n_units,
-  round(sum(excess - tol), 6) AS excess_generation_mwh, round(max(excess), 6) AS max_excess_generation_mw FROM viol GROUP BY 1, 2, 3""")
+  round(sum(excess - tol) + 1e-9, 6) AS excess_generation_mwh, round(max(excess) + 1e-9, 6) AS max_excess_generation_mw FROM viol GROUP BY 1, 2, 3""")
 def violation_summary_monthly(spark, d):
     v = _violations(spark, d).withColumn("plant_type", F.col("plant_type_code"))
     return rounded(val.monthly_violations(v).withColumnRenamed("plant_type", "plant_type_code"))
@@ -517,7 +517,7 @@ def _unit_year(spark, d):
 
 
 @query("violation_unit_year", chain("panel", "gen") + _CMP + _UY + """SELECT asset_type, country, unit_eic AS eic_code, year, auh AS availability_unit_hours, imwh AS availability_installed_capacity_mwh, obs AS observed_generation_unit_hours,
-  CAST(vio AS BIGINT) AS violation_unit_hours, round(gmwh, 6) AS generation_mwh, round(xmwh, 6) AS excess_generation_mwh, round(mx, 6) AS max_excess_generation_mw, round(obs / auh, 6) AS generation_coverage_share FROM uy""")
+  CAST(vio AS BIGINT) AS violation_unit_hours, round(gmwh + 1e-9, 6) AS generation_mwh, round(xmwh + 1e-9, 6) AS excess_generation_mwh, round(mx + 1e-9, 6) AS max_excess_generation_mw, round(obs / auh + 1e-9, 6) AS generation_coverage_share FROM uy""")
 def violation_unit_year(spark, d):
     return rounded(_unit_year(spark, d).select(
         "asset_type", "country", "eic_code", F.col("year").cast("long").alias("year"), "availability_unit_hours", "availability_installed_capacity_mwh", "observed_generation_unit_hours",
@@ -525,7 +525,7 @@ def violation_unit_year(spark, d):
 
 
 @query("violation_country_type", chain("panel", "gen") + _CMP + _UY + """SELECT country, plant_type_code AS plant_type, count(DISTINCT unit_eic) AS n_units, count(DISTINCT CASE WHEN vio > 0 THEN unit_eic END) AS n_units_with_violations,
-  CAST(sum(auh) AS BIGINT) AS availability_unit_hours, CAST(sum(vio) AS BIGINT) AS violation_unit_hours, round(sum(xmwh), 6) AS excess_generation_mwh, round(CASE WHEN sum(obs) > 0 THEN sum(vio) / sum(obs) END, 6) AS violation_share_of_observed_hours
+  CAST(sum(auh) AS BIGINT) AS availability_unit_hours, CAST(sum(vio) AS BIGINT) AS violation_unit_hours, round(sum(xmwh) + 1e-9, 6) AS excess_generation_mwh, round(CASE WHEN sum(obs) > 0 THEN sum(vio) / sum(obs) END + 1e-9, 6) AS violation_share_of_observed_hours
 FROM uy GROUP BY 1, 2""")
 def violation_country_type(spark, d):
     return rounded(val.roll_up(_unit_year(spark, d), ["country", "plant_type"]).select(
@@ -537,8 +537,8 @@ g0 AS (SELECT p.country, p.plant_type_code, p.h, sum(least(greatest(g.actual_gen
   sum(CASE WHEN least(g.actual_generation_mw, p.inst) - p.av > greatest(2.0, p.inst * 0.01) THEN least(g.actual_generation_mw, p.inst) - p.av ELSE 0 END) AS x
   FROM panel p JOIN gen g ON p.unit_eic = g.eic_code AND p.h = g.timestamp {where} GROUP BY 1, 2, 3),
 hh AS (SELECT c0.*, least(coalesce(g, 0), i) AS g, coalesce(m, 0) AS m, coalesce(x, 0) AS x FROM c0 LEFT JOIN g0 USING (country, plant_type_code, h))
-SELECT country, plant_type_code AS plant_type, CAST(h AS DATE) AS date, round(avg(i), 6) AS installed_mw, round(avg(a), 6) AS available_mw, round(avg(g), 6) AS generation_mw, round(avg(x), 6) AS generation_gt_available_mw,
-  CAST(sum(n) AS BIGINT) AS unit_hours, CAST(sum(m) AS BIGINT) AS observed_generation_unit_hours, max(n) AS n_units, round(100.0 * avg(a) / avg(i), 6) AS availability_factor_pct FROM hh GROUP BY 1, 2, 3"""
+SELECT country, plant_type_code AS plant_type, CAST(h AS DATE) AS date, round(avg(i) + 1e-9, 6) AS installed_mw, round(avg(a) + 1e-9, 6) AS available_mw, round(avg(g) + 1e-9, 6) AS generation_mw, round(avg(x) + 1e-9, 6) AS generation_gt_available_mw,
+  CAST(sum(n) AS BIGINT) AS unit_hours, CAST(sum(m) AS BIGINT) AS observed_generation_unit_hours, max(n) AS n_units, round(100.0 * avg(a) / avg(i) + 1e-9, 6) AS availability_factor_pct FROM hh GROUP BY 1, 2, 3"""
 _AVG_COLS = ["country", "plant_type", "date", "installed_mw", "available_mw", "generation_mw", "generation_gt_available_mw", "unit_hours", "observed_generation_unit_hours", "n_units", "availability_factor_pct"]
 
 

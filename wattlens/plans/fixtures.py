@@ -63,8 +63,15 @@ FROM events GROUP BY 1, 2
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
 
+_registered: dict = {}
+
+
 def tables(spark: SparkSession, sf_dir: str) -> None:
     """Register the given tables; timestamps without zone become UTC timestamps."""
+    app = spark.sparkContext.applicationId
+    if _registered.get(app) == sf_dir:
+        return
+    _registered[app] = sf_dir
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "false")
     for t in TABLES:
