@@ -149,12 +149,13 @@ def outage_days(kpis: DataFrame) -> DataFrame:
 def percent_if_fraction(df: DataFrame, cols: list[str], limit: float = 1.5, quantile: float | None = None) -> DataFrame:
     """Scale a column to percent when its largest magnitude (or a quantile) says it is a fraction.
 
-    One aggregation over the whole column, joined back as a single row.
+    The test is one aggregate value per column, used as a scalar subquery.
     """
-    test = [((F.percentile(c, quantile) if quantile is not None else F.max(F.abs(c))) <= limit).alias(f"_f_{c}") for c in cols]
-    flags = df.agg(*test)
-    d = df.join(F.broadcast(flags))  # exactly one row
-    return d.withColumns({c: F.when(F.col(f"_f_{c}"), F.col(c) * 100.0).otherwise(F.col(c)) for c in cols}).drop(*[f"_f_{c}" for c in cols])
+    def test(c: str) -> Column:
+        m = F.percentile(c, quantile) if quantile is not None else F.max(F.abs(c))
+        return df.agg((m <= limit).alias("t")).scalar()
+
+    return df.withColumns({c: F.when(test(c), F.col(c) * 100.0).otherwise(F.col(c)) for c in cols})
 
 
 def metric_long(df: DataFrame, columns: dict[str, str], value: str) -> DataFrame:
