@@ -37,20 +37,28 @@ def read_text_table(spark: SparkSession, where: str | list[str], sep: str = "\t"
     Lines that do not fit with quoting on are read again with quoting off; only those
     lines go through the second parser.
     """
-    files = paths(where)
-    names = header_of(spark, files[0], sep)
+    out = None
+    for path in paths(where):
+        part = _read_one(spark, path, sep)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if wanted:
+        out = out.select(*[F.col(f"`{c}`") for c in out.columns if c in wanted or c == "source_path"])
+    return out
+
+
+def _read_one(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    """One file or folder whose files share a header."""
+    names = header_of(spark, path, sep)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(CORRUPT, T.StringType())])
     raw = (
         spark.read.schema(schema).option("sep", sep).option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", True)
-        .option("columnNameOfCorruptRecord", CORRUPT).csv(files)
+        .option("columnNameOfCorruptRecord", CORRUPT).csv(path)
     ).withColumn("source_path", F.col("_metadata.file_path"))
     good = raw.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
     plain = F.from_csv(F.col(CORRUPT), ", ".join(f"`{n}` STRING" for n in names), {"sep": sep, "quote": "", "mode": "PERMISSIVE"})
-    mended = raw.filter(F.col(CORRUPT).isNotNull()).select(plain.alias("r"), "source_path").select("r.*", "source_path")
-    out = good.unionByName(mended)
-    if wanted:
-        out = out.select(*[F.col(f"`{c}`") for c in out.columns if c in wanted or c == "source_path"])
-    return out
+    # the second condition keeps a data column in the scan, which Spark requires beside the corrupt one
+    bad = raw.filter(F.col(CORRUPT).isNotNull() & (F.coalesce(F.col(f"`{names[0]}`"), F.lit("")) != "\u0000"))
+    return good.unionByName(bad.select(plain.alias("r"), "source_path").select("r.*", "source_path"))
 
 
 def read_reports(spark: SparkSession, where: str | list[str], asset_types: set[str] | None = None) -> DataFrame:
