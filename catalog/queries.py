@@ -31,9 +31,14 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+HOUR_SUMS = {*tl.PARTIAL, *tl.FULL, "AH", "EAH"}
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round doubles so that summation order cannot show (the shift keeps exact ties apart)."""
-    return df.select(*[F.round(F.col(f.name) + 1e-9, digits).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema])
+    """Round doubles so that summation order cannot show (the shift keeps exact ties apart).
+    Sums of many hourly shares carry more noise and keep four digits."""
+    shift = lambda n: F.round(F.col(n) + 1e-7, 4) if n in HOUR_SUMS else F.round(F.col(n) + 1e-9, digits)
+    return df.select(*[shift(f.name).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema])
 
 
 # --- reports and capacity ---------------------------------------------------------------
@@ -220,7 +225,7 @@ TALLY = [*tl.FULL, *tl.PARTIAL]
 
 
 @query("unit_tallies", chain("tal") + """SELECT unit_eic AS eic_code, date_trunc('month', h) AS month, CAST(sum(CASE WHEN active THEN 1 ELSE 0 END) AS BIGINT) AS active_hours, """ + ", ".join(
-    f"CAST(sum({c}) AS BIGINT) AS {c}" for c in tl.FULL) + ", " + ", ".join(f"round(sum({c}) + 1e-9, 6) AS {c}" for c in tl.PARTIAL) + " FROM tal GROUP BY 1, 2")
+    f"CAST(sum({c}) AS BIGINT) AS {c}" for c in tl.FULL) + ", " + ", ".join(f"round(sum({c}) + 1e-7, 4) AS {c}" for c in tl.PARTIAL) + " FROM tal GROUP BY 1, 2")
 def unit_tallies(spark, d):
     h = runs.hours_col()
     return rounded(fx.tallies(spark, d).groupBy("eic_code", F.date_trunc("month", "seg_start").alias("month")).agg(
@@ -267,8 +272,8 @@ def _q(n: str, den: str, alias: str) -> str:
     return f"round(CASE WHEN {den} > 0 THEN CAST({n} AS DOUBLE) / ({den}) END + 1e-9, 6) AS {alias}"
 
 
-_BLOCK_SELECT = "SELECT country, plant_type_code, unit_name, eic_code, period_key, ACTH, round(AH + 1e-9, 6) AS AH, round(EAH + 1e-9, 6) AS EAH, " + ", ".join([
-    *(f"round({c} + 1e-9, 6) AS {c}" for c in TALLY), *(f"N_{e}, TOT_{e}_h" for e in kpis.EVENTS),
+_BLOCK_SELECT = "SELECT country, plant_type_code, unit_name, eic_code, period_key, ACTH, round(AH + 1e-7, 4) AS AH, round(EAH + 1e-7, 4) AS EAH, " + ", ".join([
+    *(f"round({c} + 1e-7, 4) AS {c}" for c in TALLY), *(f"N_{e}, TOT_{e}_h" for e in kpis.EVENTS),
     _q("AH", "ACTH", "AF"), _q("EAH", "ACTH", "EAF"), _q("POH + MOH + FOH", "ACTH", "TOF"), _q("EAH", "ACTH", "ESF"),
     *(_q(f"{k}OH", "ACTH", f"{k}OF") for k in "PMFUS"), *(_q(f"{k}OH + E{k}DH", "ACTH", f"E{k}OF") for k in "PMFUS"),
     *(_q(f"{k}OH", f"AH + {k}OH", f"{k}OR") for k in "PMFUS"), *(_q(f"{k}OH + E{k}DH", f"AH + {k}OH + E{k}DH", f"E{k}OR") for k in "PMFUS"),
