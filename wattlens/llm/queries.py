@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, sharding
+from . import language, packing, pseudonyms, sharding
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,27 @@ def op1_sharding(spark, d):
     return out.select("doc_id", "size", "tokens", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: The key that the registered query and the pipeline use; a production run names its own.
+PSEUDONYM_KEY = b"corpus pseudonyms"
+
+
+@query("op2_pii")
+def op2_pii(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, PSEUDONYM_KEY, counts=True)
+
+
 @query("op8_packing")
 def op8_packing(spark, d):
     return packing.pack_documents(table(spark, d, "documents"), word_bpe(), capacity=2048, end_id=0)
+
+
+def held_out():
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
+
+
+@query("op10_language")
+def op10_language(spark, d):
+    docs = table(spark, d, "documents").withColumn("held_out", held_out())
+    model = language.train(docs.filter(~F.col("held_out")))
+    return language.identify(docs.select("doc_id", "held_out", "text"), model)
