@@ -8,7 +8,11 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,15 +39,34 @@ def store(df: DataFrame) -> DataFrame:
 _shipped: set[str] = set()
 
 
-def map_batches(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``mapInPandas`` by a function of this package, which executors get with the job."""
-    sc = df.sparkSession.sparkContext
+def _frame(batch: pa.RecordBatch) -> pd.DataFrame:
+    """The batch as a frame; whole numbers with nulls stay whole numbers."""
+    out = {}
+    for name, col in zip(batch.schema.names, batch.columns):
+        nullable = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype(), pa.int16(): pd.Int16Dtype(), pa.int8(): pd.Int8Dtype()} if col.null_count else {}
+        out[name] = col.to_pandas(types_mapper=nullable.get)
+    return pd.DataFrame(out)
+
+
+def map_batches(df: DataFrame, fn: Callable, schema: str | StructType) -> DataFrame:
+    """Map an iterator of pandas frames to one of such, as ``mapInPandas`` does, with two
+    differences: executors get this package with the job, and whole numbers with nulls
+    don't become floats on the way."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="package-"), "wattlens"), "zip", os.path.dirname(root), os.path.basename(root))
         sc.addPyFile(made)
         _shipped.add(sc.applicationId)
-    return df.mapInPandas(fn, schema)
+    target = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    arrow = to_arrow_schema(target)
+
+    def run(batches):
+        for out in fn(map(_frame, batches)):
+            yield pa.RecordBatch.from_pandas(out[arrow.names], schema=arrow, preserve_index=False)
+
+    return df.mapInArrow(run, target)
 
 
 def split_evenly(rows: int, per_part: int) -> int:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import map_batches
 
@@ -137,21 +137,20 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit(x, [r["lang"] for r in rows])
 
 
-def identify(docs: DataFrame, model: Model | None, text_col: str = "text", margin: float = 0.02, size: int = 8192) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, text_col: str = "text", margin: float = 0.02, size: int = 8192, keep_text: bool = False) -> DataFrame:
     """Adds lang_pred, score (0 to 1) and ambiguous to every row; the whole text counts.
 
     Null texts and texts without a letter: ``und``, score 0, not ambiguous. Without a model
     every text is ``und``. A single known language is always taken, with score 1. Ties go to
-    the first language of the alphabet. Columns with the new names give way.
+    the first language of the alphabet. Columns with the new names give way. The text is
+    returned only with ``keep_text``.
     """
     kept = docs.drop("lang_pred", "score", "ambiguous")
-    fields = kept.schema.fields
     inner = kept.select(*[F.col(c).alias("__text" if c == text_col else f"c{i}") for i, c in enumerate(kept.columns)])
-    types = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(inner.columns, fields) if n != "__text")
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = b.drop(columns="__text")
+            out = b if keep_text else b.drop(columns="__text")
             lang, score, unclear = [UNKNOWN] * len(b), np.zeros(len(b)), np.zeros(len(b), bool)
             texts = b["__text"].tolist()
             for s in range(0, len(b), 256) if model else ():
@@ -168,6 +167,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", margi
                     unclear[s + i] = len(ranked) > 1 and ranked[1] - ranked[0] < margin
             yield out.assign(lang_pred=lang, score=score, ambiguous=unclear)
 
-    narrow = inner.select(*inner.columns)
-    out = map_batches(narrow, predict, (types + ", " if types else "") + "lang_pred string, score double, ambiguous boolean")
-    return out.toDF(*[c for c in kept.columns if c != text_col], "lang_pred", "score", "ambiguous")
+    passed = [(n, f) for n, f in zip(inner.columns, kept.schema) if keep_text or n != "__text"]
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in passed] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+                                                                              T.StructField("ambiguous", T.BooleanType())])
+    return map_batches(inner, predict, schema).toDF(*[f.name for _, f in passed], "lang_pred", "score", "ambiguous")

@@ -34,9 +34,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                 for n, s in enumerate(range(0, len(ids), capacity)):
                     part = ids[s:s + capacity]
                     rows.append((k, n, s, len(part), zlib.crc32(part.tobytes())))
-            out = pd.DataFrame(rows, columns=[id_col, "piece", "start", "length", "ids_crc32"])
-            out[id_col] = out[id_col].astype(b["__id"].dtype)
-            yield out
+            yield pd.DataFrame(rows, columns=[id_col, "piece", "start", "length", "ids_crc32"])
 
     return map_batches(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), cut,
                        f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, packing, pseudonyms, sharding
+from . import jaccard_join, language, packing, pseudonyms, sharding
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,11 @@ def op2_pii(spark, d):
     return pseudonyms.pseudonymise(docs, PSEUDONYM_KEY, counts=True)
 
 
+@query("op4_jaccard_join")
+def op4_jaccard_join(spark, d):
+    return jaccard_join.jaccard_components(table(spark, d, "documents"), n=5, percent=80)
+
+
 @query("op8_packing")
 def op8_packing(spark, d):
     return packing.pack_documents(table(spark, d, "documents"), word_bpe(), capacity=2048, end_id=0)
