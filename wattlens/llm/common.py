@@ -114,3 +114,29 @@ def range_of(id_col: Column, cuts: list[int]) -> Column:
         return F.lit(0)
     bounds = F.array(*[F.lit(c).cast("long") for c in cuts])
     return F.when(id_col.isNull(), F.lit(0)).otherwise(F.size(F.filter(bounds, lambda c: c <= id_col)))
+
+
+def in_ranges(docs: DataFrame, id_col: str, text_col: str, range_bytes: int = 32 << 20, most: int = 20_000) -> DataFrame:
+    """Rows (range, copy, id, text) in ascending (id, hash of text), dealt by ranges of ids.
+
+    Every partition holds whole ranges, each sorted. Behind a range stands a copy (``copy`` 1)
+    of the row that follows it in the next range; behind the last one, of the first row of
+    all. Null text is empty. Ranges have like row counts and about ``range_bytes`` of text;
+    there are at most ``most``, so the list of their first rows is bounded. One id that
+    holds many rows makes one long range, which is sorted on disk and streamed.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cuts = range_cuts(rows, "id", min(most, split_evenly(total, range_bytes)))
+    rows = rows.withColumn("range", range_of(F.col("id"), cuts).cast("int"))
+    firsts = rows.groupBy("range").agg(F.min(F.struct("id", F.xxhash64("text").alias("h"))).alias("first")).orderBy("range").collect()  # at most ``most`` rows
+    if not firsts:
+        return rows.select("range", F.lit(0).alias("copy"), "id", "text")
+    before = [(firsts[i - 1]["range"], r["first"]["id"], r["first"]["h"]) for i, r in enumerate(firsts)]
+    kind = docs.schema[id_col].dataType.simpleString()
+    wanted = spark.createDataFrame(before, f"before int, first_id {kind}, h long")
+    copies = rows.join(F.broadcast(wanted), F.col("id").eqNullSafe(F.col("first_id")) & (F.xxhash64("text") == F.col("h"))).select(
+        F.col("before").alias("range"), F.lit(1).alias("copy"), "id", "text").dropDuplicates(["range"])
+    both = rows.select("range", F.lit(0).alias("copy"), "id", "text").union(copies)
+    return both.repartition(max(2, len(firsts)), "range").sortWithinPartitions("range", "copy", "id", F.xxhash64("text"))

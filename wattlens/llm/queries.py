@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard_join, language, packing, pseudonyms, sharding
+from . import jaccard_join, language, packing, prefix_hash, pseudonyms, repair, sharding
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,16 @@ def op4_jaccard_join(spark, d):
     return jaccard_join.jaccard_components(table(spark, d, "documents"), n=5, percent=80)
 
 
+@query("op6_repair_files")
+def op6_repair_files(spark, d):
+    return repair.read_shards(repair.write_shards(table(spark, d, "documents"), word_bpe(), end_id=1))
+
+
+@query("op7_fingerprints")
+def op7_fingerprints(spark, d):
+    return prefix_hash.edited_fingerprints(table(spark, d, "documents"))
+
+
 @query("op8_packing")
 def op8_packing(spark, d):
     return packing.pack_documents(table(spark, d, "documents"), word_bpe(), capacity=2048, end_id=0)
