@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard_join, language, packing, prefix_hash, pseudonyms, repair, sharding
+from . import jaccard_join, language, neighbours, packing, prefix_hash, pseudonyms, repair, sharding
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,11 @@ def op8_packing(spark, d):
     return packing.pack_documents(table(spark, d, "documents"), word_bpe(), capacity=2048, end_id=0)
 
 
+@query("op9_neighbours")
+def op9_neighbours(spark, d):
+    return neighbours.search(table(spark, d, "embeddings"), k=20, every=20)
+
+
 def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
 
