@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard_join, language, neighbours, packing, prefix_hash, pseudonyms, repair, sharding
+from . import html_text, jaccard_join, language, neighbours, packing, prefix_hash, pseudonyms, repair, sharding
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,11 @@ def op2_pii(spark, d):
     return pseudonyms.pseudonymise(docs, PSEUDONYM_KEY, counts=True)
 
 
+@query("op3_html")
+def op3_html(spark, d):
+    return html_text.main_text(table(spark, d, "pages").select("page_id", "url", "html"))
+
+
 @query("op4_jaccard_join")
 def op4_jaccard_join(spark, d):
     return jaccard_join.jaccard_components(table(spark, d, "documents"), n=5, percent=80)
