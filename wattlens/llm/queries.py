@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import html_text, jaccard_join, language, neighbours, packing, prefix_hash, pseudonyms, repair, sharding
+from . import html_text, jaccard_join, language, neighbours, packing, prefix_hash, pseudonyms, repair, sharding, viterbi
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def piece_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def word_bpe() -> str:
     """The word vocabulary; its place is a parameter of every operator that tokenises."""
     import public_tokenizers
@@ -55,6 +61,11 @@ def op4_jaccard_join(spark, d):
     return jaccard_join.jaccard_components(table(spark, d, "documents"), n=5, percent=80)
 
 
+@query("op5_sentencepiece")
+def op5_sentencepiece(spark, d):
+    return viterbi.digests(viterbi.encode(table(spark, d, "documents"), piece_bpe()))
+
+
 @query("op6_repair_files")
 def op6_repair_files(spark, d):
     return repair.read_shards(repair.write_shards(table(spark, d, "documents"), word_bpe(), end_id=1))
