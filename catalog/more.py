@@ -56,9 +56,11 @@ def register_match(spark, d):
     return j.select("unit_eic", "eic_match_source", "technology", "year_commissioned", "year_decommissioned", "fuel_type_code")
 
 
-@query("register_match_statistics")
+@query("register_match_statistics", f"""WITH j AS ({JRC_SQL}), p0 AS ({PPM_SQL}), p AS (SELECT DISTINCT unnest(regexp_extract_all(ppm_eic, '[A-Za-z0-9-]+')) AS eic FROM p0),
+m AS (SELECT u.eic AS a, p.eic AS b FROM j LEFT JOIN p u ON j.eic_g = u.eic LEFT JOIN p ON j.eic_p = p.eic)
+SELECT count(a) AS matched_unit_eic, count(*) FILTER (a IS NULL AND b IS NOT NULL) AS matched_plant_eic, count(*) FILTER (a IS NULL AND b IS NULL) AS unmatched FROM m""")
 def register_match_statistics(spark, d):
-    return rg.match_statistics(rg.integrate_registers(fx.view(spark, d, JRC_SQL), fx.view(spark, d, PPM_SQL)))
+    return rg.match_statistics(rg.match_registers(fx.view(spark, d, JRC_SQL), fx.view(spark, d, PPM_SQL)))
 
 
 def _units(spark, d):

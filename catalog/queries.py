@@ -567,7 +567,7 @@ def _raw(spark, d):
 
 def _scored(spark, d):
     s, h = val.violation_segments(_violations(spark, d))
-    c = inverse.score_candidates(s, _raw(spark, d), window_hours=24, max_per_segment=20, **_TOL)
+    c = inverse.score_candidates(s, _raw(spark, d), window_hours=24, **_TOL)
     return s, h, c
 
 
@@ -586,13 +586,19 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY score, resi
 
 
 @query("candidate_ranking", chain("panel", "gen", "rep") + _SEG + """SELECT segment_id, CAST(rnk AS INTEGER) AS score_rank, mrid AS candidate_mrid, stn AS candidate_status_norm, round(resid, 4) AS candidate_residual_excess_mw, round(ov, 4) AS candidate_overlap_hours,
-  round(score, 3) AS candidate_score FROM rk WHERE rnk <= 20""")
+  round(score, 3) AS candidate_score FROM rk""")
 def candidate_ranking(spark, d):
     _, _, c = _scored(spark, d)
     return c.select("segment_id", "score_rank", "candidate_mrid", "candidate_status_norm", F.round("candidate_residual_excess_mw", 4).alias("candidate_residual_excess_mw"),
                     F.round("candidate_overlap_hours", 4).alias("candidate_overlap_hours"), F.round("candidate_score", 3).alias("candidate_score"))
 
 
+@query("top_candidates", chain("panel", "gen", "rep") + _SEG + "SELECT segment_id, CAST(rnk AS INTEGER) AS score_rank, mrid AS candidate_mrid FROM rk WHERE rnk <= 5")
+def top_candidates(spark, d):
+    _, _, c = _scored(spark, d)
+    return inverse.top_candidates(c, 5).select("segment_id", "score_rank", "candidate_mrid")
+
+
 def _recommended(spark, d):
     s, h, c = _scored(spark, d)
     return inverse.recommend(s, c), h
@@ -602,6 +608,19 @@ _ACTION = """CASE WHEN resid <= 1e-9 AND syn = 1 THEN 'remove_or_ignore_current_
   WHEN resid <= 1e-9 THEN 'replace_with_candidate_raw_report' ELSE 'unresolved_by_raw_candidates' END"""
 
 
+_BEST = f""", best AS (SELECT segment_id, unit_eic, s0, s1, mrid, resid, CASE WHEN syn = 1 THEN 'no_outage' WHEN stn IN ('cancelled', 'canceled', 'withdrawn') THEN 'cancelled_or_withdrawn' ELSE 'raw_report' END AS kind,
+  {_ACTION} AS action FROM rk WHERE rnk = 1)"""
+
+
+@query("recommendation_actions", chain("panel", "gen", "rep") + _SEG + _BEST + """SELECT segment_id, mrid AS candidate_mrid, kind AS candidate_kind,
+  CASE WHEN action IN ('replace_with_candidate_raw_report', 'respect_later_cancellation_or_withdrawal') THEN 'report' ELSE action END AS action_group FROM best""")
+def recommendation_actions(spark, d):
+    r, _ = _recommended(spark, d)
+    a = F.col("recommended_action")
+    report = a.isin("keep_current_report_capacity_issue", "replace_with_candidate_raw_report", "respect_later_cancellation_or_withdrawal")
+    return r.select("segment_id", "candidate_mrid", "candidate_kind", F.when(report, "report").otherwise(a).alias("action_group"))
+
+
 @query("recommendations")
 def recommendations(spark, d):
     r, _ = _recommended(spark, d)
@@ -640,4 +659,4 @@ def register_name_keys(spark, d):
                                       binning.bins("p_size", [0, 10, 30, float("inf")], ["small", "medium", "large"]).alias("size_bin"))
 
 
-_ = (codes, Window, _ACTION)
+_ = (codes, Window)

@@ -111,7 +111,8 @@ def annual_from_monthly(monthly: DataFrame) -> DataFrame:
     """Annual fleet KPIs from monthly ones. Service hours are active minus planned hours here,
     and equivalent rates divide by service plus strict hours only; both differ from the
     fleet table on purpose and are kept as a separate method."""
-    d = monthly.filter(F.col("period_key").rlike(r"^\d{4}-\d{2}$")).withColumn("period_key", F.substring("period_key", 1, 4))
+    d = lower_names(monthly)
+    d = d.filter(F.col("period_key").rlike(r"^\d{4}-\d{2}$")).withColumn("period_key", F.substring("period_key", 1, 4))
     weighted = [c for c in d.columns if c[:1] == "w" and c[1:].endswith(("af", "of", "or"))]
     g = d.groupBy("country", "plant_type", "period_key").agg(
         *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in HOURS if c in d.columns],
@@ -133,6 +134,7 @@ def annual_rows(kpis: DataFrame) -> DataFrame:
 
 def outage_days(kpis: DataFrame) -> DataFrame:
     """Capacity-weighted outage days from factors, with leap years."""
+    kpis = lower_names(kpis)
     y = F.expr("try_cast(period_key as int)")
     days = F.when(((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0), 366.0).otherwise(365.0)
     out = kpis
@@ -149,13 +151,23 @@ def outage_days(kpis: DataFrame) -> DataFrame:
 def percent_if_fraction(df: DataFrame, cols: list[str], limit: float = 1.5, quantile: float | None = None) -> DataFrame:
     """Scale a column to percent when its largest magnitude (or a quantile) says it is a fraction.
 
-    The test is one aggregate value per column, used as a scalar subquery.
+    One aggregate row holds the test of every column and is joined to all rows.
     """
-    def test(c: str) -> Column:
-        m = F.percentile(c, quantile) if quantile is not None else F.max(F.abs(c))
-        return df.agg((m <= limit).alias("t")).scalar()
+    if not cols:
+        return df
+    size = lambda c: F.percentile(c, quantile) if quantile is not None else F.max(F.abs(c))
+    tests = df.agg(F.struct(*[(size(c) <= limit).alias(f"t{i}") for i, c in enumerate(cols)]).alias("t")).scalar()
+    d = df.withColumn("_t", tests)
+    return d.withColumns({c: F.when(F.col(f"_t.t{i}"), F.col(c) * 100.0).otherwise(F.col(c)) for i, c in enumerate(cols)}).drop("_t")
 
-    return df.withColumns({c: F.when(test(c), F.col(c) * 100.0).otherwise(F.col(c)) for c in cols})
+
+def lower_names(df: DataFrame) -> DataFrame:
+    """KPI tables in one spelling: our own in mixed case, published ones in lower case. Of columns
+    that differ in case only the first stays."""
+    first: dict[str, str] = {}
+    for c in df.columns:
+        first.setdefault(c.lower(), c)
+    return df.select(*[F.col(f"`{c}`").alias(n) for n, c in first.items()])
 
 
 def metric_long(df: DataFrame, columns: dict[str, str], value: str) -> DataFrame:
@@ -209,6 +221,7 @@ RATE_METRICS = {"uFOR": "ufor", "wFOR": "wfor", "uUOR": "uuor", "wUOR": "wuor",
 
 def kpi_corridors(annual: DataFrame, eraa: DataFrame, tyndp: DataFrame) -> dict[str, DataFrame]:
     """Corridors of annual rates against both publications, and of outage days against one."""
+    annual = lower_names(annual)
     have = {m: c for m, c in RATE_METRICS.items() if c in annual.columns}
     own = metric_long(percent_if_fraction(annual_rows(annual), list(have.values())), have, "dataset_value")
 

@@ -41,12 +41,12 @@ def candidates_in_scope(raw: DataFrame, segments: DataFrame, window_hours: float
 
 
 def score_candidates(segments: DataFrame, raw: DataFrame, window_hours: float = 0.0, tol_mw: float = 0.0, tol_rel: float = 0.0,
-                     max_per_segment: int | None = 20) -> DataFrame:
+                     max_per_segment: int | None = None) -> DataFrame:
     """Rank the raw reports near each segment, with the synthetic "no outage" candidate.
 
     Score: 1000 x unexplained MW + 10 x uncovered hours + status, version and no-outage
-    penalties + relative change of availability; lowest wins. ``max_per_segment`` limits the
-    report (None keeps all); the limit is applied per partition before the ranking shuffle.
+    penalties + relative change of availability; lowest wins. All candidates are ranked and
+    kept; ``max_per_segment`` asks for the first so many only (see ``top_candidates``).
     """
     seg = segments.select("segment_id", "eic_code", "segment_start_utc", "segment_end_utc",
                           F.col("segment_duration_h").alias("dur"), nz("max_comparison_installed_capacity_mw").alias("seg_inst"),
@@ -104,8 +104,8 @@ def score_candidates(segments: DataFrame, raw: DataFrame, window_hours: float =
         F.col("c_start").asc_nulls_last(), F.col("candidate_version").asc_nulls_last(),
         F.col("candidate_created_doc_utc").asc_nulls_last(), "candidate_mrid", "c_end", "c_av")
     d = d.withColumn("score_rank", F.row_number().over(w))
-    if max_per_segment:
-        d = d.filter(F.col("score_rank") <= max_per_segment)
+    if max_per_segment is not None:
+        d = top_candidates(d, max_per_segment)
     return d.withColumn("candidate_resolves_violation", F.col("candidate_residual_excess_mw") <= 1e-9).select(
         "segment_id", "score_rank", "candidate_kind", "candidate_mrid", "candidate_original_mrid", "candidate_mrid_unit_scope",
         "candidate_status_norm", "candidate_old_version", "candidate_version", "candidate_outage_type", "candidate_reason",
@@ -118,6 +118,11 @@ def score_candidates(segments: DataFrame, raw: DataFrame, window_hours: float =
         "no_outage_penalty", "availability_change_penalty", "candidate_score")
 
 
+def top_candidates(candidates: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best-ranked candidates of every segment."""
+    return candidates.filter(F.col("score_rank") <= k)
+
+
 def recommend(segments: DataFrame, candidates: DataFrame) -> DataFrame:
     """Best candidate per segment and the action it implies."""
     best = candidates.filter("score_rank = 1")
@@ -178,13 +183,17 @@ def _mask_keys(hours: DataFrame, mask: DataFrame) -> list[str]:
 
 def apply_corrections(hours: DataFrame, mask: DataFrame) -> DataFrame:
     """Overwrite matched hourly rows: available = corrected value (else installed), state
-    avail, labels cleared, losses 0. The keys are those both sides have."""
+    avail, labels cleared, losses 0. The keys are those both sides have. Of mask rows with
+    one key the one with the largest ``mask_order`` counts, else that of the last segment."""
     keys = _mask_keys(hours, mask)
     norm = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) if c != "timestamp" else floor_hour(c)
     m = eligible(mask).select(*[norm(k).alias(f"_k_{k}") for k in keys], F.col("corrected_available_capacity_mw").alias("_corr"),
-                              *[F.col(c).alias(f"_i_{c}") for c in ("inverse_segment_id", "inverse_recommended_action") if c in mask.columns])
+                              *[F.col(c).alias(f"_i_{c}") for c in ("inverse_segment_id", "inverse_recommended_action") if c in mask.columns],
+                              *[F.col(c).alias("_order") for c in ("mask_order",) if c in mask.columns])
     kk = [f"_k_{k}" for k in keys]
-    m = best_row(m, kk, [F.lit(1)]).withColumn("_hit", F.lit(True))
+    # on repeated keys the row that stands last wins: the mask's own order column, else the last segment
+    last = [F.col(c) for c in ("_order", "_i_inverse_segment_id") if c in m.columns]
+    m = best_row(m, kk, last).drop("_order").withColumn("_hit", F.lit(True))
     d = hours.withColumns({f"_k_{k}": norm(k) for k in keys}).join(m, kk, "left")
     hit = F.col("_hit").isNotNull()
     new = F.coalesce("_corr", "installed_capacity")

@@ -182,13 +182,13 @@ def plant_dimension(plants: DataFrame, year: int, age_bins: list[float], age_lab
     d = d.withColumnRenamed("technology", "plant_tech").withColumn("plant_tech", (
         F.when(code == "B14", "Nuclear").when(code.isin("B10", "B11", "B12", "B13") | hydro, "Hydro")
         .when(code.isin("B15", "B16", "B18", "B19"), "RES").when(~unknown, tech)))
+    age = F.when(F.col("year_commissioned").isNotNull(), F.greatest(F.lit(year) - F.col("year_commissioned"), F.lit(0.0)))  # unknown stays unknown
     chp = F.upper(F.trim(F.coalesce("set", F.lit("")))) == "CHP"
     res = code.isin("B10", "B11", "B12", "B13", "B15", "B16", "B18", "B19")
     return d.select(
         "country", F.col("fuel_type").alias("plant_type"), F.trim("unit_eic").alias("eic_code"), "plant_tech",
         F.when(chp, "CHP").when(F.col("set").isNotNull() | res, "no CHP").alias("is_chp"),
-        F.greatest(F.lit(year) - F.col("year_commissioned"), F.lit(0.0)).alias("age_years"),
-        binning.bins(F.greatest(F.lit(year) - F.col("year_commissioned"), F.lit(0.0)), age_bins, age_labels).alias("age_class"),
+        age.alias("age_years"), binning.bins(age, age_bins, age_labels).alias("age_class"),
         binning.bins("unit_installed_capacity", size_bins, size_labels, right=False).alias("size_class"),
     )
 

@@ -51,6 +51,7 @@ def with_capacity(df: DataFrame, opts: PanelOptions = PanelOptions()) -> DataFra
     then forwards, over the unit's series; available capacity uses the tie rule.
     """
     newest = lambda c: F.array_max(F.transform(c, lambda x: x["o_doc"]))
+    require(opts.tie, ("lowest", "highest"), "tie")
     df = df.withColumn("_nc", newest("c")).withColumn("_na", newest("a"))
     inst0 = F.get(F.transform(F.filter("c", lambda x: x["o_doc"] == F.col("_nc")), lambda x: x["installed"]), F.lit(0))
     values = F.transform(F.filter("a", lambda x: x["o_doc"] == F.col("_na")), lambda x: x["avail"])

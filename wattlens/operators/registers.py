@@ -8,6 +8,7 @@ from ..functions import arrays, codes, text
 from ..functions.maths import nz, ratio, try_num
 from .rows import best_row, require
 
+# Fixed values.
 EXCLUDED_FUELS = ["hydro", "hydro pumped storage", "hydro run-of-river and poundage", "hydro water reservoir", "marine", "solar",
                   "wind onshore", "wind offshore"]
 
@@ -38,11 +39,14 @@ def most_complete(ppm: DataFrame) -> DataFrame:
 
 
 def integrate_registers(jrc: DataFrame, ppm: DataFrame, country_codes: dict[str, str] | None = None, lifetime: int = 45) -> DataFrame:
-    """Unit register enriched by the second one: match on the unit code, else the plant code.
+    """Matched registers without non-thermal fuels, rows without unit code and rows without any
+    decommissioning year (known or commissioning + lifetime)."""
+    return only_kept(match_registers(jrc, ppm, lifetime), country_codes)
 
-    Unit matches win column by column. Non-thermal fuels, rows without unit code and rows
-    without any decommissioning year (known or commissioning + lifetime) are dropped.
-    """
+
+def match_registers(jrc: DataFrame, ppm: DataFrame, lifetime: int = 45) -> DataFrame:
+    """Unit register enriched by the second one: match on the unit code, else the plant code.
+    Unit matches win column by column; every row of the first register stays."""
     cols = ["technology", "set", "bus", "lat", "lon", "date_in", "date_out"]
     p = most_complete(explode_eic_sets(ppm)).select("eic_norm", "eic", *cols)
     side = lambda tag: p.select(F.col("eic_norm").alias(f"_{tag}"), *[F.col(c).alias(f"{tag}_{c}") for c in ("eic", *cols)])
@@ -55,7 +59,10 @@ def integrate_registers(jrc: DataFrame, ppm: DataFrame, country_codes: dict[str,
                        "lat": F.coalesce("lat", pick("lat")), "lon": F.coalesce("lon", pick("lon"))})
     j = j.withColumn("year_commissioned", F.coalesce("year_commissioned", year_of("_in"))).withColumn(
         "year_decommissioned", F.coalesce("year_decommissioned", year_of("_out")))
-    j = j.withColumn("year_decommissioned", F.coalesce("year_decommissioned", F.col("year_commissioned") + lifetime))
+    return j.withColumn("year_decommissioned", F.coalesce("year_decommissioned", F.col("year_commissioned") + lifetime))
+
+
+def only_kept(j: DataFrame, country_codes: dict[str, str] | None = None) -> DataFrame:
     code = F.upper(F.trim("type_g"))
     j = j.filter(~F.coalesce(F.lower(F.trim("type_g")).isin(*EXCLUDED_FUELS), F.lit(False)))
     j = j.filter(F.col("eic_g").isNotNull() & F.col("year_decommissioned").isNotNull())
@@ -70,6 +77,7 @@ def integrate_registers(jrc: DataFrame, ppm: DataFrame, country_codes: dict[str,
 
 
 def match_statistics(joined: DataFrame) -> DataFrame:
+    """Counts over all rows of ``match_registers``, before any filter."""
     return joined.agg(F.count_if(F.col("eic_match_source") == "unit_eic").alias("matched_unit_eic"),
                       F.count_if(F.col("eic_match_source") == "plant_eic").alias("matched_plant_eic"),
                       F.count_if(F.col("eic_match_source").isNull()).alias("unmatched"))
@@ -189,7 +197,7 @@ def to_plant_panel(panel: DataFrame, attached: DataFrame) -> DataFrame:
 
 def plant_key(df: DataFrame) -> Column:
     named = F.concat_ws("|", F.trim("country"), F.lower(F.trim(F.coalesce("plant_name", "unit_name"))))
-    return text.first_present(*[c for c in ("plant_eic_norm", "plant_eic", "ppm_id", "source_id_norm", "source_id") if c in df.columns][:1], named)
+    return text.first_present(*[c for c in ("plant_eic_norm", "plant_eic", "ppm_id", "source_id_norm", "source_id") if c in df.columns], named)
 
 
 def plants_of(units: DataFrame) -> DataFrame:

@@ -201,7 +201,9 @@ def multi_interval_counts(df: DataFrame) -> DataFrame:
 
 
 def allowed_areas(df: DataFrame, wanted: str, y_areas: DataFrame | None = None) -> DataFrame:
-    """Rows of known areas: the static list, plus directory codes with the wanted function."""
+    """Rows of known areas: the static list, plus directory codes with the wanted function.
+    Rows that name no area type count as of the wanted one."""
+    df = df.withColumn("area_type", F.coalesce(text.clean("area_type"), F.lit(wanted.strip())))
     df = df.filter(text.area_type_matches("area_type", wanted))
     static = F.col("area_code").isin(*codes.AREAS.values())
     if y_areas is None:

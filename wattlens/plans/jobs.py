@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from ..operators import (capacity as cap, compare, diagnose as dg, generation as gen, inverse, kpis, registers, tallies as tl,
                          validation as val)
 from ..operators.panel import PanelOptions, build_panel, build_segments, outage_sums
-from ..operators.reports import Prepared, prepare_reports
+from ..operators.reports import Prepared, prepare_reports, scope_mrids
 from ..operators.segments import from_hours, to_hours
 from ..session import materialise
 
@@ -125,13 +125,13 @@ def availability_vs_generation(panel: DataFrame, generation: DataFrame, lookup:
 
 
 def inverse_availability(panel: DataFrame, generation: DataFrame, raw: DataFrame, lookup: DataFrame | None = None, window_hours: float = 0.0,
-                         tol_mw: float = 0.0, tol_rel: float = 0.0, max_candidates: int | None = 20, actions: list[str] | None = None) -> dict[str, DataFrame]:
+                         tol_mw: float = 0.0, tol_rel: float = 0.0, max_candidates: int | None = None, actions: list[str] | None = None) -> dict[str, DataFrame]:
     """Violations -> ranked reports -> recommended actions -> correction masks."""
     p = val.restricted(val.compared_capacity(panel, lookup))
     hours = materialise(val.violation_hours(p, generation, tol_mw, tol_rel))
     segments, tagged = val.violation_segments(hours)
     segments = materialise(segments)
-    scope = inverse.candidates_in_scope(inverse.latest_mrid_rows(raw), segments, window_hours)
+    scope = inverse.candidates_in_scope(inverse.latest_mrid_rows(scope_mrids(raw)), segments, window_hours)
     if lookup is not None:
         scope = cap.attach_capacity(scope, lookup, "start_derate", out="installed_capacity_ext").drop("installed_capacity").withColumnRenamed(
             "installed_capacity_ext", "installed_capacity")
@@ -164,7 +164,7 @@ def diagnose(panel: DataFrame, generation: DataFrame, reports: DataFrame | None
     return out
 
 
-def compare_sources(table: DataFrame, group: str, a: str, b: str, top: int = 20) -> dict[str, DataFrame]:
+def compare_sources(table: DataFrame, group: str, a: str, b: str, top: int) -> dict[str, DataFrame]:
     """Chart-ready tables of two labelled sources (columns country, group, source, value)."""
     one, two = compare.common_pairs(table.filter(table["source"] == a), table.filter(table["source"] == b), ["country", group])
     both = one.unionByName(two)

@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,38 +35,29 @@ def pin_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str | None:
-    """Folder for intermediate tables: the one named by ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a temporary folder of its own; on a
-    cluster a machine-local folder would be lost with its machine.
-    """
+def shared_dir(spark: SparkSession) -> str:
+    """Folder for intermediate tables: the one named by ``spark.checkpoint.dir``, else one in
+    the session's warehouse, which driver and executors share as well."""
     named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if spark.sparkContext.master.startswith("local"):
-        return _local_dir()
-    return None
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/intermediate"
 
 
-@lru_cache(maxsize=1)
-def _local_dir() -> str:
-    path = tempfile.mkdtemp(prefix="wattlens-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return path
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system of ``path`` delete it when the driver ends."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(p)
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Used where a result feeds several branches: it is computed once, lost executors
-    re-read it, and later branches scan only the columns they need. Stays lazy when the
-    session names no shared folder.
+    re-read it, and later branches scan only the columns they need. The table goes when
+    the driver ends.
     """
     spark = df.sparkSession
-    base = shared_dir(spark)
-    if base is None:
-        return df
-    path = f"{base.rstrip('/')}/wattlens/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/wattlens/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -38,27 +38,38 @@ def read_text_table(spark: SparkSession, where: str | list[str], sep: str = "\t"
     lines go through the second parser.
     """
     out = None
-    for path in paths(where):
-        part = _read_one(spark, path, sep)
+    for group in files_by_header(spark, paths(where), sep):
+        part = _read_one(spark, group, sep)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if wanted:
         out = out.select(*[F.col(f"`{c}`") for c in out.columns if c in wanted or c == "source_path"])
     return out
 
 
-def _read_one(spark: SparkSession, path: str, sep: str) -> DataFrame:
-    """One file or folder whose files share a header."""
-    names = header_of(spark, path, sep)
+def files_by_header(spark: SparkSession, where: list[str], sep: str) -> list[list[str]]:
+    """The files of the given files and folders, those with one header line together: old and new
+    spellings may lie side by side, and each file is read by its own names. Only the first
+    line of a file is looked at."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(where).select("path")
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for r in files.collect():  # names only, one row a file
+        groups.setdefault(tuple(header_of(spark, r["path"], sep)), []).append(r["path"])
+    return [sorted(g) for _, g in sorted(groups.items())]
+
+
+def _read_one(spark: SparkSession, path: list[str], sep: str) -> DataFrame:
+    """Files that share a header, in one scan: a line that does not fit is parsed again, in
+    place, with quoting off."""
+    names = header_of(spark, path[0], sep)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(CORRUPT, T.StringType())])
     raw = (
         spark.read.schema(schema).option("sep", sep).option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", True)
         .option("columnNameOfCorruptRecord", CORRUPT).csv(path)
     ).withColumn("source_path", F.col("_metadata.file_path"))
-    good = raw.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
     plain = F.from_csv(F.col(CORRUPT), ", ".join(f"`{n}` STRING" for n in names), {"sep": sep, "quote": "", "mode": "PERMISSIVE"})
-    # the second condition keeps a data column in the scan, which Spark requires beside the corrupt one
-    bad = raw.filter(F.col(CORRUPT).isNotNull() & (F.coalesce(F.col(f"`{names[0]}`"), F.lit("")) != "\u0000"))
-    return good.unionByName(bad.select(plain.alias("r"), "source_path").select("r.*", "source_path"))
+    d = raw.withColumn("_again", F.when(F.col(CORRUPT).isNotNull(), plain))
+    value = lambda n: F.when(F.col(CORRUPT).isNotNull(), F.col("_again").getField(n)).otherwise(F.col(f"`{n}`")).alias(n)
+    return d.select(*[value(n) for n in names], "source_path")
 
 
 def read_reports(spark: SparkSession, where: str | list[str], asset_types: set[str] | None = None) -> DataFrame:
@@ -140,8 +151,10 @@ def read_generation_csv(spark: SparkSession, where: str | list[str], start: str,
 def read_generation_parquet(spark: SparkSession, where: str | list[str], start: str, end: str, units: DataFrame | None = None) -> DataFrame:
     """Generation tables in either spelling; time filters are pushed to the files."""
     d = spark.read.option("mergeSchema", True).parquet(*paths(where))
-    at = next(c for c in ("timestamp", "DateTime (UTC)", "DateTime(UTC)") if c in d.columns)
-    d = d.filter((F.col(f"`{at}`") >= F.lit(start).cast("timestamp")) & (F.col(f"`{at}`") < F.lit(end).cast("timestamp")))
+    inside = F.lit(False)
+    for at in [c for c in ("timestamp", "DateTime (UTC)", "DateTime(UTC)") if c in d.columns]:  # each file has one of them
+        inside = inside | ((F.col(f"`{at}`") >= F.lit(start).cast("timestamp")) & (F.col(f"`{at}`") < F.lit(end).cast("timestamp")))
+    d = d.filter(inside)
     return unit_hour_means(sc.conform(d, sc.UNIT_GENERATION), start, end, units)
 
 

@@ -7,15 +7,15 @@ from pyspark.sql import DataFrame, Observation, functions as F
 from ..schema import PANEL_COLUMNS
 
 
-def write_panel(hours: DataFrame, root: str, mode: str = "overwrite") -> None:
+def write_panel(hours: DataFrame, root: str, mode: str = "overwrite", splits: int = 8) -> None:
     """Hourly panel partitioned by area, plant type and month, sorted by time and unit.
 
     Rows are spread by (area, type, month, unit hash), so a large area or a single busy
-    type is written by several tasks.
+    type is written by ``splits`` tasks.
     """
     cols = [c for c in PANEL_COLUMNS if c in hours.columns]
     d = hours.select(*cols, F.date_format("timestamp", "yyyy-MM").alias("month"))
-    d = d.repartition("area", "plant_type_code", "month", F.pmod(F.hash("eic_code"), F.lit(8)))
+    d = d.repartition("area", "plant_type_code", "month", F.pmod(F.hash("eic_code"), F.lit(splits)))
     d.sortWithinPartitions("area", "plant_type_code", "month", "timestamp", "eic_code").write.mode(mode).partitionBy(
         "area", "plant_type_code", "month").parquet(root)
 
@@ -33,11 +33,16 @@ def write_table(df: DataFrame, path: str, sep: str = ";", decimals: int | None =
 
 
 def write_report(df: DataFrame, path: str) -> bool:
-    """Diagnostic table, written only when it has rows; returns whether it was."""
-    if df.isEmpty():
-        return False
+    """Diagnostic table; returns whether it has rows. Rows are counted while they are written,
+    and a table without rows is removed, an earlier one at that place too."""
+    df, seen = counted(df, "report rows")
     write_table(df, path)
-    return True
+    if seen.get["rows"]:
+        return True
+    sc = df.sparkSession.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    return False
 
 
 def write_masks(mask: DataFrame, root: str, mode: str = "overwrite") -> DataFrame:
@@ -45,7 +50,7 @@ def write_masks(mask: DataFrame, root: str, mode: str = "overwrite") -> DataFram
     from ..operators.inverse import mask_index
 
     mask.write.mode(mode).partitionBy("area", "asset_type", "plant_type_code").parquet(root)
-    return mask_index(mask)
+    return mask_index(mask.sparkSession.read.parquet(root))
 
 
 def write_bundle(tables: dict[str, DataFrame], root: str) -> None:
