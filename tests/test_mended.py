@@ -90,3 +90,25 @@ def test_match_statistics_count_all_rows(spark):
     got = registers.match_statistics(registers.match_registers(jrc, ppm)).first()
     assert tuple(got) == (1, 1, 1)
     assert registers.integrate_registers(jrc, ppm).count() == 1
+
+
+def test_double_readings_do_not_break_runs(spark):
+    from wattlens.operators import validation as val
+
+    at = dt.datetime(2020, 1, 1)
+    one = lambda i, x: ("DE", "GENERATION", "DE", "Gas", "B04", "u", "U", at + dt.timedelta(hours=i), x)
+    cols = "country string, asset_type string, area string, plant_type string, plant_type_code string, eic_code string, unit_name string, timestamp timestamp, excess_generation_above_tolerance_mw double"
+    more = ["outage_id", "state", "outage_type", "outage_reason"]
+    nums = ["installed_capacity", "avail_capacity", "cmp_installed", "cmp_available", "actual_generation_mw", "actual_generation_capped_mw", "generation_above_installed_mw"]
+    d = spark.createDataFrame([one(0, 5.0), one(1, 5.0), one(1, 7.0), one(2, 5.0)], cols).select("*", *[F.lit("x").alias(c) for c in more], *[F.lit(1.0).alias(c) for c in nums])
+    seg, hours = val.violation_segments(d.withColumn("seg_start", F.col("timestamp")).withColumn("seg_end", F.col("timestamp")))
+    assert [(r["violation_hours"], r["sum_excess_generation_above_tolerance_mwh"]) for r in seg.collect()] == [(3, 17.0)] and hours.count() == 3
+
+
+def test_scope_and_options_of_the_inverse_job(spark):
+    segs = jobs.panel_job(frame(spark, random_reports(21, 25)), "2020-01-30", "2020-02-07")["segments"]
+    gen = jobs.to_hours(segs).select("timestamp", "eic_code", (F.col("installed_capacity") * 0.9).alias("actual_generation_mw"))
+    out = jobs.inverse_availability(segs, gen, frame(spark, random_reports(21, 25)), countries=["nowhere"])
+    assert out["segments"].count() == 0 and out["recommendations"].count() == 0
+    none = jobs.inverse_availability(segs, gen, frame(spark, random_reports(21, 25)), min_share=0.95)
+    assert none["segments"].count() == 0

@@ -10,6 +10,7 @@ from ..functions.times import one_hour
 from . import capacity as cap
 from .generation import above_share, capped, tolerance
 from .overlap import match_hours, overlap_join
+from .rows import best_row
 from .runs import END, START, hours_col, mark_runs
 from .segments import to_hours
 
@@ -198,12 +199,13 @@ def hourly_availability(panel: DataFrame) -> DataFrame:
 
 
 def availability_vs_generation(panel: DataFrame, generation: DataFrame, tol_mw: float = 0.0, tol_rel: float = 0.0,
-                               min_share: float = 0.0) -> DataFrame:
+                               min_share: float = 0.0, compared: DataFrame | None = None) -> DataFrame:
     """Hourly factors over the panel's hours (all, or only the restricted ones passed in).
 
     Two aggregates on the same small key are joined, never the two fact tables row by row.
+    ``compared``: the result of ``compare_hours`` where it is at hand.
     """
-    c = compare_hours(panel, generation, tol_mw, tol_rel, min_share)
+    c = compare_hours(panel, generation, tol_mw, tol_rel, min_share) if compared is None else compared
     g = c.groupBy(*GROUP, "timestamp").agg(
         F.sum("actual_generation_used_mw").alias("generation_mw"), F.sum("actual_generation_mw").alias("raw_generation_mw"),
         F.sum("generation_above_installed_mw").alias("generation_clipped_mw"),
@@ -286,10 +288,14 @@ def full_unit_series(panel: DataFrame, generation: DataFrame, lookup: DataFrame
 
 
 def daily_summary(day: DataFrame) -> DataFrame:
+    """Measures over all days of a country and type."""
+    share = ratio("observed_generation_unit_hours", "unit_hours")
     return day.groupBy(*GROUP).agg(
         F.count(F.lit(1)).alias("n_days"), F.avg("installed_mw").alias("mean_installed_mw"), F.max("installed_mw").alias("max_installed_mw"),
         F.avg("availability_factor_pct").alias("mean_availability_factor_pct"), F.min("availability_factor_pct").alias("min_availability_factor_pct"),
         F.avg("generation_factor_pct").alias("mean_generation_factor_pct"),
+        F.min("installed_mw").alias("min_installed_mw"), F.max("n_units").alias("max_units"), F.max("n_units_with_generation").alias("max_units_with_generation"),
+        F.avg(share).alias("mean_generation_coverage"), F.max("generation_gt_available_mw").alias("max_generation_gt_available_mw"),
         F.count_if(F.col("generation_gt_available_mw") > 0).alias("days_generation_gt_availability"))
 
 
@@ -304,8 +310,10 @@ def segment_id(start: str = "segment_start_utc") -> Column:
 def violation_segments(hours: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Contiguous violating hours of a unit: (segments, hours with their segment_id).
 
-    Hours are reduced to one row per unit-hour before the window.
+    Hours are reduced to one row per unit-hour before the window, the one with the largest
+    excess: a unit with two series or a double reading has one run, not two broken ones.
     """
+    hours = best_row(hours, [*SEGMENT_KEYS, "timestamp"], [F.coalesce("excess_generation_above_tolerance_mw", F.lit(-1.0))])
     h = hours.drop(START, END).withColumn(START, F.col("timestamp")).withColumn(END, F.col("timestamp") + one_hour())
     m = mark_runs(h, SEGMENT_KEYS, F.lit(1), "_seq")
     seg = m.groupBy(*SEGMENT_KEYS, "_seq").agg(

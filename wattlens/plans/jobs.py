@@ -96,9 +96,13 @@ def statistics(panel: DataFrame, opts: StatisticsOptions = StatisticsOptions(),
 
 def availability_vs_generation(panel: DataFrame, generation: DataFrame, lookup: DataFrame | None = None, plant_map: DataFrame | None = None,
                                only_restricted: bool = False, max_cluster_days: float | None = None, tol_mw: float = 0.0, tol_rel: float = 0.0,
-                               min_share: float = 0.0) -> dict[str, DataFrame]:
-    """Factors, violations and summaries at unit level, or at plant level with a plant map."""
-    p = val.compared_capacity(panel, lookup)
+                               min_share: float = 0.0, zero_below: float = 0.0) -> dict[str, DataFrame]:
+    """Factors, violations and summaries at unit level, or at plant level with a plant map.
+
+    ``min_share``: generation below this share of capacity counts as none; ``zero_below``:
+    availability at or below this share counts as none.
+    """
+    p = val.compared_capacity(panel, lookup, zero_below)
     out: dict[str, DataFrame] = {}
     if only_restricted or max_cluster_days:
         p = val.restricted(p)
@@ -115,7 +119,7 @@ def availability_vs_generation(panel: DataFrame, generation: DataFrame, lookup:
     compared = materialise(val.compare_hours(p, generation, tol_mw, tol_rel, min_share))
     uy = val.unit_year_summary(p, compared)
     violations = compared.filter("is_violation")
-    out["hourly"] = val.availability_vs_generation(p, generation, tol_mw, tol_rel, min_share)
+    out["hourly"] = val.availability_vs_generation(p, generation, tol_mw, tol_rel, min_share, compared)
     out["daily"] = val.daily(out["hourly"])
     out["summary"] = val.daily_summary(out["daily"])
     out["full_hourly"], out["generation_only_units"] = val.full_unit_series(p, generation, lookup, min_share=min_share)
@@ -125,10 +129,21 @@ def availability_vs_generation(panel: DataFrame, generation: DataFrame, lookup:
 
 
 def inverse_availability(panel: DataFrame, generation: DataFrame, raw: DataFrame, lookup: DataFrame | None = None, window_hours: float = 0.0,
-                         tol_mw: float = 0.0, tol_rel: float = 0.0, max_candidates: int | None = None, actions: list[str] | None = None) -> dict[str, DataFrame]:
-    """Violations -> ranked reports -> recommended actions -> correction masks."""
-    p = val.restricted(val.compared_capacity(panel, lookup))
-    hours = materialise(val.violation_hours(p, generation, tol_mw, tol_rel))
+                         tol_mw: float = 0.0, tol_rel: float = 0.0, max_candidates: int | None = None, actions: list[str] | None = None,
+                         min_share: float = 0.1, zero_below: float = 0.0, countries: list[str] | None = None,
+                         plant_types: list[str] | None = None) -> dict[str, DataFrame]:
+    """Violations -> ranked reports -> recommended actions -> correction masks.
+
+    ``min_share`` and ``zero_below`` as in ``availability_vs_generation``; by default generation
+    below a tenth of capacity counts as none. ``countries`` and ``plant_types`` (codes) are the
+    scope: only units of theirs are looked at, and only reports of such units are candidates.
+    """
+    if countries:
+        panel = panel.filter(panel["country"].isin(*countries))
+    if plant_types:
+        panel = panel.filter(panel["plant_type_code"].isin(*plant_types))
+    p = val.restricted(val.compared_capacity(panel, lookup, zero_below))
+    hours = materialise(val.violation_hours(p, generation, tol_mw, tol_rel, min_share))
     segments, tagged = val.violation_segments(hours)
     segments = materialise(segments)
     scope = inverse.candidates_in_scope(inverse.latest_mrid_rows(scope_mrids(raw)), segments, window_hours)
@@ -148,7 +163,7 @@ def inverse_availability(panel: DataFrame, generation: DataFrame, raw: DataFrame
 def diagnose(panel: DataFrame, generation: DataFrame, reports: DataFrame | None = None, lookup: DataFrame | None = None,
              tol_mw: float = 0.0, tol_rel: float = 0.0, min_share: float = 0.0) -> dict[str, DataFrame]:
     """Violations by position, severity and component; gaps inside outages; unit overview."""
-    full = val.compared_capacity(panel, lookup)
+    full = val.compared_capacity(tl.dedup_unit_hours(panel), lookup)
     segs = materialise(dg.add_segments(val.restricted(full)))
     compared = materialise(val.compare_hours(segs, generation, tol_mw, tol_rel, min_share))
     rows = dg.violation_rows(compared)
