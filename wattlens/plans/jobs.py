@@ -146,7 +146,8 @@ def inverse_availability(panel: DataFrame, generation: DataFrame, raw: DataFrame
     hours = materialise(val.violation_hours(p, generation, tol_mw, tol_rel, min_share))
     segments, tagged = val.violation_segments(hours)
     segments = materialise(segments)
-    scope = inverse.candidates_in_scope(inverse.latest_mrid_rows(scope_mrids(raw)), segments, window_hours)
+    raw = raw if "mrid_unit_scope" in raw.columns else scope_mrids(raw)  # a document on two units is two documents
+    scope = inverse.candidates_in_scope(inverse.latest_mrid_rows(raw), segments, window_hours)
     if lookup is not None:
         scope = cap.attach_capacity(scope, lookup, "start_derate", out="installed_capacity_ext").drop("installed_capacity").withColumnRenamed(
             "installed_capacity_ext", "installed_capacity")
