@@ -49,6 +49,14 @@ def permute_number(x: int, size: int, key: bytes, tweak: str, fits: Callable[[in
             return x
 
 
+def _has_letter(x: int, size: int) -> bool:
+    while size > 1:
+        if x % 16 >= 10:
+            return True
+        x, size = x // 16, size // 16
+    return False
+
+
 def permute_text(value: str, key: bytes, tweak: str, undo: bool = False) -> str:
     """Permutes letters among letters and digits among digits (hexadecimal strings among such);
     other characters and the case of letters stay in their places."""
@@ -56,7 +64,7 @@ def permute_text(value: str, key: bytes, tweak: str, undo: bool = False) -> str:
     alnum = [i for i, c in enumerate(low) if c in DIGITS or c in LOWER]
     if not alnum:
         return value
-    hexed = len(alnum) >= 16 and all(low[i] in HEX for i in alnum) and any(low[i] in DIGITS for i in alnum)
+    hexed = len(alnum) >= 16 and all(low[i] in HEX for i in alnum) and any(low[i] in DIGITS for i in alnum) and any(low[i] in LOWER for i in alnum)
     alphabets = [HEX if hexed else DIGITS if low[i] in DIGITS else LOWER for i in alnum]
     cut = len(alnum) // 2
 
@@ -67,7 +75,10 @@ def permute_text(value: str, key: bytes, tweak: str, undo: bool = False) -> str:
         return x, size
 
     (a, size_a), (b, size_b) = number(slice(0, cut)), number(slice(cut, None))
-    a, b = feistel(a, b, size_a, size_b, key, tweak, undo)
+    while True:
+        a, b = feistel(a, b, size_a, size_b, key, tweak, undo)
+        if not hexed or _has_letter(a, size_a) or _has_letter(b, size_b):  # hexadecimal values stay told from decimal ones
+            break
     out = list(value)
     for x, part in ((a, slice(0, cut)), (b, slice(cut, None))):
         for i, letters in zip(reversed(alnum[part]), reversed(alphabets[part])):
