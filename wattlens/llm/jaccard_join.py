@@ -29,6 +29,7 @@ from .components import components
 SKETCH_BITS = 20  # counters of the order's table: its size does not depend on the corpus
 PAIRS_UP_TO = 4  # keys of so many documents compare all pairs at once, larger ones neighbours first
 BLOCK = 20_000  # about as many documents of one key meet in a task
+BROADCAST_KEYS = 1_000_000  # as many keys (8 bytes each) are sent to all tasks; more are joined by a shuffle
 MEMO = 300_000
 
 
@@ -131,29 +132,57 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
 
 
-def order_table(slim: DataFrame, n: int) -> np.ndarray:
-    """Counts of the n-grams of all documents, by the first bits of their hash: 2^SKETCH_BITS
-    numbers whatever the corpus. Summed in tasks, then by slices of the table."""
+def bitmap(grams: np.ndarray) -> bytes:
+    """A bit for each n-gram by the last bits of its hash, in 2 to 4 times as many bits as n-grams
+    (64 at least; a power of two)."""
+    size = 1 << max(6, int(2 * len(grams) - 1).bit_length()) if len(grams) else 64
+    bits = np.zeros(size, np.uint8)
+    bits[(grams & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def fold(rows: np.ndarray) -> np.ndarray:
+    """Bitmaps (rows of 64-bit words) at half their size."""
+    half = rows.shape[1] // 2
+    return rows[:, :half] | rows[:, half:]
+
+
+def may_link(n_a, n_b, differ, percent: int):
+    """Whether sets of these sizes can link: each bit that differs is an n-gram of one set alone."""
+    return n_a + n_b - differ >= 2 * overlap_needed(n_a, n_b, percent)
+
+
+def profile(slim: DataFrame, id_type: str, n: int) -> tuple[DataFrame, np.ndarray]:
+    """In one pass over the texts: (__id, key, size, bits) of every row, and counts of the n-grams of
+    all documents by the first bits of their hash. Those are 2^SKETCH_BITS numbers whatever
+    the corpus, summed in tasks, then by slices of the table."""
     slices = 64
     wide = (1 << SKETCH_BITS) // slices
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for b in batches:
+            size, bits = [], []
             for t in b["__text"]:
                 g = shingles(t, n)
-                np.add.at(total, slots_of(g), 1) if len(g) < 4096 else np.add(total, np.bincount(slots_of(g), minlength=len(total)), out=total)
-        yield pd.DataFrame({"part": range(slices), "counts": [total[i * wide:(i + 1) * wide].tobytes() for i in range(slices)]})
+                if len(g) < 4096:
+                    np.add.at(total, slots_of(g), 1)
+                else:
+                    total += np.bincount(slots_of(g), minlength=len(total))
+                size.append(len(g))
+                bits.append(bitmap(g))
+            yield pd.DataFrame({"part": -1, "__id": b["__id"], "key": b["key"], "size": size, "bits": bits})
+        yield pd.DataFrame({"part": range(slices), "__id": None, "key": 0, "size": 0, "bits": [total[i * wide:(i + 1) * wide].tobytes() for i in range(slices)]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int64) for x in pdf["counts"])
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "counts": [np.asarray(total).tobytes()]})
+        total = sum(np.frombuffer(x, np.int64) for x in pdf["bits"])
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "bits": [np.asarray(total).tobytes()]})
 
-    parts = map_batches(slim.select("__text"), count, "part int, counts binary")
+    both = store(map_batches(slim, scan, f"part int, __id {id_type}, key long, size int, bits binary"))
     out = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in parts.groupBy("part").applyInPandas(add, "part int, counts binary").collect():  # 64 slices of fixed size
-        out[r["part"] * wide:(r["part"] + 1) * wide] = np.frombuffer(r["counts"], np.int64)
-    return out
+    for r in both.filter("part >= 0").select("part", "bits").groupBy("part").applyInPandas(add, "part int, bits binary").collect():  # 64 slices of fixed size
+        out[r["part"] * wide:(r["part"] + 1) * wide] = np.frombuffer(r["bits"], np.int64)
+    return both.filter("part < 0").drop("part"), out
 
 
 def in_order(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -187,7 +216,8 @@ def _key_edges(b: pd.DataFrame, last: list) -> tuple[pd.DataFrame, np.ndarray]:
 
 
 def meetings(slim: DataFrame, counts, n: int, percent: int) -> DataFrame:
-    """(gram, block, key, size, at): under which n-grams each text is compared."""
+    """(gram, block, blocks, key, size, at): under which n-grams each text is compared. A frequent
+    n-gram deals its texts over several blocks."""
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = counts.value
         for b in batches:
@@ -203,16 +233,17 @@ def meetings(slim: DataFrame, counts, n: int, percent: int) -> DataFrame:
             if grams:
                 g, k = np.concatenate(grams), np.concatenate(keys)
                 blocks = 1 + table[slots_of(g)] // BLOCK
-                yield pd.DataFrame({"gram": g.view(np.int64), "block": ((k.view(np.uint64) >> np.uint64(16)) % blocks.astype(np.uint64)).astype(np.int32), "key": k,
+                yield pd.DataFrame({"gram": g.view(np.int64), "block": ((k.view(np.uint64) >> np.uint64(16)) % blocks.astype(np.uint64)).astype(np.int32),
+                                    "blocks": blocks.astype(np.int32), "key": k,
                                     "size": np.concatenate(sizes), "at": np.concatenate(at)})
 
-    return map_batches(slim.select("key", "__text"), prefixes, "gram long, block int, key long, size int, at int")
+    return map_batches(slim.select("key", "__text"), prefixes, "gram long, block int, blocks int, key long, size int, at int")
 
 
 def neighbours(met: DataFrame, percent: int) -> DataFrame:
-    """Sorted rows of ``meetings`` to pairs (kind 0: a, b) and to the members of larger keys
-    (kind 1: gram, block, a, size, at)."""
-    columns = ["kind", "gram", "block", "a", "b", "size", "at"]
+    """Sorted rows of ``meetings`` to pairs (kind 0: a, b) and to the members of keys that are large
+    or have several blocks (kind 1: gram, block, blocks, a, size, at)."""
+    columns = ["kind", "gram", "block", "blocks", "a", "b", "size", "at"]
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: list = []
@@ -228,11 +259,11 @@ def neighbours(met: DataFrame, percent: int) -> DataFrame:
     def whole(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
         if not len(b):
             return
-        g, s, k, n, at = (b[c].to_numpy() for c in ("gram", "block", "key", "size", "at"))
+        g, s, k, n, at, many = (b[c].to_numpy() for c in ("gram", "block", "key", "size", "at", "blocks"))
         o = np.lexsort((k, n, s, g))
-        g, s, k, n, at = g[o], s[o], k[o], n[o], at[o]
+        g, s, k, n, at, many = g[o], s[o], k[o], n[o], at[o], many[o]
         new = np.concatenate([[True], (g[1:] != g[:-1]) | (s[1:] != s[:-1]) | (k[1:] != k[:-1])])  # copies meet once
-        g, s, k, n, at = g[new], s[new], k[new], n[new], at[new]
+        g, s, k, n, at, many = g[new], s[new], k[new], n[new], at[new], many[new]
         first = np.concatenate([[True], (g[1:] != g[:-1]) | (s[1:] != s[:-1])])
         group = np.cumsum(first) - 1
         m = np.bincount(group)[group]
@@ -243,38 +274,73 @@ def neighbours(met: DataFrame, percent: int) -> DataFrame:
             need = overlap_needed(n[i].astype(np.int64), n[j].astype(np.int64), percent)
             fits = (100 * n[i].astype(np.int64) >= percent * n[j].astype(np.int64)) & (1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1 >= need)
             i, j = i[fits], j[fits]
-            rows.append(pd.DataFrame({"kind": 0, "gram": 0, "block": 0, "a": np.minimum(k[i], k[j]), "b": np.maximum(k[i], k[j]), "size": 0, "at": 0}))
+            rows.append(pd.DataFrame({"kind": 0, "gram": 0, "block": 0, "blocks": 0, "a": np.minimum(k[i], k[j]), "b": np.maximum(k[i], k[j]), "size": 0, "at": 0}))
         rows[0] = pd.concat(rows).drop_duplicates()
-        big = m > PAIRS_UP_TO
-        rows[1:] = [pd.DataFrame({"kind": 1, "gram": g[big], "block": s[big], "a": k[big], "b": 0, "size": n[big], "at": at[big]})]
-        yield pd.concat(rows).astype({"kind": "int32", "block": "int32", "size": "int32", "at": "int32"})[columns]
+        big = (m > PAIRS_UP_TO) | (many > 1)
+        rows[1:] = [pd.DataFrame({"kind": 1, "gram": g[big], "block": s[big], "blocks": many[big], "a": k[big], "b": 0, "size": n[big], "at": at[big]})]
+        yield pd.concat(rows).astype({"kind": "int32", "block": "int32", "blocks": "int32", "size": "int32", "at": "int32"})[columns]
 
-    return map_batches(met, near, "kind int, gram long, block int, a long, b long, size int, at int")
+    return map_batches(met, near, "kind int, gram long, block int, blocks int, a long, b long, size int, at int")
 
 
 def rest_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components under one key: sorted rows (gram, x, y, block, a, size, at, root)."""
+    """Pairs of different components under one key that sizes, places and bitmaps let link:
+    sorted rows (gram, x, y, block, a, size, at, root, bits)."""
     def far(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for run in _runs((b.assign(meet=list(zip(b["gram"], b["x"], b["y"]))) for b in batches), "meet"):
             run = run.drop_duplicates("a").sort_values(["size", "a"])
             k, n, at, root, block = (run[c].to_numpy() for c in ("a", "size", "at", "root", "block"))
+            n = n.astype(np.int64)
             across = run["x"].iloc[0] != run["y"].iloc[0]
+            width = np.array([len(x) for x in run["bits"]])  # grows with the size, so each width is one stretch of rows
+            stretch = {int(w): (int(np.argmax(width == w)), np.frombuffer(b"".join(run["bits"][width == w]), "<u8").reshape(-1, w // 8)) for w in np.unique(width)}
+            folded = {w: fold(m) for w, (_, m) in stretch.items() if w > 8}
             for i in range(len(k)):
-                end = np.searchsorted(n, 100 * int(n[i]) // percent, side="right")
+                end = int(np.searchsorted(n, 100 * n[i] // percent, side="right"))
                 if end <= i + 1:
                     continue
-                other = slice(i + 1, end)
-                need = overlap_needed(int(n[i]), n[other].astype(np.int64), percent)
-                ok = (root[other] != root[i]) & (np.minimum(n[i] - at[i], n[other] - at[other]) >= need)
-                if across:
-                    ok &= block[other] != block[i]
-                j = np.flatnonzero(ok) + i + 1
-                if len(j):
-                    yield pd.DataFrame({"a": np.minimum(k[i], k[j]), "b": np.maximum(k[i], k[j])})
+                own, w = stretch[int(width[i])][1][i - stretch[int(width[i])][0]], int(width[i])
+                for other, rows in ((w, stretch[w][1]), (2 * w, folded.get(2 * w))):
+                    if other not in stretch:
+                        continue
+                    first = stretch[other][0]
+                    low, high = max(i + 1, first), min(end, first + len(rows))
+                    if low >= high:
+                        continue
+                    j = np.arange(low, high)
+                    ok = (root[j] != root[i]) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= overlap_needed(n[i], n[j], percent))
+                    if across:
+                        ok &= block[j] != block[i]
+                    j = j[ok]
+                    if len(j):
+                        differ = np.bitwise_count(rows[j - first] ^ own).sum(axis=1).astype(np.int64)
+                        j = j[may_link(n[i], n[j], differ, percent)]
+                    if len(j):
+                        yield pd.DataFrame({"a": np.minimum(k[i], k[j]), "b": np.maximum(k[i], k[j])})
 
     return map_batches(members, far, "a long, b long")
 
 
+def promising(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their bitmaps let link."""
+    one = bits.select(F.col("key").alias("a"), F.col("size").alias("na"), F.col("bits").alias("ba"))
+    two = bits.select(F.col("key").alias("b"), F.col("size").alias("nb"), F.col("bits").alias("bb"))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keep = []
+            for na, nb, x, y in zip(b["na"].tolist(), b["nb"].tolist(), b["ba"], b["bb"]):
+                x, y = np.frombuffer(x, "<u8")[None], np.frombuffer(y, "<u8")[None]
+                while x.shape[1] > y.shape[1]:
+                    x = fold(x)
+                while y.shape[1] > x.shape[1]:
+                    y = fold(y)
+                keep.append(bool(may_link(na, nb, int(np.bitwise_count(x ^ y).sum()), percent)))
+            yield b.loc[keep, ["a", "b"]]
+
+    return map_batches(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ba", "bb"), compare, "a long, b long")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that link, by walking a prefix tree of a's partners."""
     partners = pairs.join(sets.select(F.col("key").alias("b"), "grams"), "b").select("a", F.lit(1).alias("partner"), "b", "grams")
@@ -315,7 +381,8 @@ def _sets(slim: DataFrame, keys: DataFrame, counts, n: int) -> DataFrame:
             yield pd.DataFrame({"key": b["key"], "grams": [in_order(shingles(t, n), counts.value)[::-1].tobytes() for t in b["__text"]]})
 
     # the tree shares beginnings, so sets are stored with the n-grams that many texts have first
-    wanted = slim.select("key", "__text").join(keys, "key", "left_semi")
+    count = keys.count()
+    wanted = slim.select("key", "__text").join(F.broadcast(keys) if count <= BROADCAST_KEYS else keys, "key", "left_semi")
     return map_batches(wanted, grams, "key long, grams binary").dropDuplicates(["key"])
 
 
@@ -332,37 +399,38 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     """
     spark = docs.sparkSession
     slim = _slim(docs, id_col, text_col)
-    counts = spark.sparkContext.broadcast(order_table(slim, n))  # 8 * 2^SKETCH_BITS bytes
+    rows, table = profile(slim, docs.schema[id_col].dataType.simpleString(), n)
+    counts = spark.sparkContext.broadcast(table)  # 8 * 2^SKETCH_BITS bytes
+    by_key = store(rows.groupBy("key").agg(F.min("__id").alias("least"), F.max("size").alias("size"), F.first("bits").alias("bits")))
 
-    def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"__id": b["__id"], "key": b["key"], "n_shingles": [len(shingles(t, n)) for t in b["__text"]]})
+    def linked(pairs: DataFrame) -> DataFrame:
+        keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+        return store(verify(pairs, store(_sets(slim, store(keys), counts, n)), percent))
 
-    kind = docs.schema[id_col].dataType.simpleString()
     found = store(neighbours(meetings(slim, counts, n, percent).repartition("gram", "block").sortWithinPartitions("gram", "block"), percent))
-    pairs = store(found.filter("kind = 0").select("a", "b").distinct())
-    members = found.filter("kind = 1").select("gram", "block", "a", "size", "at")
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).union(members.select(F.col("a").alias("key"))).distinct()
-    sets = store(_sets(slim, keys, counts, n))
-    links = store(verify(pairs, sets, percent))
+    pairs = store(promising(found.filter("kind = 0").select("a", "b").distinct(), by_key, percent))
+    members = found.filter("kind = 1").select("gram", "block", "blocks", "a", "size", "at")
+    links = linked(pairs)
     roots = components(links)
 
-    rooted = members.join(roots, F.col("a") == F.col("node"), "left").select("gram", "block", "a", "size", "at", F.coalesce("root", "a").alias("root"))
-    spread = rooted.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), (F.max("block") + 1).alias("blocks")).filter("r0 < r1")
-    open_ = rooted.join(spread.select("gram", "blocks"), "gram").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    open_ = open_.select("gram", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "a", "size", "at", "root")
+    # keys that still hold several components: all pairs across them
+    rooted = members.join(roots, F.col("a") == F.col("node"), "left").select("gram", "block", "blocks", "a", "size", "at", F.coalesce("root", "a").alias("root"))
+    spread = rooted.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1")
+    open_ = rooted.join(spread.select("gram"), "gram").join(by_key.select(F.col("key").alias("a"), "bits"), "a")
+    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    open_ = open_.select("gram", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "a", "size", "at", "root", "bits")
     rest = rest_pairs(open_.repartition("gram", "x", "y").sortWithinPartitions("gram", "x", "y"), percent).distinct()
-    more = store(verify(store(rest.join(pairs, ["a", "b"], "left_anti")), sets, percent))
-    all_links = links.union(more)
-    roots = components(all_links) if more.head(1) else roots
+    rest = store(rest.join(pairs, ["a", "b"], "left_anti"))
+    all_links = links
+    if rest.head(1):
+        all_links = links.union(linked(rest))
+        roots = components(all_links)
 
-    rows = store(map_batches(slim, sizes, f"__id {kind}, key long, n_shingles long"))
     degree = all_links.select(F.col("a").alias("key")).union(all_links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
-    named = rows.select("__id", "key", "n_shingles").groupBy("key").agg(F.min("__id").alias("least"), F.max("n_shingles").alias("n_shingles"))
-    named = named.join(roots, F.col("key") == F.col("node"), "left").join(degree, "key", "left").select(
-        "key", "least", "n_shingles", F.coalesce("root", "key").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = by_key.join(roots, F.col("key") == F.col("node"), "left").join(degree, "key", "left").select(
+        "key", "least", F.coalesce("root", "key").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_key = named.join(least, "root").select("key", "component_id", "n_links")
+    said = named.join(least, "root").select("key", "component_id", "n_links")
     empty = F.col("n_shingles") == 0
-    return rows.join(by_key, "key").select(F.col("__id").alias(id_col), "n_shingles", F.when(empty, F.col("__id")).otherwise(F.col("component_id")).alias("component_id"),
+    return rows.withColumn("n_shingles", F.col("size").cast("long")).join(said, "key").select(F.col("__id").alias(id_col), "n_shingles", F.when(empty, F.col("__id")).otherwise(F.col("component_id")).alias("component_id"),
                                            F.when(empty, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
