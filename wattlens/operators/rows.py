@@ -1,13 +1,14 @@
-"""Row selection per key by aggregation instead of a window.
+"""Row selection per key.
 
-``groupBy().agg(max(struct))`` combines on the map side, so a key that holds a large
-share of the table is reduced before the shuffle; a ``row_number`` window would pull
-the whole group into one task.
+``row_number() = 1`` plans with a group limit before the shuffle: every task sends one row a
+key at most, so a key that holds a large share of the table stays small behind it. Rows are
+sorted once on either side; an aggregate over a struct of all columns would sort them twice and
+compare them field by field.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def best_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -15,10 +16,9 @@ def best_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
     NULL ranks lowest. Negate numbers (or use ``last_first``) for ascending preference.
     """
-    rest = [c for c in df.columns if c not in keys]
-    ranked = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], *[F.col(f"`{c}`") for c in rest])
-    g = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.max(ranked).alias("_best"))
-    return g.select(*[(F.col(f"`{c}`") if c in keys else F.col("_best").getField(c).alias(c)) for c in df.columns])
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in keys]
+    w = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(*[c.desc_nulls_last() for c in (*order, *rest)])
+    return df.withColumn("_nth", F.row_number().over(w)).filter(F.col("_nth") == 1).drop("_nth")
 
 
 def low_first(c: Column) -> list[Column]:
