@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -14,29 +13,25 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..session import materialise as store
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["gapless", "in_ranges", "map_batches", "range_cuts", "range_of", "split_evenly", "store", "table"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A session without one (tests) gets a folder of its own."""
-    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="corpus-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def store(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: computed once, safe from lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpus/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+SLICE_BYTES = 4 << 20
+_shipped: set[str] = set()
 
 
-_shipped: set[str] = set()
+def _slices(batches):
+    """Batches of wide rows in pieces, so that few long texts stand in a worker's memory at once."""
+    for b in batches:
+        step = max(64, b.num_rows * SLICE_BYTES // max(1, b.nbytes)) if b.num_rows else 1
+        for s in range(0, max(1, b.num_rows), step):
+            yield b.slice(s, step)
 
 
 def _frame(batch: pa.RecordBatch) -> pd.DataFrame:
@@ -63,7 +58,7 @@ def map_batches(df: DataFrame, fn: Callable, schema: str | StructType) -> DataFr
     arrow = to_arrow_schema(target)
 
     def run(batches):
-        for out in fn(map(_frame, batches)):
+        for out in fn(map(_frame, _slices(batches))):
             yield pa.RecordBatch.from_pandas(out[arrow.names], schema=arrow, preserve_index=False)
 
     return df.mapInArrow(run, target)
@@ -139,4 +134,5 @@ def in_ranges(docs: DataFrame, id_col: str, text_col: str, range_bytes: int = 32
     copies = rows.join(F.broadcast(wanted), F.col("id").eqNullSafe(F.col("first_id")) & (F.xxhash64("text") == F.col("h"))).select(
         F.col("before").alias("range"), F.lit(1).alias("copy"), "id", "text").dropDuplicates(["range"])
     both = rows.select("range", F.lit(0).alias("copy"), "id", "text").union(copies)
-    return both.repartition(max(2, len(firsts)), "range").sortWithinPartitions("range", "copy", "id", F.xxhash64("text"))
+    # more partitions than ranges, so that few share one
+    return both.repartition(4 * len(firsts), "range").sortWithinPartitions("range", "copy", "id", F.xxhash64("text"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,10 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Fixed value: the splitting pattern of the word vocabulary, for which chunks are independent.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Letters whose lower case and composed form are one and the same letter in every library.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
-CHUNK_LIMIT, MEMO_LIMIT, BLOCK_CHARS = 64, 800_000, 8_000_000
+#: Letters whose lower case and composed form are one and the same letter in every library, and ASCII punctuation but the apostrophe.
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]*")
+PUNCTUATION = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum() and chr(i) != "'")
+CHUNK_LIMIT, MEMO_LIMIT, BLOCK_CHARS = 64, 250_000, 2_000_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -31,46 +33,64 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class WordEncoder(dict):
-    """Maps a chunk to its ids as little-endian unsigned 32-bit bytes; ``encode_batch`` does whole texts."""
+class WordEncoder:
+    """Ids of whole texts. Chunks of Latin letters and trailing punctuation are put together from
+    remembered parts; other chunks are remembered as a whole. The memos are bounded."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         told = json.loads(self.tokenizer.to_str())
         steps = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         norms = [x["type"] for x in (told.get("normalizer") or {}).get("normalizers", [])]
         self.by_word = norms == ["NFC", "Replace", "Lowercase"] and steps[0].get("pattern", {}).get("Regex") == WORD_PATTERN \
-            and not any(" " in x["content"] or x["lstrip"] or x["rstrip"] for x in told["added_tokens"])
-        self.special = any(not x["content"].startswith("<|") for x in told["added_tokens"])
+            and all(x["content"].startswith("<|") and " " not in x["content"] and not x["lstrip"] and not x["rstrip"] for x in told["added_tokens"])
         self.letters = _byte_letters()
-        self.cores: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {"": b""}  # lower-case words and runs of punctuation
+        self.old_parts: dict[str, bytes] = {}  # what was remembered before the last change of generation
+        self.others: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _core(self, core: str) -> bytes:
-        got = self.cores.get(core)
+    def _part(self, part: str) -> bytes:
+        got = self.parts.get(part)
         if got is None:
-            mapped = core if core.isascii() else "".join(map(self.letters.__getitem__, core.encode()))
-            got = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], dtype="<u4").tobytes()
-            if len(self.cores) >= MEMO_LIMIT:
-                self.cores.clear()
-            self.cores[core] = got
+            got = self.old_parts.get(part)
+            if got is None:
+                mapped = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+                got = array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+            if len(self.parts) >= MEMO_LIMIT:
+                self.old_parts, self.parts = self.parts, {"": b""}
+            if len(part) <= CHUNK_LIMIT:
+                self.parts[part] = got
         return got
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(chunk) > CHUNK_LIMIT or self.special:
-            return self._whole(chunk)
-        m = PLAIN.fullmatch(chunk)
-        got = self._core(m[1].lower()) + self._core(m[2]) if m and "<|" not in chunk else self._whole(chunk)
-        if len(self) >= MEMO_LIMIT * 3 // 4:
-            self.clear()
-        self[chunk] = got
+    def _other(self, chunk: str) -> bytes:
+        got = self.others.get(chunk)
+        if got is None:
+            got = self._whole(chunk)
+            if len(self.others) >= MEMO_LIMIT // 4:
+                self.others.clear()
+            if len(chunk) <= CHUNK_LIMIT:
+                self.others[chunk] = got
         return got
 
+    def chunks(self, chunks) -> list[bytes]:
+        """Ids of each chunk, as little-endian unsigned 32-bit numbers."""
+        out = []
+        for chunk in chunks:
+            word = chunk.rstrip(PUNCTUATION)
+            got = self.parts.get(word.lower())
+            if got is None:
+                if not PLAIN.fullmatch(word):
+                    out.append(self._other(chunk))
+                    continue
+                got = self._part(word.lower())
+            out.append(got if len(word) == len(chunk) else got + self._part(chunk[len(word):]))
+        return out
+
     def encode(self, text: str | None) -> bytes:
         """Ids of the whole text; null is an empty text."""
         return self.encode_batch([text])[0].tobytes()
@@ -97,7 +117,7 @@ class WordEncoder(dict):
         chunks = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
         coded = chunks.values.dictionary_encode()
         code = coded.indices.to_numpy()
-        known = [self[w] for w in coded.dictionary.to_pylist()]
+        known = self.chunks(coded.dictionary.to_numpy(zero_copy_only=False))
         flat = np.frombuffer(b"".join(known), "<u4")
         length = np.fromiter(map(len, known), np.int64, len(known)) // 4
         first = np.cumsum(length) - length
@@ -106,6 +126,8 @@ class WordEncoder(dict):
         total = int(ends[-1]) if len(ends) else 0
         ids = flat[np.repeat(first[code] - (ends - each), each) + np.arange(total)]
         at = np.concatenate([[0], ends])[chunks.offsets.to_numpy()]
+        del chunks, coded
+        pa.default_memory_pool().release_unused()
         return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 

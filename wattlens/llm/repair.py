@@ -46,12 +46,13 @@ def compress(ids: np.ndarray, base: int, least: int = 8, each_round: int = 4096,
         if not len(often):
             break
         chosen = ordered[starts[often]]
-        # a table of one bit a hash value drops most places before the exact look-up
+        # places by a hash table; of chosen pairs that share a slot one waits for the next round
         slot = (pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
-        hit = np.zeros(1 << 20, bool)
-        hit[(chosen * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)] = True
-        places = np.flatnonzero(hit[slot])
-        which = np.minimum(np.searchsorted(chosen, pair[places]), len(chosen) - 1)
+        at_slot = np.full(1 << 20, -1, np.int32)
+        at_slot[(chosen * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)] = np.arange(len(chosen), dtype=np.int32)
+        which = at_slot[slot]
+        places = np.flatnonzero(which >= 0)
+        which = which[places]
         exact = chosen[which] == pair[places]
         places, which = places[exact], which[exact]
         fresh = np.concatenate([[True], np.diff(places) != 1])  # of a run of neighbouring places every other one is taken
