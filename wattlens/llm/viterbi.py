@@ -88,26 +88,51 @@ class Model:
         if self.rules:
             raise ValueError("models with normalisation rules need the library's normaliser")
 
+    def _step(self, parts: list[str]) -> list[str]:
+        """One merge: the best-scored neighbours, left before right; the same list if there is none."""
+        best, where = None, -1
+        for i in range(len(parts) - 1):
+            k = self.ids.get(parts[i] + parts[i + 1])
+            if k is not None and (best is None or self.scores[k] > best):
+                best, where = self.scores[k], i
+        return parts if where < 0 else [*parts[:where], parts[where] + parts[where + 1], *parts[where + 2:]]
+
     def merged(self, text: str) -> tuple[str, ...]:
-        """A short text by the definition of merge models: the best-scored neighbours first, left before right."""
+        """A short text by the definition of merge models."""
         parts = list(text)
-        while True:
-            best, where = None, -1
-            for i in range(len(parts) - 1):
-                k = self.ids.get(parts[i] + parts[i + 1])
-                if k is not None and (best is None or self.scores[k] > best):
-                    best, where = self.scores[k], i
-            if where < 0:
-                return tuple(parts)
-            parts[where:where + 2] = [parts[where] + parts[where + 1]]
+        while len(new := self._step(parts)) < len(parts):
+            parts = new
+        return tuple(parts)
 
     @cached_property
-    def standing(self) -> frozenset[str]:
-        """The pieces that merging makes of their own characters."""
-        return frozenset(p for p in self.ids if len(self.merged(p)) == 1)
+    def reach(self) -> dict[str, int]:
+        """Length of the longest piece that ends with given two characters."""
+        out: dict[str, int] = {}
+        for p in self.ids:
+            out[p[-2:]] = max(len(p), out.get(p[-2:], 0))
+        return out
+
+    @cached_property
+    def halves(self) -> dict[str, tuple[str, ...]]:
+        """The pieces that merging makes of their own characters, with the two parts that the last
+        merge joins (characters: themselves)."""
+        out: dict[str, tuple[str, ...]] = {}
+        for p in self.ids:
+            parts = list(p)
+            while len(parts) > 2 and len(new := self._step(parts)) < len(parts):
+                parts = new
+            if len(parts) <= 2:  # the piece itself is what two parts make
+                out[p] = tuple(parts)
+        return out
 
     def follows(self, left: str, right: str) -> bool:
-        """Whether merging ``left`` + ``right`` leaves them side by side."""
+        """Whether merging ``left`` + ``right`` leaves them side by side.
+
+        It does unless some merge across the border comes before the merges that made the two
+        pieces. The border's neighbours in time are the right parts of ``left`` and the left
+        parts of ``right``, so the later-made piece is undone step by step; what is left of a
+        tie between equal scores merges first.
+        """
         if right.startswith(SPACE) and not left.endswith(SPACE) and not self.across:
             return True
         key = (left, right)
@@ -115,9 +140,26 @@ class Model:
         if got is None:
             if len(self._pairs) > MEMO:
                 self._pairs.clear()
-            got = self._pairs[key] = self.merged(left + right) == key
+            got = self._pairs[key] = self._side_by_side(left, right)
         return got
 
+    def _side_by_side(self, left: str, right: str) -> bool:
+        score = lambda p: self.scores[self.ids[p]] if len(p) > 1 else float("inf")  # noqa: E731  characters are there from the start
+        least, tie = float("-inf"), True  # a merge across comes in time if its score is above this, or equal where a tie goes to it
+        while True:
+            joined = self.ids.get(left + right)
+            if joined is not None:
+                s = self.scores[joined]
+                if s > least or tie and s == least:
+                    return False
+            a, b = score(left), score(right)
+            if a == b == float("inf"):
+                return True
+            if a < b:  # left was made last: before that its right part stood at the border
+                least, tie, left = a, False, self.halves[left][1]
+            else:
+                least, tie, right = b, True, self.halves[right][0]
+
 
 class Stream:
     """The search itself. ``feed`` takes characters and returns the pieces that are final."""
@@ -142,9 +184,9 @@ class Stream:
     def _best(self, at: int) -> tuple[float, int, str] | None:
         m, text, way, found = self.m, self.text, self.way, None
         if m.type == MERGES:
-            for start in range(at - 1, max(-1, at - m.longest - 1), -1):
+            for start in range(at - 1, max(-1, at - m.reach.get(text[max(0, at - 2):at], 1) - 1), -1):
                 piece = text[start:at]
-                if piece in m.standing or start == at - 1 and piece not in m.ids:
+                if piece in m.halves or start == at - 1 and piece not in m.ids:
                     before = way[start]
                     if before is not None and (not before[2] or m.follows(before[2], piece)):
                         return 0.0, start, piece  # there is no other
