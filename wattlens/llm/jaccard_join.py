@@ -133,9 +133,9 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def bitmap(grams: np.ndarray) -> bytes:
-    """A bit for each n-gram by the last bits of its hash, in 2 to 4 times as many bits as n-grams
-    (64 at least; a power of two)."""
-    size = 1 << max(6, int(2 * len(grams) - 1).bit_length()) if len(grams) else 64
+    """A bit for each n-gram by the last bits of its hash, in 8 to 16 times as many bits as n-grams
+    (64 at least; a power of two): few n-grams share a bit, so few pairs below the bound pass."""
+    size = 1 << max(6, int(8 * len(grams) - 1).bit_length()) if len(grams) else 64
     bits = np.zeros(size, np.uint8)
     bits[(grams & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
