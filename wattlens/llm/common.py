@@ -32,6 +32,7 @@ def _slices(batches):
         step = max(64, b.num_rows * SLICE_BYTES // max(1, b.nbytes)) if b.num_rows else 1
         for s in range(0, max(1, b.num_rows), step):
             yield b.slice(s, step)
+        pa.default_memory_pool().release_unused()  # workers share their machine's memory with the JVM
 
 
 def _frame(batch: pa.RecordBatch) -> pd.DataFrame:

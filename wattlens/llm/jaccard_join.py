@@ -30,7 +30,7 @@ SKETCH_BITS = 20  # counters of the order's table: its size does not depend on t
 PAIRS_UP_TO = 4  # keys of so many documents compare all pairs at once, larger ones neighbours first
 BLOCK = 20_000  # about as many documents of one key meet in a task
 BROADCAST_KEYS = 1_000_000  # as many keys (8 bytes each) are sent to all tasks; more are joined by a shuffle
-MEMO = 300_000
+MEMO = 150_000
 
 
 class Words(dict):
@@ -295,6 +295,7 @@ def rest_pairs(members: DataFrame, percent: int) -> DataFrame:
             width = np.array([len(x) for x in run["bits"]])  # grows with the size, so each width is one stretch of rows
             stretch = {int(w): (int(np.argmax(width == w)), np.frombuffer(b"".join(run["bits"][width == w]), "<u8").reshape(-1, w // 8)) for w in np.unique(width)}
             folded = {w: fold(m) for w, (_, m) in stretch.items() if w > 8}
+            out: list[np.ndarray] = []
             for i in range(len(k)):
                 end = int(np.searchsorted(n, 100 * n[i] // percent, side="right"))
                 if end <= i + 1:
@@ -316,7 +317,12 @@ def rest_pairs(members: DataFrame, percent: int) -> DataFrame:
                         differ = np.bitwise_count(rows[j - first] ^ own).sum(axis=1).astype(np.int64)
                         j = j[may_link(n[i], n[j], differ, percent)]
                     if len(j):
-                        yield pd.DataFrame({"a": np.minimum(k[i], k[j]), "b": np.maximum(k[i], k[j])})
+                        out.append(np.stack([np.minimum(k[i], k[j]), np.maximum(k[i], k[j])], axis=1))
+                if out and i % 4096 == 4095:
+                    yield pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+                    out.clear()
+            if out:
+                yield pd.DataFrame(np.concatenate(out), columns=["a", "b"])
 
     return map_batches(members, far, "a long, b long")
 
@@ -425,6 +431,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     if rest.head(1):
         all_links = links.union(linked(rest))
         roots = components(all_links)
+    counts.unpersist()  # all that needed it is written
 
     degree = all_links.select(F.col("a").alias("key")).union(all_links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
     named = by_key.join(roots, F.col("key") == F.col("node"), "left").join(degree, "key", "left").select(
