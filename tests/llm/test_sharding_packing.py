@@ -62,7 +62,12 @@ def test_best_fit_under_every_capacity(spark, rule):
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 101, 300).tolist()
     free = packed(spark, lengths, 100, rule=rule)
-    assert len(free) <= np.ceil(sum(lengths) / 100) + 2
+    left: list[int] = []  # best-fit decreasing piece by piece
+    for n in sorted(lengths, reverse=True):
+        fits = [i for i, x in enumerate(left) if x >= n]
+        i = min(fits, key=lambda i: left[i]) if fits else left.append(100) or len(left) - 1
+        left[i] -= n
+    assert len(free) <= len(left)
     few = packed(spark, lengths, 100, documents=3, rule=rule)
     assert max(map(len, few.values())) <= 3
     cheap = packed(spark, [n for n in lengths if n <= 60], 100, attention=4000, rule=rule)
