@@ -169,6 +169,16 @@ def test_likeness():
     assert 0 <= ph.likeness(f("a"), f("b")) < 1 and ph.likeness(f("ab"), f("ac")) < 1
 
 
+def test_sketch_holds_the_least_distinct_windows():
+    text = "one line that stands here again and again\n" * 400 + " ".join(f"w{i * 7919 % 1009}" for i in range(300))
+    for t in (text, text[::-1], "ab" * 5000, "short", ""):
+        h = ph.PrefixHash(ph.codes(t))
+        want = sorted(set(h.windows(ph.WINDOW).tolist()))[:ph.LEAST]
+        raw = ph.base64.b64decode(h.fingerprint())
+        assert np.frombuffer(raw[16 + 8 * int((ph.GRID <= len(t)).sum()):], "<u4").tolist() == want
+    assert len(set(ph.PrefixHash(ph.codes(text)).windows(ph.WINDOW).tolist())) > 10 * ph.LEAST
+
+
 @pytest.mark.parametrize("size", [10, 1 << 25])
 def test_edited_texts(spark, mixed, monkeypatch, size):
     monkeypatch.setattr(common.in_ranges, "__defaults__", (size, 20_000))

@@ -43,6 +43,17 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
 
 
+def least_distinct(values: np.ndarray, count: int) -> np.ndarray:
+    """The ``count`` least distinct values, ascending; all, if there are fewer."""
+    reach = 2 * count
+    while 2 * reach < len(values):
+        found = np.unique(np.partition(values, reach)[:reach])
+        if len(found) >= count:
+            return found[:count]
+        reach *= 8  # repeats fill the places so far
+    return np.unique(values)[:count]
+
+
 class PrefixHash:
     """Prefix hashes h[i] = sum of c[j] B^j for j < i, modulo each prime."""
 
@@ -90,8 +101,7 @@ class PrefixHash:
         grid = GRID[GRID <= self.n]
         zero, full = np.zeros(len(grid), np.int64), np.full(len(grid), self.n)
         ends = [(self.spans(a, b, 0) * np.uint64(31) + self.spans(a, b, 1)).astype("<u4") for a, b in ((zero, grid), (full - grid, full))]
-        w = self.windows(WINDOW)
-        least = np.unique(w if len(w) <= 4 * LEAST else np.partition(w, 2 * LEAST)[:2 * LEAST])[:LEAST].astype("<u4")
+        least = least_distinct(self.windows(WINDOW), LEAST).astype("<u4")
         return base64.b64encode(struct.pack("<QII", self.n, *self.span(0, self.n)) + ends[0].tobytes() + ends[1].tobytes() + least.tobytes()).decode()
 
 
