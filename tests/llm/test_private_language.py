@@ -43,6 +43,64 @@ def test_checks_hold_after_and_bad_values_stay():
         assert ps.pseudonymise_text(bad, KEY) == (bad, [])
 
 
+def _with_check(payload):
+    return payload + ps.luhn_digit(payload)
+
+
+@pytest.mark.parametrize("value,behind", [("ES9121000418450200051332", " EUR"), ("ES91 2100 0418 4502 0005 1332", " EUR"), ("ES91 2100 0418 4502 0005 1332", " 2024 PAID"),
+                                          ("GB82 WEST 1234 5698 7654 32", " A"), ("4111 1111 1111 1111", " 12/27"), ("4111-1111-1111-1111", "-123"), ("+49 1512 3456 7890", " 1234 5678")])
+def test_values_before_other_groups_are_found(value, behind):
+    alone, kinds = ps.pseudonymise_text(value, KEY)
+    out, more = ps.pseudonymise_text(f"pay {value}{behind}", KEY)
+    assert kinds == more and len(kinds) == 1 and alone != value
+    assert out[4:4 + len(value)] == alone and ps.pseudonymise_text(out, KEY, undo=True)[0] == f"pay {value}{behind}"
+
+
+def test_search_goes_on_inside_rejected_spans():
+    for text, value in (("AB12 DE89370400440532013000", "DE89370400440532013000"), ("1234 4111 1111 1111 1111", "4111 1111 1111 1111"), ("+4111 1111 1111 1111", "4111 1111 1111 1111")):
+        out, kinds = ps.pseudonymise_text(text, KEY)
+        assert len(kinds) == 1 and value not in out and ps.pseudonymise_text(out, KEY, undo=True)[0] == text
+
+
+@pytest.mark.parametrize("values", [("+1 (826) 555-4081", "190.137.223.204"), ("+1 826 555 4081", "4111 1111 1111 1111"), ("4111 1111 1111 1111", "192.168.0.1"), ("4111 1111 1111 1111", "12/27/2024")])
+def test_neighbouring_values_are_not_cut(values):
+    text = " ".join(values)
+    out, kinds = ps.pseudonymise_text(text, KEY)
+    assert len(kinds) == 2 and out == " ".join(ps.pseudonymise_text(v, KEY)[0] for v in values) and ps.pseudonymise_text(out, KEY, undo=True)[0] == text
+
+
+def test_digits_behind_cards_come_back_and_links_stay():
+    rng = np.random.default_rng(3)
+    for i in range(400):
+        number = _with_check("".join(map(str, rng.integers(1, 10, 15))))
+        spaced = " ".join(number[j:j + 4] for j in range(0, 16, 4))
+        rest = "".join(map(str, rng.integers(0, 10, 1 + i % 3)))
+        for text in (f"{spaced} {rest} end", f"{rest}77 {spaced} end"[:7 + len(spaced)]):
+            out, kinds = ps.pseudonymise_text(text, KEY)
+            assert "card" in kinds and ps.pseudonymise_text(out, KEY, undo=True)[0] == text
+        assert ps.pseudonymise_text(f"{spaced} {rest} end", KEY)[0][:19] == ps.card(spaced, KEY)
+        long = _with_check("".join(map(str, rng.integers(1, 10, 18))))
+        for text in (long, " ".join(long[j:j + 4] for j in range(0, 19, 4))):
+            out, kinds = ps.pseudonymise_text(text, KEY)
+            assert kinds == ["card"] and ps.pseudonymise_text(out, KEY, undo=True)[0] == text and ps._luhn(ps._digits(out))
+
+
+def test_secrets_run_to_their_end():
+    rng = np.random.default_rng(5)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    long = "".join(rng.choice(letters, 600))
+    dotted = ".".join("".join(rng.choice(letters, n)) for n in (36, 90, 43))
+    for value in (long, dotted, "short.abcdefgh", "".join(rng.choice(list("0123456789abcdef"), 128)), "".join(rng.choice(letters, 20_000))):
+        for text in (f"token={value} and", f'token = "{value}".', f"token={value}. And"):
+            out, kinds = ps.pseudonymise_text(text, KEY)
+            at = text.index(value)
+            new = out[at:at + len(value)]
+            assert kinds == ["secret"] and out[:at] + value + out[at + len(value):] == text
+            assert ps.pseudonymise_text(out, KEY, undo=True)[0] == text
+            for i in range(0, len(value) - 8, 8):  # no stretch of it stays
+                assert new[i:i + 8] != value[i:i + 8]
+
+
 def test_spelling_does_not_part_equal_cards():
     a, b = ps.card("4785 3805 9239 1139", KEY), ps.card("4785380592391139", KEY)
     assert a.replace(" ", "") == b

@@ -11,8 +11,9 @@ from __future__ import annotations
 import datetime as dt
 import re
 from collections.abc import Callable, Iterator
-from hashlib import blake2b
+from hashlib import blake2b, shake_256
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -20,6 +21,7 @@ from .common import map_batches
 
 ROUNDS = 10
 DIGITS, LOWER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
+LONG = 64  # letters and digits; beyond, a half holds more bits than a round's number
 FIRST_DAY, DAYS = dt.date(1900, 1, 1).toordinal(), (dt.date(2100, 1, 1) - dt.date(1900, 1, 1)).days
 
 
@@ -57,6 +59,24 @@ def _has_letter(x: int, size: int) -> bool:
     return False
 
 
+def feistel_digits(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, key: bytes, tweak: str, undo: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """``feistel`` place by place, for halves of any length: each round shifts every place of one
+    half, within its alphabet, by a keyed stream made from the whole other half."""
+    formats = blake2b(sizes_a.astype("<u4").tobytes() + b"|" + sizes_b.astype("<u4").tobytes(), key=key).hexdigest()
+
+    def keyed(i: int, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        seed = blake2b(f"{tweak}|{formats}|{i}|".encode() + x.astype("<u4").tobytes(), key=key).digest()
+        return (np.frombuffer(shake_256(seed).digest(8 * len(sizes)), "<u8") % sizes.astype(np.uint64)).astype(np.int64)
+
+    for i in (reversed(range(ROUNDS)) if undo else range(ROUNDS)):
+        sign = -1 if undo else 1
+        if i % 2:
+            b = (b + sign * keyed(i, a, sizes_b)) % sizes_b
+        else:
+            a = (a + sign * keyed(i, b, sizes_a)) % sizes_a
+    return a, b
+
+
 def permute_text(value: str, key: bytes, tweak: str, undo: bool = False) -> str:
     """Permutes letters among letters and digits among digits (hexadecimal strings among such);
     other characters and the case of letters stay in their places."""
@@ -67,6 +87,19 @@ def permute_text(value: str, key: bytes, tweak: str, undo: bool = False) -> str:
     hexed = len(alnum) >= 16 and all(low[i] in HEX for i in alnum) and any(low[i] in DIGITS for i in alnum) and any(low[i] in LOWER for i in alnum)
     alphabets = [HEX if hexed else DIGITS if low[i] in DIGITS else LOWER for i in alnum]
     cut = len(alnum) // 2
+    out = list(value)
+    if len(alnum) > LONG:
+        places = np.array([letters.index(low[i]) for i, letters in zip(alnum, alphabets)])
+        sizes = np.array([len(letters) for letters in alphabets])
+        a, b = places[:cut], places[cut:]
+        while True:
+            a, b = feistel_digits(a, b, sizes[:cut], sizes[cut:], key, tweak, undo)
+            places = np.concatenate([a, b])
+            if not hexed or (places >= 10).any() and (places < 10).any():
+                break
+        for i, letters, d in zip(alnum, alphabets, places.tolist()):
+            out[i] = letters[d].upper() if value[i].isupper() else letters[d]
+        return "".join(out)
 
     def number(part: slice) -> tuple[int, int]:
         x, size = 0, 1
@@ -79,7 +112,6 @@ def permute_text(value: str, key: bytes, tweak: str, undo: bool = False) -> str:
         a, b = feistel(a, b, size_a, size_b, key, tweak, undo)
         if not hexed or _has_letter(a, size_a) or _has_letter(b, size_b):  # hexadecimal values stay told from decimal ones
             break
-    out = list(value)
     for x, part in ((a, slice(0, cut)), (b, slice(cut, None))):
         for i, letters in zip(reversed(alnum[part]), reversed(alphabets[part])):
             x, d = divmod(x, len(letters))
@@ -101,18 +133,54 @@ def luhn_digit(payload: str) -> str:
     return str(-total % 10)
 
 
+def _luhn(d: str) -> bool:
+    return luhn_digit(d[:-1]) == d[-1]
+
+
+def _after_card(old: str, new: str, rest: str, key: bytes, undo: bool) -> str:
+    """The one to three digits behind a card of 16. Together they may be a valid longer number,
+    which then becomes another one; what is none stays, but for those few that would look
+    like one behind the new card: they change places with those that no longer do."""
+    if _luhn(old + rest):
+        body = permute_text(rest[:-1], key, "after card" + (new if undo else old), undo)
+        return body + luhn_digit(new + body)
+    return rest[:-1] + luhn_digit(old + rest[:-1]) if _luhn(new + rest) else rest
+
+
 def card(value: str, key: bytes, undo: bool = False) -> str | None:
+    """17 to 19 digits whose first 16 are a card count as that card with digits behind it (a
+    check code, a month), so it has the same pseudonym as alone."""
     d = _digits(value)
-    if not 13 <= len(d) <= 19 or luhn_digit(d[:-1]) != d[-1] or len(set(d)) == 1:
+    if not 13 <= len(d) <= 19 or len(set(d)) == 1:
         return None
-    body = d[0] + permute_text(d[1:-1], key, "card" + d[0], undo)
-    return _refill(value, body + luhn_digit(body))
+
+    def permuted(d: str) -> str:
+        body = d[0] + permute_text(d[1:-1], key, "card" + d[0], undo)
+        return body + luhn_digit(body)
+
+    if len(d) > 16 and _luhn(d[:16]) and (len(d) < len(value) or _luhn(d)) and len(set(d[:16])) > 1:
+        new = permuted(d[:16])
+        return _refill(value, new + _after_card(d[:16], new, d[16:], key, undo))
+    if not _luhn(d):
+        return None
+    d = permuted(d)
+    while len(d) > 16 and _luhn(d[:16]):  # walks on until it can't be told for the other kind
+        d = permuted(d)
+    return _refill(value, d)
 
 
 def _mod97(country: str, check: str, body: str) -> int:
     return int("".join(str(int(c, 36)) for c in body + country + check)) % 97
 
 
+#: Characters of an IBAN by country: fixed values of its registry, and of countries outside it that use the format.
+IBAN_LENGTH = {c: n for n, names in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR",
+    27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in names.split()}
+
+
 def iban(value: str, key: bytes, undo: bool = False) -> str | None:
     v = value.replace(" ", "")
     if not 15 <= len(v) <= 34 or _mod97(v[:2], v[2:4], v[4:]) != 1:
@@ -175,6 +243,8 @@ def email(value: str, key: bytes, undo: bool = False) -> str | None:
 
 
 def secret(value: str, key: bytes, undo: bool = False) -> str | None:
+    if len(value) < 8:
+        return None
     fixed = "AKIA" if value.startswith("AKIA") else ""
     return fixed + permute_text(value[len(fixed):], key, "secret" + fixed, undo)
 
@@ -184,8 +254,8 @@ KINDS: dict[str, Callable[..., str | None]] = {"email": email, "iban": iban, "se
 PATTERN = re.compile(r"""
   (?P<email>(?<![A-Za-z0-9_.+%-])[A-Za-z0-9_+%-][A-Za-z0-9_.+%-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24})
  |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
- |(?P<secret>(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])
-   |(?:(?<=password=)|(?<=password:[ ])|(?<=token=)|(?<=token[ ]=[ ])|(?<=token=")|(?<=token[ ]=[ ]")|(?<=secret=)|(?<=api_key=))[A-Za-z0-9_-]{8,256})
+ |(?P<secret>(?:(?<=password=)|(?<=password:[ ])|(?<=token=)|(?<=token[ ]=[ ])|(?<=token=")|(?<=token[ ]=[ ]")|(?<=secret=)|(?<=api_key=))[A-Za-z0-9_~+/-]+(?:\.+[A-Za-z0-9_~+/-]+)*
+   |(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9]))
  |(?P<machine>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9]))
  |(?P<date>(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[./-][0-9]))
  |(?P<social>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))
@@ -197,20 +267,80 @@ PATTERN = re.compile(r"""
 HINT = re.compile(r"[0-9@=]|AKIA|password")
 
 
-def pseudonymise_text(text: str, key: bytes, undo: bool = False) -> tuple[str, list[str]]:
-    """The text with its private values replaced, and the kinds replaced in order."""
-    kinds: list[str] = []
+def _cuts(m: re.Match, end: int) -> bool:
+    """Whether the first ``end`` characters of a match stop inside another value."""
+    said, at = m[0], m.start()
+    for i in range(1, end):
+        if said[i - 1] in " .-" and (other := _value(PATTERN.match(m.string, at + i), b"")) and i + len(other[0]) > end:
+            return True
+    return False
+
+
+def _beginnings(m: re.Match) -> Iterator[str]:
+    """What of a match may be the value, best first: an IBAN of its country's length, the whole
+    match, then its beginnings that stop before a separator, longest first; none that would
+    cut the value behind it."""
+    kind, said = m.lastgroup, m[0]
+    length = IBAN_LENGTH.get(said[:2]) if kind == "iban" else None
+    if length:
+        places = [i for i, c in enumerate(said, 1) if c != " "]
+        end = places[length - 1] if length <= len(places) else len(said)
+        if end < len(said) and said[end] == " ":
+            yield said[:end]
+    if kind not in ("iban", "phone", "card") or not _cuts(m, len(said)):
+        yield said
+    if kind in ("phone", "card") or kind == "iban" and not length:
+        for i in range(len(said) - 1, 0, -1):
+            if said[i] in " .-" and (shorter := PATTERN.fullmatch(m.string, m.start(), m.start() + i)) and shorter.lastgroup == kind and not _cuts(m, i):
+                yield said[:i]
+
+
+def _value(m: re.Match | None, key: bytes, undo: bool = False) -> tuple[str, str] | None:
+    """The value at a match and its pseudonym; None if no beginning of the match holds its check."""
+    for said in _beginnings(m) if m else ():
+        if (new := KINDS[m.lastgroup](said, key, undo)) is not None:
+            return said, new
+    return None
 
-    def swap(m: re.Match) -> str:
-        new = KINDS[m.lastgroup](m[0], key, undo)
-        if new is None:
-            return m[0]
-        kinds.append(m.lastgroup)
-        return new
 
+def pseudonymise_text(text: str, key: bytes, undo: bool = False) -> tuple[str, list[str]]:
+    """The text with its private values replaced, and the kinds replaced in order.
+
+    Behind the start of a match that holds no value the search goes on. A pseudonym beside
+    rejected characters walks on until these would be rejected beside it too, so that it is
+    found again and can be undone.
+    """
+    kinds: list[str] = []
     if not HINT.search(text):
         return text, kinds
-    return PATTERN.sub(swap, text), kinds
+    out, done, at = [], 0, 0
+    rejected: list[tuple[int, int]] = []  # matches without a value that may reach into the next one
+
+    while m := PATTERN.search(text, at):
+        found = _value(m, key, undo)
+        if found is None:
+            rejected.append(m.span())
+            at = m.start() + 1
+            continue
+        said, new = found
+        start, end, kind = m.start(), m.start() + len(said), m.lastgroup
+        rejected = [(i, j) for i, j in rejected if j > start]
+        if rejected or said != m[0]:
+            low = max(0, min([start, *(i for i, _ in rejected)]) - 16)
+
+            def told(new: str) -> bool:
+                around = text[low:start] + new + text[end:end + 64]
+                again = PATTERN.match(around, start - low)
+                own = _value(again, key)
+                return own is not None and again.lastgroup == kind and own[0] == new and not any(_value(PATTERN.match(around, i - low), key) for i, _ in rejected)
+
+            while told(said) and not told(new):
+                new = KINDS[kind](new, key, undo)
+        rejected.clear()
+        kinds.append(kind)
+        out += [text[done:start], new]
+        done = at = end
+    return "".join([*out, text[done:]]), kinds
 
 
 def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", counts: bool = False) -> DataFrame:
