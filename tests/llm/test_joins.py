@@ -72,6 +72,16 @@ def test_large_groups_chains_and_blocks(spark, monkeypatch):
     assert joined(docs) == brute(rows)
 
 
+def test_copies_go_before_n_grams_are_made(spark, monkeypatch):
+    seen = []
+    for name in ("profile", "meetings", "_sets"):
+        monkeypatch.setattr(jj, name, lambda slim, *a, f=getattr(jj, name): seen.append((slim.count(), slim.select("key").distinct().count())) or f(slim, *a))
+    near = [" ".join(f"w{j}" for j in range(40 + i)) for i in range(3)]
+    rows = [(i if i % 7 else None, near[i % 3]) for i in range(300)] + [(5, near[1]), (5, near[2]), (400, None), (401, "")]
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    assert len(seen) >= 3 and set(seen) == {(4, 4)}
+
+
 def test_tree_shares_beginnings_and_finds_all():
     rng = np.random.default_rng(2)
     sets = [np.sort(rng.choice(60, int(rng.integers(3, 40)), replace=False)).astype(np.uint64) for _ in range(200)]

@@ -153,8 +153,8 @@ def may_link(n_a, n_b, differ, percent: int):
 
 
 def profile(slim: DataFrame, id_type: str, n: int) -> tuple[DataFrame, np.ndarray]:
-    """In one pass over the texts: (__id, key, size, bits) of every row, and counts of the n-grams of
-    all documents by the first bits of their hash. Those are 2^SKETCH_BITS numbers whatever
+    """In one pass over the texts: (__id, key, size, bits) of each, and counts of the n-grams of
+    all texts by the first bits of their hash. Those are 2^SKETCH_BITS numbers whatever
     the corpus, summed in tasks, then by slices of the table."""
     slices = 64
     wide = (1 << SKETCH_BITS) // slices
@@ -389,7 +389,7 @@ def _sets(slim: DataFrame, keys: DataFrame, counts, n: int) -> DataFrame:
     # the tree shares beginnings, so sets are stored with the n-grams that many texts have first
     count = keys.count()
     wanted = slim.select("key", "__text").join(F.broadcast(keys) if count <= BROADCAST_KEYS else keys, "key", "left_semi")
-    return map_batches(wanted, grams, "key long, grams binary").dropDuplicates(["key"])
+    return map_batches(wanted, grams, "key long, grams binary")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -405,15 +405,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     """
     spark = docs.sparkSession
     slim = _slim(docs, id_col, text_col)
-    rows, table = profile(slim, docs.schema[id_col].dataType.simpleString(), n)
+    texts = store(slim.groupBy("key").agg(F.min("__id").alias("__id"), F.first("__text").alias("__text")))  # copies go before any n-gram is made
+    profiled, table = profile(texts, docs.schema[id_col].dataType.simpleString(), n)
     counts = spark.sparkContext.broadcast(table)  # 8 * 2^SKETCH_BITS bytes
-    by_key = store(rows.groupBy("key").agg(F.min("__id").alias("least"), F.max("size").alias("size"), F.first("bits").alias("bits")))
+    by_key = profiled.withColumnRenamed("__id", "least")
 
     def linked(pairs: DataFrame) -> DataFrame:
         keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-        return store(verify(pairs, store(_sets(slim, store(keys), counts, n)), percent))
+        return store(verify(pairs, store(_sets(texts, store(keys), counts, n)), percent))
 
-    found = store(neighbours(meetings(slim, counts, n, percent).repartition("gram", "block").sortWithinPartitions("gram", "block"), percent))
+    found = store(neighbours(meetings(texts, counts, n, percent).repartition("gram", "block").sortWithinPartitions("gram", "block"), percent))
     pairs = store(promising(found.filter("kind = 0").select("a", "b").distinct(), by_key, percent))
     members = found.filter("kind = 1").select("gram", "block", "blocks", "a", "size", "at")
     links = linked(pairs)
@@ -435,9 +436,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
 
     degree = all_links.select(F.col("a").alias("key")).union(all_links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
     named = by_key.join(roots, F.col("key") == F.col("node"), "left").join(degree, "key", "left").select(
-        "key", "least", F.coalesce("root", "key").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        "key", "least", "size", F.coalesce("root", "key").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    said = named.join(least, "root").select("key", "component_id", "n_links")
+    said = named.join(least, "root").select("key", "size", "component_id", "n_links")
     empty = F.col("n_shingles") == 0
-    return rows.withColumn("n_shingles", F.col("size").cast("long")).join(said, "key").select(F.col("__id").alias(id_col), "n_shingles", F.when(empty, F.col("__id")).otherwise(F.col("component_id")).alias("component_id"),
+    return slim.select("__id", "key").join(said.withColumn("n_shingles", F.col("size").cast("long")), "key").select(F.col("__id").alias(id_col), "n_shingles", F.when(empty, F.col("__id")).otherwise(F.col("component_id")).alias("component_id"),
                                            F.when(empty, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
