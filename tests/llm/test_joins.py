@@ -82,6 +82,14 @@ def test_copies_go_before_n_grams_are_made(spark, monkeypatch):
     assert len(seen) >= 3 and set(seen) == {(4, 4)}
 
 
+def test_number_of_spanning_links_is_named_so(spark):
+    near = " ".join(f"w{j}" for j in range(60))
+    docs = spark.createDataFrame([(i, f"{near} v{i}") for i in range(12)] + [(20, "alone")], "doc_id long, text string")
+    out = jj.jaccard_components(docs)
+    assert out.columns == ["doc_id", "n_shingles", "component_id", "n_spanning_links"]
+    assert {r["doc_id"] for r in out.filter("n_spanning_links = 0").collect()} == {20}
+
+
 def test_tree_shares_beginnings_and_finds_all():
     rng = np.random.default_rng(2)
     sets = [np.sort(rng.choice(60, int(rng.integers(3, 40)), replace=False)).astype(np.uint64) for _ in range(200)]

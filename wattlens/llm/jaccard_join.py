@@ -394,8 +394,9 @@ def _sets(slim: DataFrame, keys: DataFrame, counts, n: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's id, n_shingles (set size), component_id (smallest id reachable by links, its
-    own included) and n_links: distinct other texts found linked with its text on the way (a
-    spanning number, at least 1 for a text that links).
+    own included) and n_spanning_links: distinct other texts found linked with its text while the
+    components were made. Pairs inside a component found so far are not compared, so this is
+    no count of its links; it is at least 1 for a text that links with another text.
 
     Documents link when their sets have a Jaccard similarity of at least ``percent`` in a
     hundred. Null, empty and wordless texts have no n-grams and link with nothing, not even
@@ -434,11 +435,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         roots = components(all_links)
     counts.unpersist()  # all that needed it is written
 
-    degree = all_links.select(F.col("a").alias("key")).union(all_links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = all_links.select(F.col("a").alias("key")).union(all_links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("n_spanning_links"))
     named = by_key.join(roots, F.col("key") == F.col("node"), "left").join(degree, "key", "left").select(
-        "key", "least", "size", F.coalesce("root", "key").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        "key", "least", "size", F.coalesce("root", "key").alias("root"), F.coalesce("n_spanning_links", F.lit(0)).alias("n_spanning_links"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    said = named.join(least, "root").select("key", "size", "component_id", "n_links")
+    said = named.join(least, "root").select("key", "size", "component_id", "n_spanning_links")
     empty = F.col("n_shingles") == 0
     return slim.select("__id", "key").join(said.withColumn("n_shingles", F.col("size").cast("long")), "key").select(F.col("__id").alias(id_col), "n_shingles", F.when(empty, F.col("__id")).otherwise(F.col("component_id")).alias("component_id"),
-                                           F.when(empty, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
+                                           F.when(empty, F.lit(0)).otherwise(F.col("n_spanning_links")).cast("long").alias("n_spanning_links"))
