@@ -1,6 +1,6 @@
 """Corpus pipeline: each stage applies one corpus operator to all that its predecessor kept.
 
-Rows are told apart by doc_id. Null and empty texts, repeated rows and empty tables pass as
+Rows are told apart by doc_id and text. Null and empty texts, repeated rows and empty tables pass as
 the stages say; extra columns stay up to the last stage.
 """
 
@@ -22,13 +22,19 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by word 5-gram similarity of 0.8 or more the row with the smallest
-    doc_id. Documents without words are no copies of each other and stay; so do rows without
-    an id. Of rows that repeat id and text one stays."""
-    found = jaccard_join.jaccard_components(docs, n=5, percent=80)
-    ids = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.select(*docs.columns).union(docs.filter(F.col("doc_id").isNull()))
+    """Of each group linked by word 5-gram similarity of 0.8 or more one row: that with the
+    smallest doc_id (rows without an id last), then the smallest hash of its text. Documents
+    without words are no copies of each other and stay. Of rows that repeat id and text one
+    stays; rows without an id and without words are told apart by nothing, so all stay."""
+    found = jaccard_join.jaccard_components(docs, n=5, percent=80, keys=True)
+    worded = F.col("n_shingles") > 0
+    best = found.filter(worded).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("b"))
+    best = best.select(F.col("b.doc_id").alias("__id"), F.col("b.text_key").alias("__kept"), F.lit(True).alias("__worded"))
+    kept = best.union(found.filter(~worded).select("doc_id", "text_key", F.lit(False)).distinct())
+    rows = docs.withColumn("__key", jaccard_join.text_key("text")).withColumn("__row", F.monotonically_increasing_id())
+    named = rows.join(kept, (F.col("__key") == F.col("__kept")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    apart = F.when(F.col("doc_id").isNull() & ~F.col("__worded"), F.col("__row"))
+    return named.withColumn("__apart", apart).dropDuplicates(["doc_id", "__key", "__apart"]).select(*docs.columns)
 
 
 def private_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,6 +65,14 @@ def test_near_duplicate_stage_with_odd_rows(spark, mixed):
     assert {k for k, _ in ids} == {c for k, n, c in brute(rows)} | {None} and len(ids) == len(set(ids))
 
 
+def test_near_duplicate_stage_with_repeated_and_null_ids(spark):
+    one, two = (" ".join(f"{c}{j}" for j in range(40)) for c in "ab")
+    rows = [(1, one), (2, two), (2, one), (2, one), (None, one), (None, two + " more"), (None, "only here"), (None, "only here"), (None, ""), (None, ""), (3, None), (3, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1L AS root", "2L AS text_key", "true AS worded")
+    got = sorted(((r["doc_id"], r["text"] or "") for r in cp.near_duplicate_stage(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(1, one), (2, two), (None, "only here"), (None, ""), (None, ""), (3, "")], key=str)
+
+
 def test_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:

@@ -21,7 +21,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import map_batches, store
 from .components import components
@@ -128,8 +128,13 @@ class PrefixTree:
         return found
 
 
+def text_key(text_col: str) -> Column:
+    """The hash that tells texts apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
+    return docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"), text_key(text_col).alias("key"))
 
 
 def bitmap(grams: np.ndarray) -> bytes:
@@ -392,11 +397,12 @@ def _sets(slim: DataFrame, keys: DataFrame, counts, n: int) -> DataFrame:
     return map_batches(wanted, grams, "key long, grams binary")
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", keys: bool = False) -> DataFrame:
     """Every row's id, n_shingles (set size), component_id (smallest id reachable by links, its
     own included) and n_spanning_links: distinct other texts found linked with its text while the
     components were made. Pairs inside a component found so far are not compared, so this is
     no count of its links; it is at least 1 for a text that links with another text.
+    With ``keys`` also text_key and root, a key of the component's texts that is its name.
 
     Documents link when their sets have a Jaccard similarity of at least ``percent`` in a
     hundred. Null, empty and wordless texts have no n-grams and link with nothing, not even
@@ -439,7 +445,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     named = by_key.join(roots, F.col("key") == F.col("node"), "left").join(degree, "key", "left").select(
         "key", "least", "size", F.coalesce("root", "key").alias("root"), F.coalesce("n_spanning_links", F.lit(0)).alias("n_spanning_links"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    said = named.join(least, "root").select("key", "size", "component_id", "n_spanning_links")
+    said = named.join(least, "root").select("key", "size", "root", "component_id", "n_spanning_links")
     empty = F.col("n_shingles") == 0
     return slim.select("__id", "key").join(said.withColumn("n_shingles", F.col("size").cast("long")), "key").select(F.col("__id").alias(id_col), "n_shingles", F.when(empty, F.col("__id")).otherwise(F.col("component_id")).alias("component_id"),
-                                           F.when(empty, F.lit(0)).otherwise(F.col("n_spanning_links")).cast("long").alias("n_spanning_links"))
+                                           F.when(empty, F.lit(0)).otherwise(F.col("n_spanning_links")).cast("long").alias("n_spanning_links"),
+                                           *([F.col("key").alias("text_key"), "root"] if keys else []))
