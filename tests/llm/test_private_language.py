@@ -140,6 +140,15 @@ def test_language_is_learned_and_odd_rows_have_results(spark, mixed):
     assert "text" in kept.columns and kept.filter("doc_id = 9").first()["text"] == "x" * 5000
 
 
+@pytest.mark.parametrize("one_id,one_text", [(None, False), (7, False), (7, True)])
+def test_sample_is_bounded_whatever_the_ids(spark, monkeypatch, one_id, one_text):
+    sizes = []
+    monkeypatch.setattr(language, "fit", lambda x, y, f=language.fit: sizes.append({k: y.count(k) for k in set(y)}) or f(x, y))
+    rows = [(one_id, "the king and the queen" if one_text else f"the king and the queen {chr(97 + i % 26) * (1 + i // 26)}", "en") for i in range(2000)] + [(i, f"le roi et la reine {chr(97 + i)}", "fr") for i in range(20)]
+    language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=50)
+    assert all(n <= 50 for n in sizes[0].values()) and sizes[0]["fr"] == 20 and sizes[0]["en"] >= 25
+
+
 def test_held_out_accuracy(spark):
     from wattlens.llm.queries import QUERIES
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .common import map_batches
 
@@ -104,18 +104,24 @@ def fit(x: np.ndarray, y: list[str], ridge: float = 0.3) -> Model:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400,
           size: int = 8192) -> Model | None:
-    """Fit on about ``per_language`` labelled rows of each language, chosen by a hash of the id.
+    """Fit on about ``per_language`` labelled rows of each language, never more, chosen by a hash
+    of id and text.
 
     That bound is the only sample in the operator. Rows without label or letters teach
     nothing; None if no row teaches.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}  # one row a language
+    known = known.select(F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    wide = 1 << 30
+    place = F.pmod("key", F.lit(wide))
+    counts = sorted(map(tuple, known.groupBy("lang").agg(F.count(F.lit(1)), F.min(place)).collect()))  # one row a language
     if not counts:
         return None
-    wide = 1 << 30
-    bound = F.create_map(*[F.lit(v) for k, n in sorted(counts.items()) for v in (k, min(wide, -(-wide * per_language // n)))])
-    chosen = known.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(wide)) < F.element_at(bound, F.col(lang_col)))
+    bound = F.create_map(*[F.lit(v) for k, n, first in counts for v in (k, max(first + 1, min(wide, -(-wide * per_language // n))))])
+    drawn = known.filter(place < F.element_at(bound, F.col("lang")))
+    # equal rows share a hash and are drawn together; tasks keep this many of them before the shuffle
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(place, "key"))
+    chosen = drawn.withColumn("nth", nth).filter(F.col("nth") <= per_language).drop("nth")
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -126,8 +132,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     rows.append((k, lang, i.astype("<i4").tobytes(), f[i].astype("<f4").tobytes()))
             yield pd.DataFrame(rows, columns=["key", "lang", "at", "value"])
 
-    rows = map_batches(chosen.select(F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), sparse,
-                       "key long, lang string, at binary, value binary").collect()  # bounded by per_language
+    rows = map_batches(chosen, sparse, "key long, lang string, at binary, value binary").collect()  # at most per_language a language
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], r["key"]))
