@@ -27,6 +27,16 @@ def test_blocks_of_broken_markup():
     assert blocks("<" * 2000 + "p") and blocks("<p title='" * 300) == []
 
 
+@pytest.mark.parametrize("tag", "template noscript iframe object svg math canvas audio video select".split())
+def test_hidden_elements_end_with_the_element_around_them(tag):
+    def texts(page):
+        return [b.text for b in blocks(page)]
+
+    assert texts(f"<body><div>a<{tag} x=1><p>no</div><article><p>the article</p></article>") == ["a", "the article"]
+    assert texts(f"<p>a <{tag}>no<{tag}><b>no</b></{tag}><div>no</div> no</{tag}> b<p>c") == ["a b", "c"]
+    assert texts(f"<p>a <{tag} /> b<br>c</p>") == ["a b c"] and texts(f"a<{tag}>no") == ["a"]
+
+
 def test_labels_of_pages_with_known_parts():
     net, rng, right, total = html_text.trained(), np.random.default_rng(77), 0, 0
     for _ in range(150):

@@ -8,9 +8,11 @@ from dataclasses import dataclass
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>")
 ATTRIBUTE = re.compile(r"\b(id|class|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-#: Fixed values of HTML: elements without end tag, elements whose content is no text of the page, elements inside a line.
+#: Fixed values of HTML: elements without end tag, elements whose content is no markup, elements with markup that is no text of
+#: the page, elements inside a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe object svg math canvas audio video title textarea select".split())
+RAW = frozenset("script style title textarea".split())
+HIDDEN = frozenset("template noscript iframe object svg math canvas audio video select".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big button cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 CLOSED_BY_SIBLING = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 CONTAINERS = frozenset("html body div article section main nav aside header footer form td th li table blockquote figure ul ol dl dd fieldset details".split())
@@ -34,13 +36,14 @@ def _label(tag: str, attributes: str) -> str:
 def blocks(page: str | None) -> list[Block]:
     """Blocks of a page in order. Unclosed and misnested tags are closed where a browser would:
     a paragraph by the next block, a list item by the next item, all by the end of the page.
-    Comments, declarations and the content of scripts, styles and the like are no text."""
+    Comments, declarations and the content of scripts, styles and the like are no text. A hidden
+    element without an end tag ends with the element around it."""
     out: list[Block] = []
     if not page:
         return out
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
-    linked = links = 0
+    linked = links = hidden = 0
     path: tuple[str, ...] = ()
 
     def flush() -> None:
@@ -54,7 +57,7 @@ def blocks(page: str | None) -> list[Block]:
 
     def add(raw: str) -> None:
         nonlocal linked, path
-        if not raw:
+        if not raw or hidden:
             return
         if not parts:
             if raw.isspace():
@@ -66,8 +69,9 @@ def blocks(page: str | None) -> list[Block]:
             linked += len(text.strip())
 
     def pop_to(i: int) -> None:
-        nonlocal links
+        nonlocal links, hidden
         links -= sum(tag == "a" for tag, _ in stack[i:])
+        hidden -= sum(tag in HIDDEN for tag, _ in stack[i:])
         del stack[i:]
 
     at, end = 0, len(page)
@@ -97,10 +101,11 @@ def blocks(page: str | None) -> list[Block]:
         closing, tag, attributes = m[1], m[2].lower(), m[3]
         at = m.end()
         if tag == "br":
-            if parts:
+            if parts and not hidden:
                 parts.append(" ")
             continue
-        if tag not in INLINE and tag not in VOID and tag not in RAW or tag == "hr":
+        border, inside = tag not in INLINE and tag not in VOID and tag not in RAW and tag not in HIDDEN or tag == "hr", hidden
+        if border and not hidden:
             flush()
         if closing:
             for i in range(len(stack) - 1, -1, -1):
@@ -109,27 +114,33 @@ def blocks(page: str | None) -> list[Block]:
                     break
                 if tag in INLINE and stack[i][0] in CONTAINERS:
                     break
+            if border and inside and not hidden:
+                flush()
             continue
         if tag in RAW:
             if not attributes.endswith("/"):
                 stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 at = end if stop is None else stop.end()
             continue
-        if tag in VOID:
+        if tag in VOID or tag in HIDDEN and attributes.endswith("/"):
+            continue
+        if tag in HIDDEN:
+            hidden += 1
+            stack.append((tag, tag))
             continue
         if tag not in INLINE:
             for i in range(len(stack) - 1, -1, -1):  # an open paragraph ends here
                 if stack[i][0] == "p":
                     pop_to(i)
                     break
-                if stack[i][0] in CONTAINERS:
+                if stack[i][0] in CONTAINERS or stack[i][0] in HIDDEN:
                     break
         if tag in CLOSED_BY_SIBLING:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag or tag in ("dt", "dd", "td", "th") and stack[i][0] in ("dt", "dd", "td", "th"):
                     pop_to(i)
                     break
-                if stack[i][0] in CLOSED_BY_SIBLING[tag]:
+                if stack[i][0] in CLOSED_BY_SIBLING[tag] or stack[i][0] in HIDDEN:
                     break
         if tag == "a":
             links += 1
