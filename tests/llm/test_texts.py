@@ -138,6 +138,15 @@ def test_grammar_round_trip_and_random_access():
         repair.Shard(b"RPR0" + struct.pack("<5I", 0, 0, 0, 0, 2))
 
 
+def test_large_vocabularies_are_compressed_too():
+    ids = np.tile([70001, 3, 70002, 4], 500).astype(np.uint32)
+    for base in (1 << 16, 100_000):
+        ids = np.minimum(ids, base - 1)
+        data = repair.to_file(ids, np.array([len(ids)]), base)
+        shard = repair.Shard(data)
+        assert len(shard.rules) and len(data) < ids.nbytes / 4 and shard.ids().tolist() == ids.tolist()
+
+
 def test_files_of_the_table(spark, mixed):
     tok = encoder(word_bpe()).tokenizer
     rows = sorted(((r["doc_id"], r["text"]) for r in mixed.select("doc_id", "text").collect()), key=lambda x: (x[0] is not None, x[0] or 0))

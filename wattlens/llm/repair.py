@@ -1,7 +1,8 @@
 """Token files with Re-Pair grammar compression.
 
 A shard holds the ids of consecutive documents. Frequent pairs of neighbours are replaced by
-nonterminals, again and again, while pairs repeat and ids below 2^16 are free. The file keeps
+nonterminals, again and again, while pairs occur 8 times or more and ids below 2^16 are free (below
+2^32 for a vocabulary that leaves none of 16 bits). The file keeps
 the rules, their expansion lengths, the remaining sequence and the documents' bounds, so
 that any document is decoded without its neighbours.
 
@@ -84,7 +85,7 @@ def expansions(rules: np.ndarray, base: int) -> list[np.ndarray]:
 
 
 def to_file(ids: np.ndarray, ends: np.ndarray, base: int) -> bytes:
-    rules, seq = compress(ids, base)
+    rules, seq = compress(ids, base, symbols=1 << 16 if base < 1 << 16 else 1 << 32)
     length = np.ones(base + len(rules), np.int64)
     for i, (left, right) in enumerate(rules.tolist()):
         length[base + i] = length[left] + length[right]
