@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import html_text, jaccard_join, language, neighbours, packing, prefix_hash, pseudonyms, repair, sharding, viterbi
+from . import alignment, html_text, jaccard_join, language, line_dedup, neighbours, packing, prefix_hash, pseudonyms, repair, sharding, viterbi
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,12 @@ def piece_bpe() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def word_bpe() -> str:
     """The word vocabulary; its place is a parameter of every operator that tokenises."""
     import public_tokenizers
@@ -103,3 +109,20 @@ def op10_language(spark, d):
     docs = table(spark, d, "documents").withColumn("held_out", held_out())
     model = language.train(docs.filter(~F.col("held_out")))
     return language.identify(docs.select("doc_id", "held_out", "text"), model)
+
+
+@query("op11_alignment")
+def op11_alignment(spark, d):
+    return alignment.align(table(spark, d, "documents"), byte_bpe(), piece_bpe())
+
+
+@query("op12_line_dedup", r"""WITH l AS (
+  SELECT doc_id, n, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS n FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
+r AS (SELECT k, min(doc_id) AS first FROM l WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) >= 2)
+SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE l.doc_id <> r.first) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE r.first IS NULL OR l.doc_id = r.first), '')) AS kept_sha256
+FROM l LEFT JOIN r ON r.k = l.k GROUP BY 1""")
+def op12_line_dedup(spark, d):
+    kept = line_dedup.drop_repeated_lines(table(spark, d, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
