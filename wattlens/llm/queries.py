@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import alignment, html_text, jaccard_join, language, line_dedup, neighbours, packing, prefix_hash, pseudonyms, repair, sharding, viterbi
+from . import alignment, html_text, jaccard_join, language, lexical, line_dedup, neighbours, packing, prefix_hash, pseudonyms, repair, sharding, viterbi
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,20 @@ FROM l LEFT JOIN r ON r.k = l.k GROUP BY 1""")
 def op12_line_dedup(spark, d):
     kept = line_dedup.drop_repeated_lines(table(spark, d, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op13_lexical_search", r"""WITH w AS MATERIALIZED (
+  SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents) GROUP BY ALL),
+d AS MATERIALIZED (SELECT doc_id, sum(tf)::BIGINT AS n FROM w GROUP BY 1),
+c AS MATERIALIZED (SELECT count(*)::BIGINT AS N0, sum(n)::BIGINT AS L0 FROM d),
+f AS (SELECT t, floor(1000 * ln((2 * N0 + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS wt FROM w, c GROUP BY t, N0),
+m AS (SELECT doc_id, 100 - 25 + (25 * n * N0) // L0 AS m FROM d, c),
+q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY ALL),
+s AS (SELECT item_id, doc_id, sum(times * wt * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM q JOIN f USING (t) JOIN w USING (t) JOIN m USING (doc_id) GROUP BY 1, 2),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20""")
+def op13_lexical_search(spark, d):
+    return lexical.search(table(spark, d, "documents"), table(spark, d, "benchmark"), k=20)
