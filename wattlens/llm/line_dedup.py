@@ -194,12 +194,13 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     which the result's columns replace.
     """
     extra = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    packed = docs.select(F.struct(*extra).alias("row")).select("row", F.col(f"row.`{id_col}`").alias("id"), _lines(F.col(f"row.`{text_col}`")).alias("lines"),
-                                                               F.xxhash64(F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))).alias("mark"))
+    whole = F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))
+    packed = docs.select(F.struct(*extra).alias("row")).select("row", F.col(f"row.`{id_col}`").alias("id"), F.xxhash64(whole).alias("mark"))
     lost = dropped_lines(docs, id_col, text_col, least, filter_bytes).select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "drop")
     both = packed.join(lost, F.col("id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark")), "left")
-    count = F.size("lines")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), count - 1), F.col("drop")), lambda i: F.get("lines", i))
-    text = F.when(F.col("drop").isNull(), F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))).otherwise(F.array_join(kept, "\n"))
-    return both.select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in extra], count.cast("long").alias("n_lines"),
-                       F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    parted = both.select("row", "drop", F.when(F.col("drop").isNotNull(), _lines(whole)).alias("lines"))  # only texts travel, their lines are parted behind the join
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop")), lambda i: F.get("lines", i))
+    text = F.when(F.col("drop").isNull(), whole).otherwise(F.array_join(kept, "\n"))
+    count = F.char_length(whole) - F.char_length(F.translate(whole, "\n", "")) + 1
+    return parted.select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in extra], count.cast("long").alias("n_lines"),
+                         F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
