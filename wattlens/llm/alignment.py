@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import map_batches, split_evenly, store
 from .encoder import _byte_letters
 
+BATCH_CHARS = 1 << 20  # texts that walk at once, about
 LANE = 512  # A tokens between the places where a long document may be parted
 PAIRS_A_PIECE = 2_000_000  # rows of the pair table that are shipped at once (about 26 MB)
 #: Fixed value: the splitting pattern of the byte-level pre-tokenizer.
@@ -40,11 +41,7 @@ class ByteLevel:
     refuses, goes through the ``tokenizers`` library."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         self.path = path
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
         back = {c: b for b, c in _byte_letters().items()}
@@ -57,6 +54,14 @@ class ByteLevel:
         self.lengths = np.array([len(x) for x in self.bytes], np.int64)
         self.fast = self._fast(said, {t: i for t, i in vocab.items() if t not in special})
 
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.encode_special_tokens = True
+        return out
+
     def _fast(self, said: dict, vocab: dict[str, int]):
         pre = said.get("pre_tokenizer") or {}
         merges = [m if isinstance(m, str) else " ".join(m) for m in said["model"]["merges"]]
@@ -106,6 +111,12 @@ def _libraries(a_path: str, b_path: str) -> tuple[ByteLevel, Pieces]:
     return ByteLevel(a_path), Pieces(b_path)
 
 
+@lru_cache(maxsize=1)
+def _words(size: int) -> list[str]:
+    """Each id below ``size`` with what may follow it: a comma, a bar, a semicolon, nothing."""
+    return [f"{i}{sign}" for i in range(size) for sign in (",", "|", ";", "")]
+
+
 def lanes(a_end: np.ndarray, b_end: np.ndarray, a_from: np.ndarray, a_to: np.ndarray, b_from: np.ndarray, every: int = LANE):
     """Starts (A, B) and A stops of the lanes of documents whose A tokens are [a_from, a_to)."""
     inner = np.maximum((a_to - a_from - 1) // every, 0)
@@ -155,6 +166,7 @@ class Batch:
 
     def __init__(self, texts: list[str | None], a_path: str, b_path: str):
         lib_a, lib_b = _libraries(a_path, b_path)
+        self.size = max(len(lib_a.bytes), len(lib_b.bytes))
         spelled = [" " + t for t in texts if t]
         filled = np.array([bool(t) for t in texts], bool)
         ids_a = [lib_a.encode(t) for t in spelled]
@@ -196,9 +208,7 @@ class Batch:
         b_sign[last] = 3
         signs[np.arange(len(self.a_ids)) + b_before] = self.a_ids * 4 + a_cut
         signs[np.arange(len(self.b_ids)) + a_through] = self.b_ids * 4 + b_sign
-        distinct, place = np.unique(signs, return_inverse=True)
-        words = [f"{x >> 2}{',|;'[x & 3] if x & 3 < 3 else ''}" for x in distinct.tolist()]
-        row = list(map(words.__getitem__, place.tolist()))
+        row = list(map(_words(self.size).__getitem__, signs.tolist()))
         to = (self.a_to + self.b_to).tolist()
         return ["".join(row[s:e]) for s, e in zip([0, *to[:-1]], to)]
 
@@ -206,13 +216,18 @@ class Batch:
 def _found(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str, width: int, texts_of_groups: bool) -> DataFrame:
     def run(frames):
         for f in frames:
-            made = Batch([t if isinstance(t, str) else None for t in f["text"]], a_path, b_path)
-            groups, keys = made.groups(), made.keys(width)
-            out = pd.DataFrame({"id": f["id"], "n_a": made.na, "n_b": made.nb, "n_links": made.nl})
-            out["groups_sha256"] = [sha256(g.encode()).hexdigest() if g else "" for g in groups]
-            out["groups"] = groups if texts_of_groups else None
-            out["links"] = [keys[s:e] for s, e in zip((made.link_to - made.nl).tolist(), made.link_to.tolist())]
-            yield out
+            texts = [t if isinstance(t, str) else None for t in f["text"]]
+            walk = np.cumsum([len(t or "") for t in texts]) // BATCH_CHARS
+            starts = np.flatnonzero(np.diff(walk, prepend=-1)).tolist()
+            for first, end in zip(starts, [*starts[1:], len(texts)]):
+                made = Batch(texts[first:end], a_path, b_path)
+                groups, keys = made.groups(), made.keys(width)
+                out = pd.DataFrame({"id": f["id"].iloc[first:end].reset_index(drop=True), "n_a": made.na, "n_b": made.nb, "n_links": made.nl})
+                out["groups_sha256"] = [sha256(g.encode()).hexdigest() if g else "" for g in groups]
+                out["groups"] = groups if texts_of_groups else None
+                out["links"] = [keys[s:e] for s, e in zip((made.link_to - made.nl).tolist(), made.link_to.tolist())]
+                del made, groups, keys
+                yield out
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_kind = docs.schema[id_col].dataType.simpleString()
