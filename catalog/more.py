@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from wattlens.functions import text
 from wattlens.operators import capacity as cap, compare, diagnose as dg, inverse, registers as rg, runs, tallies as tl, validation as val
-from wattlens.operators.segments import from_hours, to_hours
 from wattlens.plans import fixtures as fx
 from wattlens.schema import PLANT_MAP, conform
 from wattlens.session import materialise
@@ -281,9 +280,9 @@ def outage_days(spark, d):
 def corrected_unit_tallies(spark, d):
     r, h = _recommended(spark, d)
     mask = materialise(inverse.correction_mask(h, r))
-    t = tl.tally(from_hours(inverse.apply_corrections(to_hours(fx.segments(spark, d)), mask)))
+    t = tl.tally(inverse.apply_corrections(fx.segments(spark, d), mask))
     hh = runs.hours_col()
-    return t.groupBy("eic_code").agg(*[F.sum(F.col(c) * hh).alias(c) for c in (*tl.FULL, *tl.PARTIAL)], F.sum(F.col("inverse_correction_applied").cast("long")).alias("corrected_hours"))
+    return t.groupBy("eic_code").agg(*[F.sum(F.col(c) * hh).alias(c) for c in (*tl.FULL, *tl.PARTIAL)], F.sum(F.when(F.col("inverse_correction_applied"), hh).otherwise(0)).alias("corrected_hours"))
 
 
 _ = text

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from wattlens.functions import binning, codes, text
 from wattlens.functions.times import period_key
 from wattlens.operators import bridging, capacity as cap, generation as gen, inverse, kpis, panel as pn, reports as rep, runs, tallies as tl, validation as val
-from wattlens.operators.segments import to_hours
 from wattlens.plans import fixtures as fx
 
 from .oracles import H, chain
@@ -399,7 +398,7 @@ def without_long_outages(spark, d):
   CAST(sum(CASE WHEN av IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing_avail_capacity_hours, CAST(sum(CASE WHEN av > inst THEN 1 ELSE 0 END) AS BIGINT) AS avail_gt_installed_hours,
   count(*) - count(DISTINCT h) AS duplicate_timestamp_rows, CAST(date_diff('hour', min(h), max(h)) + 1 - count(DISTINCT h) AS BIGINT) AS missing_hourly_timestamps FROM panel GROUP BY 1, 2, 3, 4""")
 def input_qa(spark, d):
-    return tl.input_qa(to_hours(fx.segments(spark, d))).select(
+    return tl.input_qa(fx.segments(spark, d)).select(
         "country", "plant_type_code", "eic_code", "unit_name", "n_rows", "timestamp_start", "timestamp_end", "n_unique_timestamps",
         "missing_avail_capacity_hours", "avail_gt_installed_hours", "duplicate_timestamp_rows", "missing_hourly_timestamps")
 

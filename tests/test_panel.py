@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 
 from helpers import T0, brute_panel, frame, h, hours_of, random_reports, report
-from wattlens.operators import bridging, panel as pn
+from wattlens.operators import bridging, panel as pn, segments as sg
 from wattlens.operators.segments import to_hours
 
 START = T0.strftime("%Y-%m-%d %H:%M:%S")
@@ -41,19 +41,14 @@ def test_segments_tile_the_horizon(spark):
         assert all(a[1] == b[0] for a, b in zip(s, s[1:]))
 
 
-def test_day_chunks_for_busy_units_change_nothing(spark):
-    from wattlens.operators import segments as sg
-
-    rows = frame(spark, random_reports(6, 30))
-    normal = hours_of(pn.build_segments(rows, START, end(200)))
-    real, sg.mark_busy.__defaults__ = sg.mark_busy.__defaults__, (0,)
-    try:
-        busy = hours_of(pn.build_segments(rows, START, end(200)))
-    finally:
-        sg.mark_busy.__defaults__ = real
-    drop = ("chunk",)
-    assert {k: {c: v for c, v in r.asDict().items() if c not in drop} for k, r in normal.items()} == {
-        k: {c: v for c, v in r.asDict().items() if c not in drop} for k, r in busy.items()}
+def test_segments_join_across_months_and_busy_units(spark):
+    """A unit with very many reports in one month gets the same rows as the hourly rules give."""
+    rows = random_reports(6, 400)
+    opts = pn.PanelOptions(max_outage_gap=0, reactive_extension=False)
+    got, want = hours_of(pn.build_segments(frame(spark, rows), START, end(200), opts)), brute_panel(rows, 200, extension=False)
+    assert {k: (g["state"], g["dominant_event_ids"]) for k, g in got.items()} == {k: (w["state"], w["dominant"]) for k, w in want.items()}
+    marks = sg.bounds(bridging.with_unit_id(frame(spark, rows)), START, end(200)).collect()
+    assert len(marks) == 4 and all(r["bounds"] == sorted(set(r["bounds"])) and len(r["bounds"]) <= 745 for r in marks)
 
 
 def test_latest_document_and_ties(spark):

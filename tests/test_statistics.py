@@ -105,14 +105,14 @@ def test_corrections_clear_the_outage(spark):
     rec = inverse.recommend(s, inverse.score_candidates(s, _cand(spark, 0.5)))
     assert rec.collect()[0]["recommended_action"] == "remove_or_ignore_current_outage"
     mask = inverse.correction_mask(tagged, rec)
-    fixed = inverse.apply_corrections(to_hours(p), mask)
-    t = tl.tally(from_hours(fixed)).agg(F.sum("FOH").alias("f"), F.sum("avail_capacity").alias("a")).collect()[0]
+    fixed = inverse.apply_corrections(p, mask)
+    t = tl.tally(fixed).agg(F.sum(F.col("FOH") * runs.hours_col()).alias("f"), F.sum(F.col("avail_capacity") * runs.hours_col()).alias("a")).collect()[0]
     assert (t["f"], t["a"]) == (0, 600.0)
-    r = inverse.correction_report(to_hours(p), mask).collect()[0]
+    r = inverse.correction_report(p, mask).collect()[0]
     assert (r["matched_panel_rows"], r["unmatched_correction_keys"]) == (6, 0)
 
 
 def test_qa_sees_gaps_and_duplicates(spark):
     rows = [hour(0), hour(1), hour(1), hour(4)]
-    q = tl.input_qa(to_hours(panel(spark, rows))).collect()[0]
+    q = tl.input_qa(panel(spark, rows)).collect()[0]
     assert (q["duplicate_timestamp_rows"], q["missing_hourly_timestamps"]) == (1, 2)

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.maths import floor0, num, nz, ratio, weighted_mean
 from .panel import outage_parts
+from .quantiles import quantiles, with_quantiles
 from .rows import same_keys
 from .runs import END, START, hours_col
-from .segments import to_hours
+from .timeline import interval_sums
 
 KEYS = ["country", "plant_type_code", "month"]
 UNIT_KEYS = ["country", "plant_type_code", "eic_code"]
@@ -30,14 +31,14 @@ def _mw(panel: DataFrame) -> DataFrame:
 
 
 def monthly_side(panel: DataFrame) -> DataFrame:
-    """Monthly energy by label and mean fleet capacity (hour sums first, then months)."""
+    """Monthly energy by label and mean fleet capacity (fleet sums per stretch, weighted by hours)."""
     d, h = _mw(panel), hours_col()
     rows = d.groupBy(*KEYS).agg(F.sum(h).alias("unit_hours"), F.count_distinct("eic_code").alias("unit_count"),
                                 *[F.sum(F.col(c) * h).alias(c) for c in MEASURES])
-    hourly = to_hours(d.select("country", "plant_type_code", "month", START, END, "installed_capacity", "avail_capacity")).groupBy(*KEYS, "timestamp").agg(
-        F.sum("installed_capacity").alias("i"), F.sum("avail_capacity").alias("a"))
-    caps = hourly.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("timestamp_hours"), F.avg("i").alias("installed_mw_mean"), F.avg("a").alias("available_mw_mean"),
-                                     F.min("i").alias("installed_mw_min"), F.max("i").alias("installed_mw_max"))
+    fleet = interval_sums(d, KEYS, {"i": F.col("installed_capacity"), "a": F.col("avail_capacity")}, nullable=("i", "a"))
+    mean = lambda c: F.sum(F.col(c) * h) / F.sum(F.when(F.col(c).isNotNull(), h))
+    caps = fleet.groupBy(*KEYS).agg(F.sum(h).alias("timestamp_hours"), mean("i").alias("installed_mw_mean"), mean("a").alias("available_mw_mean"),
+                                    F.min("i").alias("installed_mw_min"), F.max("i").alias("installed_mw_max"))
     return rows.join(caps, KEYS).withColumn("availability_factor_pct", 100.0 * ratio("available_mw_mean", "installed_mw_mean"))
 
 
@@ -155,8 +156,11 @@ def percent_if_fraction(df: DataFrame, cols: list[str], limit: float = 1.5, quan
     """
     if not cols:
         return df
-    size = lambda c: F.percentile(c, quantile) if quantile is not None else F.max(F.abs(c))
-    tests = df.agg(F.struct(*[(size(c) <= limit).alias(f"t{i}") for i, c in enumerate(cols)]).alias("t")).scalar()
+    if quantile is None:
+        tests = df.agg(F.struct(*[(F.max(F.abs(c)) <= limit).alias(f"t{i}") for i, c in enumerate(cols)]).alias("t")).scalar()
+    else:
+        size = lambda c: quantiles(df, [], F.col(c), {"q": quantile}).select("q").scalar()
+        tests = F.struct(*[(size(c) <= limit).alias(f"t{i}") for i, c in enumerate(cols)])
     d = df.withColumn("_t", tests)
     return d.withColumns({c: F.when(F.col(f"_t.t{i}"), F.col(c) * 100.0).otherwise(F.col(c)) for i, c in enumerate(cols)}).drop("_t")
 
@@ -182,11 +186,10 @@ def annual_corridor(dataset: DataFrame, report: DataFrame, source: str) -> DataF
     keys = ["country", "plant_type", "metric"]
     ref = report.groupBy(*keys).agg(F.min("report_value").alias("report_value"))
     v = F.col("dataset_value")
-    q = lambda p: F.percentile(v, p)
-    g = dataset.groupBy(*keys).agg(
-        F.count_distinct("period_key").alias("n_years"), F.min(v).alias("annual_min"), q(0.25).alias("annual_q25"), F.median(v).alias("annual_median"),
-        q(0.75).alias("annual_q75"), F.max(v).alias("annual_max"), F.count(v).alias("_n"))
-    d = g.filter("_n > 0").drop("_n").join(ref, keys)
+    g = dataset.groupBy(*keys).agg(F.count_distinct("period_key").alias("n_years"), F.min(v).alias("annual_min"), F.max(v).alias("annual_max"), F.count(v).alias("_n"))
+    g = with_quantiles(g.filter("_n > 0").drop("_n"), dataset, keys, v, {"annual_q25": 0.25, "annual_median": 0.5, "annual_q75": 0.75})
+    order = ["n_years", "annual_min", "annual_q25", "annual_median", "annual_q75", "annual_max"]
+    d = g.select(*keys, *order).join(ref, keys)
     r = F.col("report_value")
     inside = (r >= F.col("annual_min")) & (r <= F.col("annual_max"))
     return d.withColumn("source", F.lit(source)).withColumn("in_corridor", inside).withColumn(
@@ -259,8 +262,9 @@ def pairwise(df: DataFrame, group: str, a: str, b: str) -> DataFrame:
 
 def agreement(pairs: DataFrame) -> DataFrame:
     """Mean difference with limits of agreement (mean +/- 1.96 sample deviations)."""
-    g = pairs.agg(F.count(F.lit(1)).alias("n"), F.avg("diff").alias("mean_diff"), F.median("diff").alias("median_diff"), F.stddev_samp("diff").alias("sd_diff"))
-    return g.withColumn("lower_limit", F.col("mean_diff") - 1.96 * F.col("sd_diff")).withColumn("upper_limit", F.col("mean_diff") + 1.96 * F.col("sd_diff"))
+    g = pairs.agg(F.count(F.lit(1)).alias("n"), F.avg("diff").alias("mean_diff"), F.stddev_samp("diff").alias("sd_diff"))
+    g = with_quantiles(g, pairs, [], F.col("diff"), {"median_diff": 0.5})
+    return g.select("n", "mean_diff", "median_diff", "sd_diff").withColumn("lower_limit", F.col("mean_diff") - 1.96 * F.col("sd_diff")).withColumn("upper_limit", F.col("mean_diff") + 1.96 * F.col("sd_diff"))
 
 
 def top_deviations(pairs: DataFrame, n: int) -> DataFrame:
@@ -273,12 +277,13 @@ def matrix(df: DataFrame, group: str, values: list[str]) -> DataFrame:
 
 
 def group_medians(df: DataFrame, group: str) -> DataFrame:
-    return df.groupBy(group, "source").agg(F.median("value").alias("median_value"), F.avg("value").alias("mean_value"), F.count("value").alias("n"))
+    g = df.groupBy(group, "source").agg(F.avg("value").alias("mean_value"), F.count("value").alias("n"))
+    return with_quantiles(g, df, [group, "source"], F.col("value"), {"median_value": 0.5}).select(group, "source", "median_value", "mean_value", "n")
 
 
 def colour_limits(df: DataFrame) -> DataFrame:
     """2nd and 98th percentile of a value column."""
-    return df.agg(F.percentile("value", 0.02).alias("p2"), F.percentile("value", 0.98).alias("p98"))
+    return with_quantiles(df.agg(F.count("value").alias("_n")), df, [], F.col("value"), {"p2": 0.02, "p98": 0.98}).drop("_n")
 
 
 def first_available(*cols: str) -> Column:

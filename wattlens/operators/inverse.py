@@ -7,9 +7,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import arrays, text
 from ..functions.maths import clip, nz, ratio
 from ..functions.times import floor_hour
-from .overlap import overlap_join
-from .rows import best_row
 from .generation import tolerance
+from .overlap import match_hours, overlap_join
+from .rows import best_row
+from .runs import END, START
+from .segments import from_hours
+from .timeline import cut_by, rejoined, runs_of_hours
 
 CANCELLED = ["cancelled", "canceled", "withdrawn"]
 DEFAULT_ACTIONS = ["remove_or_ignore_current_outage", "respect_later_cancellation_or_withdrawal", "unresolved_by_raw_candidates"]
@@ -176,43 +179,64 @@ def eligible(mask: DataFrame) -> DataFrame:
     return mask
 
 
-def _mask_keys(hours: DataFrame, mask: DataFrame) -> list[str]:
-    return ["eic_code", "timestamp"] + [c for c in ("country", "plant_type_code", "asset_type", "area")
-                                        if c in hours.columns and c in mask.columns]
+def _mask_keys(panel: DataFrame, mask: DataFrame) -> list[str]:
+    """The key columns besides the hour: those both sides have."""
+    return ["eic_code"] + [c for c in ("country", "plant_type_code", "asset_type", "area") if c in panel.columns and c in mask.columns]
+
 
+def _clean(c: str) -> Column:
+    return F.trim(F.coalesce(F.col(c), F.lit("")))
 
-def apply_corrections(hours: DataFrame, mask: DataFrame) -> DataFrame:
-    """Overwrite matched hourly rows: available = corrected value (else installed), state
-    avail, labels cleared, losses 0. The keys are those both sides have. Of mask rows with
-    one key the one with the largest ``mask_order`` counts, else that of the last segment."""
-    keys = _mask_keys(hours, mask)
-    norm = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) if c != "timestamp" else floor_hour(c)
-    m = eligible(mask).select(*[norm(k).alias(f"_k_{k}") for k in keys], F.col("corrected_available_capacity_mw").alias("_corr"),
-                              *[F.col(c).alias(f"_i_{c}") for c in ("inverse_segment_id", "inverse_recommended_action") if c in mask.columns],
-                              *[F.col(c).alias("_order") for c in ("mask_order",) if c in mask.columns])
-    kk = [f"_k_{k}" for k in keys]
-    # on repeated keys the row that stands last wins: the mask's own order column, else the last segment
+
+def mask_runs(mask: DataFrame, keys: list[str]) -> DataFrame:
+    """A mask's hours as disjoint runs with equal corrections. Of mask rows with one key and
+    hour the one with the largest ``mask_order`` counts, else that of the last segment."""
+    tags = [c for c in ("inverse_segment_id", "inverse_recommended_action") if c in mask.columns]
+    order = [c for c in ("mask_order",) if c in mask.columns]
+    m = eligible(mask).select(*[_clean(k).alias(k) for k in keys], floor_hour("timestamp").alias("timestamp"),
+                              F.col("corrected_available_capacity_mw").alias("_corr"), *[F.col(c).alias(f"_i_{c}") for c in tags], *[F.col(c).alias("_order") for c in order])
     last = [F.col(c) for c in ("_order", "_i_inverse_segment_id") if c in m.columns]
-    m = best_row(m, kk, last).drop("_order").withColumn("_hit", F.lit(True))
-    d = hours.withColumns({f"_k_{k}": norm(k) for k in keys}).join(m, kk, "left")
+    m = best_row(m, [*keys, "timestamp"], last).drop("_order").filter(F.col("timestamp").isNotNull())
+    return runs_of_hours(m, keys, ["_corr", *[f"_i_{c}" for c in tags]])
+
+
+def apply_corrections(panel: DataFrame, mask: DataFrame) -> DataFrame:
+    """Overwrite the masked time of a panel: available = corrected value (else installed), state
+    avail, labels cleared, losses 0.
+
+    Interval difference, no hours: the mask becomes runs, each interval is split where a run
+    begins or ends, covered pieces are replaced, and touching pieces that became equal are
+    joined again. Rows with a ``timestamp`` and no bounds are taken as intervals of one hour.
+    """
+    panel = panel if START in panel.columns else from_hours(panel)
+    keys = _mask_keys(panel, mask)
+    runs = mask_runs(mask, keys)
+    values = [c for c in runs.columns if c.startswith("_")]
+    d = cut_by(panel, runs, {k: _clean(k) for k in keys}, values, "_hit")
     hit = F.col("_hit").isNotNull()
-    new = F.coalesce("_corr", "installed_capacity")
+    new = F.coalesce("_hit._corr", "installed_capacity")
     cols = {"state": F.when(hit, "avail").otherwise(F.col("state"))}
-    cols |= {c: F.when(~hit, F.col(c)) for c in LABELS if c in hours.columns}
-    cols |= {c: F.when(hit, 0.0).otherwise(F.col(c)) for c in LOSSES if c in hours.columns}
-    if "relative_avail_capacity" in hours.columns:
+    cols |= {c: F.when(~hit, F.col(c)) for c in LABELS if c in panel.columns}
+    cols |= {c: F.when(hit, 0.0).otherwise(F.col(c)) for c in LOSSES if c in panel.columns}
+    if "relative_avail_capacity" in panel.columns:
         cols["relative_avail_capacity"] = F.when(hit, ratio(new, F.col("installed_capacity"))).otherwise(F.col("relative_avail_capacity"))
     cols["avail_capacity"] = F.when(hit, new).otherwise(F.col("avail_capacity"))
-    d = d.withColumns(cols).withColumn("inverse_correction_applied", hit)
-    d = d.withColumnsRenamed({f"_i_{c}": c for c in ("inverse_segment_id", "inverse_recommended_action")})
-    return d.drop(*kk, "_corr", "_hit")
-
-
-def correction_report(hours: DataFrame, mask: DataFrame) -> DataFrame:
-    """One row: eligible, duplicate, matched and unmatched correction keys."""
-    keys = _mask_keys(hours, mask)
-    e = eligible(mask).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    j = e.join(hours.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")), keys, "left")
+    cols["inverse_correction_applied"] = hit
+    cols |= {c[3:]: F.col(f"_hit.{c}") for c in values if c.startswith("_i_")}
+    d = d.withColumns(cols).drop("_hit")
+    return d.filter(~F.col("inverse_correction_applied")).unionByName(rejoined(d.filter("inverse_correction_applied"), keys))
+
+
+def correction_report(panel: DataFrame, mask: DataFrame) -> DataFrame:
+    """One row: eligible, duplicate, matched and unmatched correction keys; panel rows are hours."""
+    keys = _mask_keys(panel, mask)
+    e = eligible(mask).groupBy("timestamp", *keys).agg(F.count(F.lit(1)).alias("n"))
+    look = e.filter(F.col("timestamp") == floor_hour("timestamp")).select("timestamp", F.col("eic_code"), *[F.col(k).alias(f"_e_{k}") for k in keys[1:]])
+    met = match_hours(look, panel.select(*keys, START, END))
+    for k in keys[1:]:
+        met = met.filter(F.col(k) == F.col(f"_e_{k}"))
+    found = met.groupBy("timestamp", *keys).agg(F.count(F.lit(1)).alias("rows"))
+    j = e.join(found, ["timestamp", *keys], "left")
     return j.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("eligible_correction_rows"), F.count(F.lit(1)).alias("unique_correction_keys"),
                  F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_correction_keys"),
                  F.coalesce(F.sum("rows"), F.lit(0)).alias("matched_panel_rows"),

@@ -1,48 +1,90 @@
-"""Interval and point joins inside (unit, month) groups.
+"""Interval and point joins on nested time bins.
 
-Both sides are cut by month, so a unit with very many rows is spread over its months; a
-pair that shares several months is kept only in the first one.
+An interval lies in the bins of its own length class: the narrowest bins that are at least as long
+as it, of which it touches two at most. Two intervals that overlap share a bin of the longer
+one's class, so each side goes into its own class, and the other into all wider ones:
+neither a long interval nor a busy stretch of short ones meets rows far away from it, and no
+key is wider than a bin. A pair that shares two bins is kept in the first one only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+HOUR = 3600
+#: Widths of the bins in hours; longer intervals take several of the widest.
+WIDTHS = (12, 96, 768, 6144, 49152)
 
-def month_of(c):
-    return F.date_trunc("month", c)
 
+def _own(length: Column, widths: tuple[int, ...]) -> Column:
+    """Place in ``widths`` of an interval's class."""
+    out = F.lit(len(widths) - 1)
+    for i, w in reversed(list(enumerate(widths[:-1]))):
+        out = F.when(length <= w * HOUR, i).otherwise(out)
+    return out
 
-def _months(start, end):
-    return F.sequence(month_of(start), month_of(end - F.expr("INTERVAL 1 MICROSECOND")), F.expr("INTERVAL 1 MONTH"))
+
+def _with_bins(df: DataFrame, s: str, e: str, widths: tuple[int, ...], classes: str) -> DataFrame:
+    """Rows per class and bin (``_level``, ``_bin``) of ``classes``: the row's "own" class, all
+    "wider" ones, or "all" from its own on. ``s`` and ``e`` are seconds; ``e`` is exclusive."""
+    last = F.greatest(F.col(e) - 1e-6, F.col(s))
+    own = _own(F.col(e) - F.col(s), widths)
+
+    def span(i: int, w: int) -> Column:
+        bins = F.sequence(F.floor(F.col(s) / (w * HOUR)), F.floor(last / (w * HOUR)))
+        taken = {"own": own == i, "wider": own < i, "all": own <= i}[classes]
+        return F.when(taken, F.transform(bins, lambda b: F.struct(F.lit(i).alias("_level"), b.alias("_bin"))))
+
+    none = F.array().cast("array<struct<_level:int,_bin:bigint>>")
+    each = F.concat(*[F.coalesce(span(i, w), none) for i, w in enumerate(widths)])
+    return df.withColumn("_each", F.explode(each)).select("*", "_each._level", "_each._bin").drop("_each")
+
+
+def _seconds(c) -> Column:
+    return F.unix_micros(c) / F.lit(1e6)
+
+
+def _met(left: DataFrame, right: DataFrame, keys: list[str], widths: tuple[int, ...], where: Column | None) -> DataFrame:
+    """Pairs whose stretches [_l0, _l1) and [_r0, _r1) (seconds) overlap."""
+    overlap = (F.col("_l0") < F.col("_r1")) & (F.col("_r0") < F.col("_l1"))
+    width = F.element_at(F.array(*[F.lit(w * HOUR) for w in widths]), F.col("_level") + 1)
+    first = F.col("_bin") == F.floor(F.greatest("_l0", "_r0") / width)
+    keep = overlap & first if where is None else overlap & first & where
+    on = [*keys, "_level", "_bin"]
+    binned = lambda df, s, e, classes: _with_bins(df, s, e, widths, classes)
+    longer_left = binned(left, "_l0", "_l1", "own").join(binned(right, "_r0", "_r1", "all"), on).filter(keep)
+    longer_right = binned(left, "_l0", "_l1", "wider").join(binned(right, "_r0", "_r1", "own"), on).filter(keep)
+    return longer_left.unionByName(longer_right).drop("_level", "_bin", "_l0", "_l1", "_r0", "_r1")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], l: tuple[str, str], r: tuple[str, str],
-                 slack_hours: float = 0.0) -> DataFrame:
+                 slack_hours: float = 0.0, where: Column | None = None) -> DataFrame:
     """Pairs with equal keys whose intervals overlap, the left one widened by ``slack_hours``.
 
-    Column names other than the keys must differ between the sides.
+    Column names other than the keys must differ between the sides; ``where`` is one more
+    condition on the pair.
     """
-    slack = F.expr(f"INTERVAL {int(round(slack_hours * 3600))} SECOND")
-    lw = left.withColumn("_l0", F.col(l[0]) - slack).withColumn("_l1", F.col(l[1]) + slack).filter("_l0 < _l1")
-    rw = right.withColumn("_r0", F.col(r[0])).withColumn("_r1", F.col(r[1])).filter("_r0 < _r1")
-    lw = lw.withColumn("_m", F.explode(_months(F.col("_l0"), F.col("_l1"))))
-    rw = rw.withColumn("_m", F.explode(_months(F.col("_r0"), F.col("_r1"))))
-    j = lw.join(rw, [*keys, "_m"]).filter((F.col("_l0") < F.col("_r1")) & (F.col("_r0") < F.col("_l1")))
-    return j.filter(F.col("_m") == F.greatest(month_of(F.col("_l0")), month_of(F.col("_r0")))).drop(
-        "_m", "_l0", "_l1", "_r0", "_r1")
+    slack = float(round(slack_hours * 3600))
+    lw = left.withColumn("_l0", _seconds(F.col(l[0])) - slack).withColumn("_l1", _seconds(F.col(l[1])) + slack).filter("_l0 < _l1")
+    rw = right.withColumn("_r0", _seconds(F.col(r[0]))).withColumn("_r1", _seconds(F.col(r[1]))).filter("_r0 < _r1")
+    return _met(lw, rw, keys, WIDTHS, where)
 
 
 def match_hours(hours: DataFrame, intervals: DataFrame, key: str = "eic_code", at: str = "timestamp") -> DataFrame:
     """Each hourly row with the interval (``seg_start``, ``seg_end``) that holds it.
 
-    Replaces exploding the intervals: the hourly side is looked up in its unit-month, which
-    has at most 745 intervals. Intervals must not cross a month start (segments never do).
+    Replaces exploding the intervals. An hour looks into one bin of each class and meets there only
+    the intervals of that class; intervals that cross no month start (segments never do) need
+    three classes.
     """
-    h = hours.withColumn("_m", month_of(F.col(at))).withColumnRenamed(key, "_key")
-    iv = intervals.withColumn("_im", month_of(F.col("seg_start")))
+    widths = (24, 168, 768)
+    h = hours.withColumnRenamed(key, "_key").withColumn("_t", _seconds(F.col(at)))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("_level"), F.floor(F.col("_t") / (w * HOUR)).alias("_bin")) for i, w in enumerate(widths)]))
+    points = h.withColumn("_each", each).select("*", F.col("_each._level").alias("_pl"), F.col("_each._bin").alias("_pb")).drop("_each")
+    iv = intervals.withColumn("_l0", _seconds(F.col("seg_start"))).withColumn("_l1", _seconds(F.col("seg_end"))).filter("_l0 < _l1")
+    iv = _with_bins(iv, "_l0", "_l1", widths, "own")
     cond = (
-        (F.col("_key") == F.col(key)) & (F.col("_m") == F.col("_im"))
-        & (F.col(at) >= F.col("seg_start")) & (F.col(at) < F.col("seg_end"))
+        (F.col("_key") == F.col(key)) & (F.col("_pl") == F.col("_level")) & (F.col("_pb") == F.col("_bin"))
+        & (F.col("_t") >= F.col("_l0")) & (F.col("_t") < F.col("_l1"))
     )
-    return iv.join(h, cond).drop("_m", "_im", "_key")
+    return iv.join(points, cond).drop("_pl", "_pb", "_level", "_bin", "_t", "_l0", "_l1", "_key")

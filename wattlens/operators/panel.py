@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from ..functions import arrays, text
 from ..functions.maths import nz
@@ -13,7 +13,9 @@ from ..session import materialise
 from ..schema import PANEL_COLUMNS
 from .bridging import UNIT, bridge_reports
 from .rows import require
-from .segments import CHUNK, active_segments, cut, mark_busy, n_hours, to_hours
+from .overlap import overlap_join
+from .segments import CHUNK, bounds, covered, n_hours, to_hours
+from .timeline import interval_sums
 
 SEG = [UNIT, CHUNK, "seg_start", "seg_end"]
 EPS = 1e-9
@@ -42,6 +44,65 @@ def state(installed: Column, avail: Column) -> Column:
     )
 
 
+# Bits that tell a report's kind, and below how it stands to a segment.
+PLANNED, FORCED, FORCED_LABEL, OBSERVED_MAINT, INFERRED_MAINT, BRIDGE, REACTIVE, REACTIVE_INC, SHORT, LATE = (1 << i for i in range(10))
+IN_A, IN_C, BASE, BASE_C, BASE_NOW, FORCED_NOW, PLANNED_NOW, LOWEST, EXTENSION = (1 << i for i in range(10, 19))
+SETS = {"base": BASE_NOW, "cand": FORCED_NOW, "plan": PLANNED_NOW, "low": LOWEST}
+
+
+def _has(bit: int, column: str = "m") -> Column:
+    return F.col(column).bitwiseAND(F.lit(bit)) != 0
+
+
+def _bits(conditions: dict[int, Column]) -> Column:
+    out = F.lit(0)
+    for bit, c in conditions.items():
+        out = out + F.when(c, bit).otherwise(0)
+    return out
+
+
+def narrow(work: DataFrame) -> DataFrame:
+    """The columns of reports that capacity and attribution need: times, two numbers, the id
+    and a word of bits."""
+    doc = F.coalesce("document_sort_time", "created_doc")
+    kind = text.outage_type_norm("outage_type")
+    return work.select(
+        UNIT, "start_out", "end_out", "start_derate", "end_derate", F.col("mrid").alias("id"), F.coalesce("document_sort_time", ts(FAR_FUTURE)).alias("o_doc"),
+        F.col("created_doc").alias("created"), F.col("avail_capacity").alias("avail"), F.col("installed_capacity").alias("installed"), "linked_start",
+        # currency rank: newest known document; without any, the latest window start
+        F.coalesce(doc, ts(FAR_PAST)).alias("rank_d"), F.when(doc.isNull(), F.col("start_derate")).otherwise(ts(FAR_PAST)).alias("rank_s"),
+        _bits({PLANNED: kind == "planned", FORCED: kind == "forced", FORCED_LABEL: F.lower(F.coalesce("outage_type", F.lit(""))) == "forced",
+               OBSERVED_MAINT: text.reason_class("reason") == "maintenance", INFERRED_MAINT: _inferred_reason() == "maintenance",
+               BRIDGE: F.col("is_deration_gap_bridge"), REACTIVE: F.col("reactive"), REACTIVE_INC: F.col("reactive_increment"), SHORT: F.col("short"),
+               LATE: F.col("created_doc") > F.col("start_out")}).alias("bits"))
+
+
+NARROW = ["start_out", "end_out", "start_derate", "end_derate", "id", "o_doc", "created", "avail", "installed", "linked_start", "rank_d", "rank_s", "bits"]
+
+
+def by_segment() -> WindowSpec:
+    return Window.partitionBy(UNIT, "seg_start")
+
+
+def _newest(tie: str) -> list[Column]:
+    """Aggregates over a segment's rows, which carry the newest document times ``nc``, ``na``:
+    installed capacity of the first newest outage, available capacity of the newest derations."""
+    first = F.min(F.when(F.col("in_c") & (F.col("o_doc") == F.col("nc")), F.struct(
+        "start_out", "id", "start_derate", "end_derate", "end_out", "created", "avail", "installed")))
+    values = F.when(F.col("in_a") & (F.col("o_doc") == F.col("na")), F.col("avail"))
+    return [first["installed"].alias("inst0"), (F.min(values) if tie == "lowest" else F.max(values)).alias("av0")]
+
+
+def _marked_newest(rows: DataFrame) -> DataFrame:
+    newest = lambda c: F.max(F.when(F.col(c), F.col("o_doc"))).over(by_segment())
+    return rows.withColumns({"nc": newest("in_c"), "na": newest("in_a")})
+
+
+def segment_capacity(rows: DataFrame, opts: PanelOptions) -> DataFrame:
+    """Capacities and state per segment from the rows of ``covered``."""
+    return with_capacity(_marked_newest(rows).groupBy(UNIT, CHUNK, "seg_start", "seg_end").agg(*_newest(opts.tie)), opts)
+
+
 def with_capacity(df: DataFrame, opts: PanelOptions = PanelOptions()) -> DataFrame:
     """Installed and available capacity, relative availability and state per segment.
 
@@ -50,19 +111,14 @@ def with_capacity(df: DataFrame, opts: PanelOptions = PanelOptions()) -> DataFra
     from outage windows, first report in reading order on ties, and is filled backwards,
     then forwards, over the unit's series; available capacity uses the tie rule.
     """
-    newest = lambda c: F.array_max(F.transform(c, lambda x: x["o_doc"]))
     require(opts.tie, ("lowest", "highest"), "tie")
-    df = df.withColumn("_nc", newest("c")).withColumn("_na", newest("a"))
-    inst0 = F.get(F.transform(F.filter("c", lambda x: x["o_doc"] == F.col("_nc")), lambda x: x["installed"]), F.lit(0))
-    values = F.transform(F.filter("a", lambda x: x["o_doc"] == F.col("_na")), lambda x: x["avail"])
-    av0 = F.array_min(values) if opts.tie == "lowest" else F.array_max(values)
     # a unit's segments number at most one per hour of the horizon (plus chunk starts)
     # running frames in both directions: linear, unlike a frame that shrinks towards the end
     run = lambda o: Window.partitionBy(UNIT).orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
     back = F.last("inst0", ignorenulls=True).over(run(F.desc("seg_start")))
     fwd = F.last("inst0", ignorenulls=True).over(run(F.asc("seg_start")))
-    out = df.withColumn("inst0", inst0).withColumn("av0", av0).withColumn("installed_capacity", F.coalesce(back, fwd))
-    out = out.withColumn("avail_capacity", F.coalesce("av0", "installed_capacity")).drop("inst0", "av0", "_nc", "_na")
+    out = df.withColumn("_back", back).withColumn("installed_capacity", F.coalesce("_back", fwd))
+    out = out.withColumn("avail_capacity", F.coalesce("av0", "installed_capacity")).drop("inst0", "av0", "_back")
     rel = F.when(F.col("installed_capacity") > 0, F.col("avail_capacity") / F.col("installed_capacity"))
     if opts.round_relative is not None:
         rel = F.round(rel, opts.round_relative)
@@ -84,73 +140,25 @@ def _inferred_reason() -> Column:
     return F.when(F.coalesce(planned_long, F.lit(False)), "maintenance").otherwise(observed)
 
 
-def event() -> Column:
-    """The report as a struct whose leading fields give the reading order."""
-    doc = F.coalesce("document_sort_time", "created_doc")
-    return F.struct(
-        F.col("start_out"), F.coalesce("document_sort_time", ts(FAR_FUTURE)).alias("o_doc"),
-        F.col("mrid").alias("id"), F.col("start_derate"), F.col("end_derate"), F.col("end_out"),
-        F.col("created_doc").alias("created"), F.col("avail_capacity").alias("avail"),
-        text.outage_type_norm("outage_type").alias("type"),
-        (F.lower(F.coalesce("outage_type", F.lit(""))) == "forced").alias("is_forced_label"),
-        text.reason_class("reason").alias("reason_observed"), _inferred_reason().alias("reason_inferred"),
-        F.col("is_deration_gap_bridge").alias("bridge"),
-        # currency rank: newest known document; without any, the latest window start
-        F.struct(F.coalesce(doc, ts(FAR_PAST)).alias("d"),
-                 F.when(doc.isNull(), F.col("start_derate")).otherwise(ts(FAR_PAST)).alias("s")).alias("rank"),
-        F.col("installed_capacity").alias("installed"),
-        "reactive", "reactive_increment", "linked_start", "short",
-    )
-
-
-def with_lowest(df: DataFrame, src: str, out: str) -> DataFrame:
-    """Add ``out``: the reports of array ``src`` that have its lowest capacity."""
-    return df.withColumn("_m", _avail(F.col(src))).withColumn(
-        out, F.filter(src, lambda x: x["avail"] == F.col("_m"))).drop("_m")
-
-
-def with_current(df: DataFrame, src: str, out: str) -> DataFrame:
-    """Add ``out``: the lowest-capacity reports at the highest currency rank of ``src``."""
-    df = df.withColumn("_r", F.array_max(F.transform(src, lambda x: x["rank"]))).withColumn(
-        "_top", F.filter(src, lambda x: x["rank"] == F.col("_r")))
-    return with_lowest(df, "_top", out).drop("_r", "_top")
-
-
-def _avail(a: Column) -> Column:
-    return F.array_min(F.transform(a, lambda x: x["avail"]))
-
-
 def _ids(a: Column) -> Column:
     return arrays.join_ids(F.transform(a, lambda x: x["id"]))
 
 
-def _of_type(a: Column, t: str) -> Column:
-    return F.filter(a, lambda x: x["type"] == t)
-
-
-def _mode(a: Column, field: str) -> Column:
-    """Most frequent of the two reason classes, 'maintenance' on a tie."""
-    n = F.size(a)
-    m = F.size(F.filter(a, lambda x: x[field] == "maintenance"))
-    return F.when(n <= 0, F.lit(None).cast("string")).when(m * 2 >= n, "maintenance").otherwise("other")
-
-
-def forced_increment_events(segs: DataFrame, delta: float) -> DataFrame:
+def forced_increment_events(rows: DataFrame, segs: DataFrame, delta: float) -> DataFrame:
     """(unit, id) of forced reports that cut below the planned baseline known ``delta`` hours ahead.
 
-    Planned reports and forced thresholds go on one time line per segment; the baseline
-    known at a threshold is the running best of the planned rows before it.
+    ``rows``: segments with their reports; ``segs``: the segments' capacities. Planned reports
+    and forced thresholds go on one time line per segment; the baseline known at a threshold is
+    the running best of the planned rows before it.
     """
-    forced = F.exists("a", lambda x: x["type"] == "forced")
-    rows = segs.filter(forced).select(*SEG, "installed_capacity", F.explode("a").alias("x"))
-    rows = rows.filter(F.col("x.type").isin("planned", "forced")).select(
-        *SEG, "installed_capacity", F.col("x.type").alias("type"), F.col("x.id").alias("id"), F.col("x.avail").alias("avail"),
-        F.when(F.col("x.type") == "planned", F.col("x.created")).otherwise(F.col("x.start_out") - hours(delta)).alias("at"),
-        F.when(F.col("x.type") == "planned", F.struct(
-            F.col("x.rank").alias("r"), F.col("x.avail").isNotNull().alias("h"), (-F.col("x.avail")).alias("k"))).alias("plan"),
+    planned, forced = _has(PLANNED, "bits"), _has(FORCED, "bits")
+    line = rows.filter(F.col("in_a") & (planned | forced)).select(
+        UNIT, "seg_start", forced.alias("forced"), "id", "avail",
+        F.when(planned, F.col("created")).otherwise(F.col("start_out") - hours(delta)).alias("at"),
+        F.when(planned, F.struct(F.col("rank_d").alias("d"), F.col("rank_s").alias("s"), F.col("avail").isNotNull().alias("h"), (-F.col("avail")).alias("k"))).alias("plan"),
     ).filter(F.col("at").isNotNull())
-    w = Window.partitionBy(*SEG).orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
-    known = rows.withColumn("best", F.max("plan").over(w)).filter(F.col("type") == "forced")
+    w = by_segment().orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    known = line.withColumn("best", F.max("plan").over(w)).filter("forced").join(segs.select(UNIT, "seg_start", "installed_capacity"), [UNIT, "seg_start"])
     base = F.when(F.col("best").isNull(), F.col("installed_capacity")).otherwise(-F.col("best.k"))
     return known.filter(F.col("avail") < base - EPS).select(UNIT, "id").distinct()
 
@@ -162,33 +170,30 @@ def planned_links(work: DataFrame, increments: DataFrame | None, delta: float) -
     planned ones to distinct windows, so the range join compares compressed sides.
     """
     typ = text.outage_type_norm("outage_type")
-    forced = work.filter(typ == "forced").select(UNIT, "fine", F.col("mrid").alias("id"), "start_out", "end_out")
+    forced = work.filter(typ == "forced").select(UNIT, F.col("mrid").alias("id"), "start_out", "end_out")
     id_start = forced.groupBy(UNIT, "id").agg(F.max("start_out").alias("id_start"))
     forced = forced.join(id_start, [UNIT, "id"])
     if increments is not None:
         forced = forced.join(increments.withColumn("inc", F.lit(True)), [UNIT, "id"], "left")
     else:
         forced = forced.withColumn("inc", F.lit(False))
-    f = forced.groupBy(UNIT, "fine", F.col("start_out").alias("f_start"), "id_start").agg(
+    f = forced.groupBy(UNIT, F.col("start_out").alias("f_start"), "id_start").agg(
         F.max("end_out").alias("f_end"), F.max(F.when(F.col("inc"), F.col("end_out"))).alias("f_end_inc"))
     f = f.withColumn("w0", F.col("f_start") - hours(delta)).withColumn("w1", F.col("f_end") + hours(delta + 1))
-    fp = cut(f, "w0", "w1", [UNIT, "f_start", "id_start", "f_end", "f_end_inc"]).alias("f")
+    f = f.select(UNIT, "f_start", "id_start", "f_end", "f_end_inc", "w0", "w1")
     key = [UNIT, "start_out", "end_out", "created_doc"]
-    p = work.filter((typ == "planned") & F.col("created_doc").isNotNull()).select(*key, "fine").distinct()
+    p = work.filter((typ == "planned") & F.col("created_doc").isNotNull()).select(*key).distinct()
     p = p.withColumn("p_end1", F.col("end_out") + F.expr("INTERVAL 1 HOUR"))
-    pp = cut(p, "start_out", "p_end1", [*key]).alias("p")
     near = (
-        (F.col(f"p.{UNIT}") == F.col(f"f.{UNIT}")) & (F.col(f"p.{CHUNK}") == F.col(f"f.{CHUNK}"))
-        & (F.col("p.start_out") <= F.col("f.f_end") + hours(delta))
-        & (F.col("p.end_out") >= F.col("f.f_start") - hours(delta))
-        & (F.col("p.created_doc") > F.col("f.f_start") - hours(delta))
+        (F.col("start_out") <= F.col("f_end") + hours(delta)) & (F.col("end_out") >= F.col("f_start") - hours(delta))
+        & (F.col("created_doc") > F.col("f_start") - hours(delta))
     )
-    after = F.col("p.created_doc") > F.col("f.f_start")
-    return pp.join(fp, near).groupBy(*[F.col(f"p.{k}") for k in key]).agg(
+    met = overlap_join(p, f, [UNIT], ("start_out", "p_end1"), ("w0", "w1"), where=near)
+    after = F.col("created_doc") > F.col("f_start")
+    return met.groupBy(*key).agg(
         F.max(after).alias("reactive"),
-        F.max(after & F.coalesce(F.col("p.start_out") <= F.col("f.f_end_inc") + hours(delta), F.lit(False))
-              ).alias("reactive_increment"),
-        F.min(F.when(after, F.col("f.id_start"))).alias("linked_start"),
+        F.max(after & F.coalesce(F.col("start_out") <= F.col("f_end_inc") + hours(delta), F.lit(False))).alias("reactive_increment"),
+        F.min(F.when(after, F.col("id_start"))).alias("linked_start"),
         F.max(~after).alias("short"),
     )
 
@@ -206,90 +211,102 @@ def unlinked(work: DataFrame) -> DataFrame:
     return work.withColumns({**off, "linked_start": F.lit(None).cast("timestamp")})
 
 
+def related(rows: DataFrame, opts: PanelOptions = PanelOptions()) -> DataFrame:
+    """Each report of a segment with how it stands to it: a word of bits ``m``.
+
+    Two windows over the segment's rows: first the newest documents, the forced threshold and
+    the best ranks that need nothing else, then the best rank of the planned baseline, which
+    needs the threshold. Of equal ranks the lowest capacity counts.
+    """
+    planned, forced, reactive = _has(PLANNED, "bits"), _has(FORCED, "bits"), _has(REACTIVE, "bits")
+    in_a, in_c = F.col("in_a"), F.col("in_c")
+    extension = in_a & planned & reactive & _has(REACTIVE_INC, "bits") if opts.reactive_extension else F.lit(False)
+    best = lambda c: F.max(F.when(c, F.struct(F.col("rank_d").alias("d"), F.col("rank_s").alias("s"), F.col("avail").isNotNull().alias("h"),
+                                              (-F.col("avail")).alias("k")))).over(by_segment())
+    now = lambda key: F.coalesce((F.col("rank_d") == F.col(f"{key}.d")) & (F.col("rank_s") == F.col(f"{key}.s")) & (F.col("avail") == -F.col(f"{key}.k")), F.lit(False))
+    rows = _marked_newest(rows).withColumns({
+        "threshold": F.min(F.when(in_a & forced, F.col("start_out")).when(extension, F.col("linked_start"))).over(by_segment()),
+        "cand_key": best((in_a & forced) | extension), "plan_key": best(in_a & planned),
+        "low": F.min(F.when(in_a, F.col("avail"))).over(by_segment())})
+    ahead = F.when(F.col("threshold").isNull(), F.lit(True)).otherwise(
+        F.coalesce(~reactive & (F.col("created") <= F.col("threshold") - hours(opts.cluster_delta)), F.lit(False)))
+    rows = rows.withColumn("ahead", planned & ahead)
+    base = in_a & F.col("ahead")
+    rows = rows.withColumn("base_key", best(base))
+    return rows.withColumn("m", F.coalesce(F.col("bits"), F.lit(0)) + _bits({
+        IN_A: in_a, IN_C: in_c, BASE: base, BASE_C: in_c & F.col("ahead"), BASE_NOW: base & now("base_key"),
+        FORCED_NOW: ((in_a & forced) | extension) & now("cand_key"), PLANNED_NOW: in_a & planned & now("plan_key"),
+        LOWEST: in_a & (F.col("avail") == F.col("low")), EXTENSION: extension}))
+
+
+def reduced(rows: DataFrame, opts: PanelOptions = PanelOptions()) -> DataFrame:
+    """One row per segment: capacities, what is true of any of its reports, sizes of the report
+    sets, and ``members``, the ids in reading order with their bits (the ids are output)."""
+    any_ = lambda c: F.coalesce(F.max(c), F.lit(False))
+    of = lambda *bits: F.col("m").bitwiseAND(F.lit(sum(bits))) == sum(bits)
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    counts = []
+    for name, bit in SETS.items():
+        counts += [n(of(bit)).alias(f"n_{name}"), n(of(bit, OBSERVED_MAINT)).alias(f"obs_{name}"), n(of(bit, INFERRED_MAINT)).alias(f"inf_{name}")]
+    member = F.when(F.col("in_a") | F.col("in_c"), F.struct("start_out", "o_doc", "id", "start_derate", "end_derate", "end_out", "m"))
+    starts_here = _has(FORCED_LABEL) & ((F.col("in_c") & (F.col("start_out") == F.col("seg_start"))) | (F.col("in_a") & (F.col("start_derate") == F.col("seg_start"))))
+    return related(rows, opts).groupBy(*SEG).agg(
+        *_newest(opts.tie), *counts, any_(F.col("in_a")).alias("any_a"), any_(of(IN_A, FORCED)).alias("any_forced"), any_(of(EXTENSION)).alias("any_extension"),
+        any_(of(IN_A, PLANNED, REACTIVE)).alias("any_reactive_a"), any_(of(IN_C, PLANNED, REACTIVE)).alias("any_reactive_c"),
+        any_(of(IN_A, BRIDGE)).alias("is_deration_gap_bridge"), any_(of(IN_C, LATE)).alias("any_late"), any_(of(IN_C, PLANNED, SHORT)).alias("any_short"),
+        any_(starts_here).alias("forced_start_here"),
+        (-F.max("base_key")["k"]).alias("base_avail"), (-F.max("cand_key")["k"]).alias("cand_avail"), F.sort_array(F.collect_list(member)).alias("members"))
+
+
 def attribute(df: DataFrame, opts: PanelOptions = PanelOptions()) -> DataFrame:
-    """Rule-based planned/forced attribution of segments with event arrays ``a`` and ``c``."""
+    """Rule-based planned/forced attribution of reduced segments with their capacities."""
     require(opts.reason_policy, ("inferred", "reported"), "reason_policy")
-    d = opts.cluster_delta
-    empty = F.array().cast(df.schema["a"].dataType)
-    a, c = F.col("a"), F.col("c")
-    on = (F.size(a) > 0) & (F.col("state") != "avail")
-    df = (
-        df.withColumn("on", on)
-        .withColumn("planned", _of_type(a, "planned")).withColumn("forced", _of_type(a, "forced"))
-        .withColumn("planned_c", _of_type(c, "planned"))
-        .withColumn("reactive_a", F.filter("planned", lambda x: x["reactive"]))
-        .withColumn("reactive_c", F.filter("planned_c", lambda x: x["reactive"]))
-        .withColumn("extension", F.filter("reactive_a", lambda x: x["reactive_increment"])
-                    if opts.reactive_extension else empty)
-        .withColumn("cand", F.concat("forced", "extension"))
-        .withColumn("threshold", F.array_min(F.transform(
-            "cand", lambda x: F.when(x["type"] == "forced", x["start_out"]).otherwise(x["linked_start"]))))
-    )
-    limit = F.col("threshold") - hours(d)
-    ahead = lambda x: F.when(F.col("threshold").isNull(), F.lit(True)).otherwise(
-        F.coalesce(~x["reactive"] & (x["created"] <= limit), F.lit(False)))
     inst = nz("installed_capacity")
-    df = (
-        df.withColumn("base", F.filter("planned", ahead)).withColumn("base_c", F.filter("planned_c", ahead))
-    )
-    for src, out in (("base", "base_now"), ("cand", "forced_now"), ("planned", "planned_now")):
-        df = with_current(df, src, out)
-    df = with_lowest(df, "a", "lowest")
-    df = (
-        df.withColumn("base_av", F.coalesce(_avail(F.col("base_now")), inst))
-        .withColumn("inc", F.when(F.col("on"), F.least(
-            F.greatest(F.coalesce(F.col("base_av") - _avail(F.col("forced_now")), F.lit(0.0)), F.lit(0.0)),
-            F.col("total_derate_mw"))).otherwise(0.0))
-        .withColumn("sched", F.when(F.col("on"), F.least(
-            F.greatest(inst - F.col("base_av"), F.lit(0.0)),
-            F.greatest(F.col("total_derate_mw") - F.col("inc"), F.lit(0.0)))).otherwise(0.0))
-    )
+    df = df.withColumn("on", F.col("any_a") & (F.col("state") != "avail")).withColumn("base_av", F.coalesce("base_avail", inst))
+    df = df.withColumn("inc", F.when(F.col("on"), F.least(
+        F.greatest(F.coalesce(F.col("base_av") - F.col("cand_avail"), F.lit(0.0)), F.lit(0.0)), F.col("total_derate_mw"))).otherwise(0.0))
+    df = df.withColumn("sched", F.when(F.col("on"), F.least(
+        F.greatest(inst - F.col("base_av"), F.lit(0.0)), F.greatest(F.col("total_derate_mw") - F.col("inc"), F.lit(0.0)))).otherwise(0.0))
     by_force, by_plan = F.col("on") & (F.col("inc") > EPS), F.col("on") & (F.col("sched") > EPS)
     by_any = F.col("on") & (F.col("total_derate_mw") > EPS)
-    dom = (
-        F.when(by_force, F.col("forced_now"))
-        .when(by_plan, F.when(F.size("base_now") > 0, F.col("base_now")).otherwise(F.col("planned_now")))
-        .when(by_any, F.col("lowest")).otherwise(empty)
-    )
-    first_title = F.initcap(F.when(F.element_at(F.transform("dom", lambda x: x["type"]), 1).isin("planned", "forced"),
-                                   F.element_at(F.transform("dom", lambda x: x["type"]), 1)))
-    df = df.withColumn("dom", dom)
-    df = df.withColumn("dom_type", F.when(by_force, "Forced").when(by_plan, "Planned").when(
-        by_any & (F.size("dom") > 0), first_title))
+    name = F.when(by_force, "cand").when(by_plan, F.when(F.col("n_base") > 0, "base").otherwise("plan")).when(by_any, "low")
+    df = df.withColumn("dom_name", name)
+    chosen = lambda prefix: F.coalesce(*[F.when(F.col("dom_name") == k, F.col(f"{prefix}_{k}")) for k in SETS], F.lit(0))
+    bit = F.coalesce(*[F.when(F.col("dom_name") == k, F.lit(b)) for k, b in SETS.items()], F.lit(0))
+    df = df.withColumns({"dom_bit": bit, "n_dom": chosen("n"), "obs_dom": chosen("obs"), "inf_dom": chosen("inf")})
+    df = df.withColumn("dom", F.filter("members", lambda x: x["m"].bitwiseAND(F.col("dom_bit")) != 0))
+    title = lambda x: F.when(x["m"].bitwiseAND(F.lit(PLANNED)) != 0, "Planned").when(x["m"].bitwiseAND(F.lit(FORCED)) != 0, "Forced")
+    some = F.col("n_dom") > 0
+    df = df.withColumn("dom_type", F.when(by_force, "Forced").when(by_plan, "Planned").when(by_any & some, F.get(F.transform("dom", title), F.lit(0))))
+    ext = F.lit(opts.reactive_extension)
     rule = (
-        F.when(by_force, F.when((F.size("extension") > 0) & (F.size("forced") == 0),
-                                "reactive_planned_after_forced_increment").otherwise("forced_increment_over_planned"))
-        .when(by_plan, F.when((F.size("forced") == 0) & (F.size("reactive_a") > 0) & F.lit(opts.reactive_extension),
-                              "planned_sequence_reactive_no_forced_increment").otherwise("planned_baseline"))
+        F.when(by_force, F.when(F.col("any_extension") & ~F.col("any_forced"), "reactive_planned_after_forced_increment").otherwise("forced_increment_over_planned"))
+        .when(by_plan, F.when(~F.col("any_forced") & F.col("any_reactive_a") & ext, "planned_sequence_reactive_no_forced_increment").otherwise("planned_baseline"))
         .when(by_any, "active_derate_no_baseline").otherwise("")
     )
-    warn = F.array(
-        F.when(F.exists("c", lambda x: F.coalesce(x["created"] > x["start_out"], F.lit(False))), "reported_after_start"),
-        F.when(F.exists("planned_c", lambda x: x["short"]), "short_notice_planned"),
-        F.when(F.size("reactive_c") > 0, "reactive_planned"),
-        F.when((F.size("forced") > 0) & (F.col("inc") <= EPS), "forced_without_increment"),
-    )
+    warn = F.array(F.when(F.col("any_late"), "reported_after_start"), F.when(F.col("any_short"), "short_notice_planned"),
+                   F.when(F.col("any_reactive_c"), "reactive_planned"), F.when(F.col("any_forced") & (F.col("inc") <= EPS), "forced_without_increment"))
     blank = lambda cond, v: F.when(cond, v).otherwise("")
-    base_maint = F.coalesce(_mode(F.col("base_now"), "reason_inferred"), F.lit("other")) == "maintenance"
-    dom_inf = _mode(F.col("dom"), "reason_inferred")
+    mode = lambda part, of: F.when(F.col(of) > 0, F.when(F.col(part) * 2 >= F.col(of), "maintenance").otherwise("other"))
+    base_maint = (F.col("n_base") > 0) & (F.col("inf_base") * 2 >= F.col("n_base"))
+    dom_inf = mode("inf_dom", "n_dom")
     amount = lambda p, v: F.when(p, F.col(v)).otherwise(0.0)
+    held = lambda *bits: F.filter("members", lambda x: x["m"].bitwiseAND(F.lit(sum(bits))) == sum(bits))
     id_set = lambda x: F.transform(x, lambda e: e["id"])
-    suppressed = F.array_sort(F.array_except(id_set(a), F.concat(id_set(F.col("base")), id_set(F.col("dom")), id_set(F.col("reactive_c")))))
+    a, reactive_c = held(IN_A), held(IN_C, PLANNED, REACTIVE)
+    suppressed = F.array_sort(F.array_except(id_set(a), F.concat(id_set(held(BASE)), id_set(F.col("dom")), id_set(reactive_c))))
     dom_ids = F.when(F.col("on"), _ids(F.col("dom")))
-    forced_start_here = F.exists("c", lambda x: x["is_forced_label"] & (x["start_out"] == F.col("seg_start"))) | F.exists(
-        "a", lambda x: x["is_forced_label"] & (x["start_derate"] == F.col("seg_start")))
-    titled = F.filter(F.transform("dom", lambda x: F.when(x["type"].isin("planned", "forced"), F.initcap(x["type"]))),
-                      lambda x: x.isNotNull())
+    titled = F.filter(F.transform("dom", title), lambda x: x.isNotNull())
     return df.select(
         *SEG, "installed_capacity", "avail_capacity", "relative_avail_capacity", "state", "total_derate_mw",
-        _ids(a).alias("active_event_ids"), _ids(c).alias("active_outage_event_ids"),
+        _ids(a).alias("active_event_ids"), _ids(held(IN_C)).alias("active_outage_event_ids"),
         _ids(a).alias("active_deration_event_ids"),
-        _ids(F.filter(a, lambda x: x["bridge"])).alias("active_deration_gap_bridge_event_ids"),
-        F.exists(a, lambda x: x["bridge"]).alias("is_deration_gap_bridge"),
-        blank(F.col("on"), _ids(F.col("base_c"))).alias("baseline_context_event_ids"),
-        blank(F.col("on"), _ids(F.col("base"))).alias("baseline_event_ids"),
+        blank(F.col("is_deration_gap_bridge"), _ids(held(IN_A, BRIDGE))).alias("active_deration_gap_bridge_event_ids"),
+        "is_deration_gap_bridge",
+        blank(F.col("on"), _ids(held(BASE_C))).alias("baseline_context_event_ids"),
+        blank(F.col("on"), _ids(held(BASE))).alias("baseline_event_ids"),
         blank(F.col("on"), dom_ids).alias("dominant_event_ids"),
-        blank(F.col("on"), _ids(F.col("reactive_c"))).alias("reactive_event_ids"),
+        blank(F.col("on") & F.col("any_reactive_c"), _ids(reactive_c)).alias("reactive_event_ids"),
         blank(F.col("on"), arrays.join_ids(suppressed)).alias("suppressed_event_ids"),
         F.col("sched").alias("scheduled_loss_mw"), F.col("inc").alias("forced_increment_mw"),
         amount(by_plan & ~base_maint, "sched").alias("derate_mw_planned_other"),
@@ -298,12 +315,12 @@ def attribute(df: DataFrame, opts: PanelOptions = PanelOptions()) -> DataFrame:
         amount(by_force & (dom_inf == "maintenance"), "inc").alias("derate_mw_forced_maintenance"),
         F.when(dom_ids != "", dom_ids).alias("dominant_outage_id"),
         F.col("dom_type").alias("dominant_outage_type"), F.col("dom_type").alias("type_effective"),
-        F.when(F.size("dom") > 0, arrays.join_ids(titled)).alias("type_observed"),
-        _mode(F.col("dom"), "reason_observed").alias("dominant_outage_reason"),
+        F.when(some, arrays.join_ids(titled)).alias("type_observed"),
+        mode("obs_dom", "n_dom").alias("dominant_outage_reason"),
         dom_inf.alias("dominant_reason_inferred"),
         rule.alias("cluster_rule"),
         blank(F.col("on"), F.array_join(F.filter(warn, lambda x: x.isNotNull()), "|")).alias("type_warning"),
-        F.coalesce(forced_start_here, F.lit(False)).alias("forced_start_here"),
+        "forced_start_here",
     ).withColumns({
         "outage_id": F.col("dominant_outage_id"),
         "outage_type": F.col("type_effective"),
@@ -347,24 +364,24 @@ def unit_attributes(reports: DataFrame) -> DataFrame:
 
 def build_segments(clean: DataFrame, start: str, end: str, opts: PanelOptions = PanelOptions()) -> DataFrame:
     """The labelled panel in interval form: unit attributes, ``seg_start``, ``seg_end``, labels."""
-    work = bridge_reports(clean, opts.max_outage_gap, opts.max_deration_gap, opts.same_type, opts.same_reason, opts.tie)
-    work = materialise(mark_busy(work))
+    require(opts.tie, ("lowest", "highest"), "tie")
+    work = materialise(bridge_reports(clean, opts.max_outage_gap, opts.max_deration_gap, opts.same_type, opts.same_reason, opts.tie))
+    marks = bounds(work, start, end)
     increments = None
     if opts.reactive_extension:
-        first = with_capacity(active_segments(unlinked(work), start, end, event()), opts)
-        increments = forced_increment_events(first, opts.cluster_delta)
-    linked = materialise(link_planned(work, increments, opts.cluster_delta))
-    segs = with_capacity(active_segments(linked, start, end, event()), opts)
-    labelled = clusters(attribute(segs, opts), opts.hard_split_forced)
+        marks = materialise(marks)
+        first = materialise(covered(narrow(unlinked(work)), start, end, NARROW, marks))
+        increments = forced_increment_events(first, segment_capacity(first, opts), opts.cluster_delta)
+    rows = covered(narrow(link_planned(work, increments, opts.cluster_delta)), start, end, NARROW, marks)
+    labelled = clusters(attribute(with_capacity(reduced(rows, opts), opts), opts), opts.hard_split_forced)
     return unit_attributes(work).join(labelled, UNIT)
 
 
 def capacity_segments(clean: DataFrame, start: str, end: str, opts: PanelOptions = PanelOptions()) -> DataFrame:
     """Capacities and state only, without attribution."""
-    work = bridge_reports(clean, opts.max_outage_gap, opts.max_deration_gap, opts.same_type, opts.same_reason, opts.tie)
-    work = materialise(mark_busy(work))
-    segs = with_capacity(active_segments(unlinked(work), start, end, event()), opts)
-    return unit_attributes(work).join(segs.drop("a", "c"), UNIT)
+    work = materialise(bridge_reports(clean, opts.max_outage_gap, opts.max_deration_gap, opts.same_type, opts.same_reason, opts.tie))
+    rows = covered(narrow(unlinked(work)), start, end, NARROW)
+    return unit_attributes(work).join(segment_capacity(rows, opts), UNIT)
 
 
 def build_panel(clean: DataFrame, start: str, end: str, opts: PanelOptions = PanelOptions()) -> DataFrame:
@@ -400,13 +417,12 @@ def outage_parts(df: DataFrame, missing_is_full: bool = False, use_rules: bool =
 SUM_PARTS = ["planned", "forced", "maintenance", "forced_nonmaintenance", "planned_nonmaintenance"]
 
 
-def outage_sums(segments: DataFrame, missing_is_full: bool = False) -> DataFrame:
-    """Outage MW and unit counts per country, area, plant type and hour.
+def outage_sum_intervals(segments: DataFrame, missing_is_full: bool = False) -> DataFrame:
+    """Outage MW and unit counts per country, area and plant type, as intervals in which they
+    are constant: prefix sums over interval bounds, no hourly rows.
 
-    Accepts the interval panel. Hours are generated inside the stage that pre-aggregates
-    them, so only group x hour partial sums are shuffled. Units are counted as a sum of
-    flags; only a unit that appears as several series of one group needs the exact
-    per-unit reduction first.
+    Units are counted as a sum of flags; only a unit that appears as several series of one group
+    is summed up by itself first.
     """
     keys = ["country", "area", "plant_type_code"]
     parts = outage_parts(segments, missing_is_full)
@@ -415,22 +431,22 @@ def outage_sums(segments: DataFrame, missing_is_full: bool = False) -> DataFrame
     rows = rows.select(*keys, UNIT, unit.alias("u"), "seg_start", "seg_end", *[v.alias(k) for k, v in parts.items()])
     multi = rows.groupBy(*keys, "u").agg(F.min(UNIT).alias("x"), F.max(UNIT).alias("y")).filter("x <> y").select(
         *keys, "u", F.lit(True).alias("multi"))
-    rows = to_hours(rows.join(multi, [*keys, "u"], "left"))
+    rows = rows.join(multi, [*keys, "u"], "left")
     names = ["outage", *SUM_PARTS]
-    single = rows.filter(F.col("multi").isNull()).select(
-        *keys, "timestamp", "installed", *names, F.lit(1).alias("n_total"),
-        *[(F.col(n) > 0).cast("long").alias(f"n_{n}") for n in names])
-    shared = rows.filter(F.col("multi").isNotNull()).groupBy(*keys, "timestamp", "u").agg(
-        F.sum("installed").alias("installed"), *[F.sum(n).alias(n) for n in names], F.lit(1).alias("n_total"),
-        *[F.max((F.col(n) > 0).cast("long")).alias(f"n_{n}") for n in names]).drop("u")
+    both = [*keys, "seg_start", "seg_end", "installed", *names]
+    shared = interval_sums(rows.filter(F.col("multi").isNotNull()), [*keys, "u"], {n: F.col(n) for n in ("installed", *names)})
+    units = rows.filter(F.col("multi").isNull()).select(*both).unionByName(shared.select(*both))
+    flags = {f"n_{n}": (F.col(n) > 0).cast("long") for n in names}
+    sums = interval_sums(units, keys, {**{n: F.col(n) for n in ("installed", *names)}, **flags}, count="n_total")
     mw = lambda n: "sum_outage_mw" if n == "outage" else f"sum_outage_mw_{n}"
-    return single.unionByName(shared).groupBy(*keys, "timestamp").agg(
-        F.sum("installed").alias("sum_installed_capacity_mw"),
-        F.sum("n_total").cast("long").alias("count_units_total"),
-        *[F.sum(n).alias(mw(n)) for n in names],
-        *[F.sum(f"n_{n}").alias(f"count_units_{n}") for n in names],
-    )
+    return sums.select(*keys, "seg_start", "seg_end", F.col("installed").alias("sum_installed_capacity_mw"), F.col("n_total").alias("count_units_total"),
+                       *[F.col(n).alias(mw(n)) for n in names], *[F.col(f"n_{n}").alias(f"count_units_{n}") for n in names])
+
+
+def outage_sums(segments: DataFrame, missing_is_full: bool = False) -> DataFrame:
+    """``outage_sum_intervals`` with one row per hour: group-hours only, whatever the units."""
+    return to_hours(outage_sum_intervals(segments, missing_is_full))
 
 
 __all__ = ["PanelOptions", "attribute", "build_panel", "build_segments", "capacity_segments", "clusters",
-           "outage_parts", "outage_sums", "state", "n_hours"]
+           "outage_parts", "outage_sum_intervals", "outage_sums", "state", "n_hours"]

@@ -12,11 +12,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def best_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row per key: the largest by ``order``, ties by the remaining columns.
+    """One row per key: the largest by ``order``, ties by the remaining columns (maps, which
+    have no order, by their JSON form).
 
-    NULL ranks lowest. Negate numbers (or use ``last_first``) for ascending preference.
+    NULL ranks lowest. Negate numbers (or use ``last_first``) for ascending preference. The
+    comparison of two rows ends at the first column in which they differ.
     """
-    rest = [F.col(f"`{c}`") for c in df.columns if c not in keys]
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    rest = [F.to_json(F.col(f"`{c}`")) if "map<" in kinds[c] else F.col(f"`{c}`") for c in df.columns if c not in keys]
     w = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(*[c.desc_nulls_last() for c in (*order, *rest)])
     return df.withColumn("_nth", F.row_number().over(w)).filter(F.col("_nth") == 1).drop("_nth")
 

@@ -1,15 +1,15 @@
 """Elementary segments: the intervals between a unit's distinct window bounds.
 
 Every input of capacity, state and attribution is constant inside a segment, so one row
-stands for many hours; hours are generated only at output. Work is keyed by
-(unit, month): each report is cut into the months it touches, month starts are extra
-bounds, and no task ever needs a unit's whole history of reports. A unit-month has at
-most 745 bounds.
+stands for many hours; hours are generated only at output. The bounds of a unit-month are a
+set of at most 745 whole hours, built map-side; each report then meets the bounds of the months
+it touches and gives one narrow row per segment that it covers. Those rows are dealt by
+(unit, segment), so a busy unit spreads over as many tasks as it has segments.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.times import one_hour, period_unit, ts, whole_hours
 from .bridging import UNIT
@@ -17,66 +17,67 @@ from .bridging import UNIT
 CHUNK = "chunk"
 
 
-# Units with more reports than this are cut by day instead of by month, so that one very
-# busy unit is spread over about thirty times as many groups.
-BUSY_UNIT_REPORTS = 200_000
-
-
-def chunk_starts(start, end, fine):
-    """Month starts (day starts for busy units) touched by [start, end)."""
+def chunk_starts(start, end):
+    """Month starts touched by [start, end)."""
     last = end - F.expr("INTERVAL 1 MICROSECOND")
-    by = lambda unit, step: F.sequence(F.date_trunc(unit, start), F.date_trunc(unit, last), F.expr(step))
-    return F.when(fine, by("day", "INTERVAL 1 DAY")).otherwise(by("month", "INTERVAL 1 MONTH"))
+    return F.sequence(F.date_trunc("month", start), F.date_trunc("month", last), F.expr("INTERVAL 1 MONTH"))
 
 
-def cut(df: DataFrame, start: str, end: str, keep: list[str], fine: str = "fine") -> DataFrame:
-    """One row per chunk of [start, end): ``chunk`` and the clipped ``ws``, ``we``."""
-    chunk_end = F.when(F.col(fine), F.col(CHUNK) + F.expr("INTERVAL 1 DAY")).otherwise(
-        F.add_months(CHUNK, 1).cast("timestamp"))
+def cut(df: DataFrame, start: str, end: str, keep: list[str]) -> DataFrame:
+    """One row per month of [start, end): ``chunk`` and the clipped ``ws``, ``we``."""
+    chunk_end = F.add_months(CHUNK, 1).cast("timestamp")
     return (
         df.filter(F.col(end) > F.col(start))
-        .select(*keep, fine, F.col(start).alias("_s"), F.col(end).alias("_e"),
-                F.explode(chunk_starts(F.col(start), F.col(end), F.col(fine))).alias(CHUNK))
+        .select(*keep, F.col(start).alias("_s"), F.col(end).alias("_e"), F.explode(chunk_starts(F.col(start), F.col(end))).alias(CHUNK))
         .withColumn("ws", F.greatest("_s", CHUNK)).withColumn("we", F.least("_e", chunk_end))
         .drop("_s", "_e")
     )
 
 
-def mark_busy(work: DataFrame, limit: int = BUSY_UNIT_REPORTS) -> DataFrame:
-    """Add ``fine``: does the report belong to a unit with very many reports?"""
-    busy = work.groupBy(UNIT).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select(
-        UNIT, F.lit(True).alias("_b"))
-    return work.join(busy, UNIT, "left").withColumn("fine", F.coalesce("_b", F.lit(False))).drop("_b")
+WINDOWS = (("start_out", "end_out"), ("start_derate", "end_derate"))
 
 
-def active_segments(work: DataFrame, start: str, end: str, event: Column) -> DataFrame:
-    """Segments tiling [start, end) per unit, each with the reports that cover it.
+def bounds(work: DataFrame, start: str, end: str) -> DataFrame:
+    """Per unit and month the sorted distinct bounds of its reports' windows and of the month.
 
-    ``event`` is a struct column over ``work``; array ``c`` holds the events whose outage
-    window covers the segment, ``a`` those whose deration window does, both in struct
-    order. The ids of both are output columns, so an array is never larger than the row it
-    produces. ``work`` must carry ``unit_id`` and ``fine``.
+    Bounds are whole hours, so a row holds at most 745 of them however many reports there are.
     """
-    windows = F.array(
-        F.struct(F.lit("c").alias("kind"), F.col("start_out").alias("s"), F.col("end_out").alias("e")),
-        F.struct(F.lit("a").alias("kind"), F.col("start_derate").alias("s"), F.col("end_derate").alias("e")))
-    reports = work.select(UNIT, "fine", event.alias("event"), windows.alias("ws")).select(
-        UNIT, "fine", "event", F.explode("ws").alias("w")).select(UNIT, "fine", "event", "w.*")
-    # one empty piece per unit and chunk keeps segments without any report
-    dense = work.groupBy(UNIT).agg(F.max("fine").alias("fine")).select(
-        UNIT, "fine", F.lit(None).cast(reports.schema["event"].dataType).alias("event"), F.lit("").alias("kind"),
-        ts(start).alias("s"), ts(end).alias("e"))
-    pieces = cut(reports.unionByName(dense), "s", "e", [UNIT, "kind", "event"]).drop("fine")
-    w = Window.partitionBy(UNIT, CHUNK).orderBy("seg_start")
-    segs = (
-        pieces.select(UNIT, CHUNK, F.explode(F.array("ws", "we")).alias("seg_start")).distinct()
-        .withColumn("seg_end", F.lead("seg_start").over(w)).filter(F.col("seg_end").isNotNull())
-    )
-    s, p = segs.alias("s"), pieces.alias("p")
-    covered = s.join(p, (F.col(f"s.{UNIT}") == F.col(f"p.{UNIT}")) & (F.col(f"s.{CHUNK}") == F.col(f"p.{CHUNK}"))
-                     & (F.col("p.ws") <= F.col("s.seg_start")) & (F.col("p.we") >= F.col("s.seg_end")))
-    pick = lambda k: F.sort_array(F.collect_list(F.when(F.col("p.kind") == k, F.col("p.event")))).alias(k)
-    return covered.groupBy(*[F.col(f"s.{c}") for c in (UNIT, CHUNK, "seg_start", "seg_end")]).agg(pick("a"), pick("c"))
+    window = F.explode(F.array(*[F.struct(F.col(s).alias("s"), F.col(e).alias("e")) for s, e in WINDOWS])).alias("w")
+    pieces = cut(work.select(UNIT, window).select(UNIT, "w.*"), "s", "e", [UNIT])
+    months = cut(work.select(UNIT).distinct().select(UNIT, ts(start).alias("s"), ts(end).alias("e")), "s", "e", [UNIT])
+    each = F.explode(F.array("ws", "we")).alias("b")
+    points = pieces.select(UNIT, CHUNK, each).unionByName(months.select(UNIT, CHUNK, each))
+    return points.groupBy(UNIT, CHUNK).agg(F.array_sort(F.collect_set("b")).alias("bounds"))
+
+
+def _between(frame: DataFrame, keep: list[str], first: Column, last: Column) -> DataFrame:
+    """One row per segment between places ``first`` and ``last`` (from 1) of ``bounds``."""
+    at = F.explode(F.when(last > first, F.sequence(first, last - 1))).alias("_i")
+    rows = frame.select(*keep, "bounds", at)
+    return rows.select(*keep, F.get("bounds", F.col("_i") - 1).alias("seg_start"), F.get("bounds", F.col("_i")).alias("seg_end"))
+
+
+def covered(work: DataFrame, start: str, end: str, keep: list[str], marks: DataFrame | None = None) -> DataFrame:
+    """Segments tiling [start, end) per unit with the reports that cover them.
+
+    One row per segment and report, with columns ``keep`` of ``work`` and flags ``in_c`` (its
+    outage window covers the segment) and ``in_a`` (its deration window does), and one row per
+    segment with neither, which keeps segments without any report. ``marks``: ``bounds`` of
+    these reports, where known.
+    """
+    marks = bounds(work, start, end) if marks is None else marks
+    s, e = F.least(*[s for s, _ in WINDOWS]), F.greatest(*[e for _, e in WINDOWS])
+    pieces = cut(work.withColumns({"_s0": s, "_e0": e}), "_s0", "_e0", [UNIT, *keep])
+    met = pieces.join(marks, [UNIT, CHUNK])
+    # an empty window leaves no bounds, so its end of the stretch is found by comparison
+    at = lambda c: F.array_position("bounds", F.col(c)).cast("int")
+    first = F.when(at("ws") > 0, at("ws")).otherwise(F.size(F.filter("bounds", lambda b: b < F.col("ws"))) + 1)
+    last = F.when(at("we") > 0, at("we")).otherwise(F.size(F.filter("bounds", lambda b: b <= F.col("we"))))
+    rows = _between(met, [UNIT, CHUNK, *keep], first, last)
+    holds = lambda s, e: F.coalesce((F.col(s) <= F.col("seg_start")) & (F.col(e) >= F.col("seg_end")), F.lit(False))
+    rows = rows.withColumn("in_c", holds(*WINDOWS[0])).withColumn("in_a", holds(*WINDOWS[1])).filter(F.col("in_c") | F.col("in_a"))
+    none = _between(marks, [UNIT, CHUNK], F.lit(1), F.size("bounds")).withColumns({"in_c": F.lit(False), "in_a": F.lit(False)})
+    return rows.unionByName(none, allowMissingColumns=True)
 
 
 def split_at_period(df: DataFrame, period: str, start: str = "seg_start", end: str = "seg_end") -> DataFrame:

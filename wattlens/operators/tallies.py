@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.maths import floor0, num, nz, ratio
 from ..functions.times import floor_hour, one_hour
-from .rows import best_row, require
+from .rows import require, same_keys
 from .runs import END, START, hours_col, mark_runs
-from .segments import from_hours, to_hours
+from .timeline import cut_by, interval_sums, lowest, runs_of_hours
 
 UNIT_KEYS = ["country", "plant_type_code", "plant_type", "eic_code", "unit_name"]
 FULL = ["POH", "MOH", "FOH", "UOH", "SOH"]
@@ -64,8 +64,9 @@ def dedup_units(panel: DataFrame, area: str = "area", area_order: list[str] | No
 
 
 def dedup_unit_hours(panel: DataFrame) -> DataFrame:
-    """One row per unit-hour: the lowest available capacity."""
-    return best_row(panel, ["eic_code", START], [F.col("avail_capacity").isNotNull(), -F.col("avail_capacity")])
+    """One row per unit and stretch of time: where two series of a unit overlap, the one with
+    the lowest available capacity in every hour. Units with one series pass unchanged."""
+    return lowest(panel, ["eic_code"], "avail_capacity")
 
 
 def clip_intervals(df: DataFrame, start: Column, end: Column) -> DataFrame:
@@ -247,12 +248,10 @@ def exclude_few_clusters(tallies: DataFrame, min_clusters: int) -> tuple[DataFra
 
 
 def _with_generation_flag(tallies: DataFrame, positive: DataFrame) -> DataFrame:
-    """Hourly tallies with ``_gen``. Equi join on (unit, hour): well spread for any unit size."""
-    pos = positive.select(F.trim("eic_code").alias("_e"), floor_hour("timestamp").alias("_t")).filter(
-        (F.col("_e") != "") & F.col("_t").isNotNull()).distinct().withColumn("_gen", F.lit(True))
-    h = to_hours(tallies)
-    h = h.join(pos, (F.trim(F.coalesce("eic_code", F.lit(""))) == F.col("_e")) & (F.col("timestamp") == F.col("_t")), "left")
-    return h.withColumn("_gen", F.coalesce("_gen", F.lit(False))).drop("_e", "_t")
+    """Tallies cut where a unit's runs of generating hours begin or end, with ``_gen``."""
+    hours = positive.select(F.trim("eic_code").alias("e"), floor_hour("timestamp").alias("timestamp")).filter((F.col("e") != "") & F.col("timestamp").isNotNull()).distinct()
+    cut = cut_by(tallies, runs_of_hours(hours, ["e"], []), {"e": F.trim(F.coalesce("eic_code", F.lit("")))}, [])
+    return cut.withColumn("_gen", F.col("_run").isNotNull()).drop("_run")
 
 
 def service_hours(tallies: DataFrame, positive: DataFrame, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -261,11 +260,11 @@ def service_hours(tallies: DataFrame, positive: DataFrame, keys: list[str] | Non
     h = _with_generation_flag(tallies, positive)
     free = F.col("is_active") & ((nz("POH") + nz("MOH") + nz("FOH")) <= 0)
     h = h.withColumn("_free", free).withColumn("GSH", (F.col("_free") & F.col("_gen")).cast("int"))
-    report = h.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("panel_rows"), F.sum(F.col("is_active").cast("long")).alias("active_hours"),
-        F.sum(F.col("_free").cast("long")).alias("available_hours"), F.sum(F.col("GSH").cast("long")).alias("service_hours"))
+    n = lambda c: F.sum(F.when(c, hours_col()).otherwise(0))
+    report = h.groupBy(*keys).agg(F.sum(hours_col()).alias("panel_rows"), n(F.col("is_active")).alias("active_hours"), n(F.col("_free")).alias("available_hours"),
+                                  F.sum(F.coalesce("GSH", F.lit(0)) * hours_col()).alias("service_hours"))
     report = report.withColumn("reserve_shutdown_hours", F.greatest(F.col("available_hours") - F.col("service_hours"), F.lit(0)))
-    return from_hours(h.drop("_free", "_gen")), report
+    return h.drop("_free", "_gen"), report
 
 
 def economic_shutdown(tallies: DataFrame, positive: DataFrame, min_hours: int, keys: list[str] | None = None
@@ -274,7 +273,7 @@ def economic_shutdown(tallies: DataFrame, positive: DataFrame, min_hours: int, k
     if min_hours <= 0:
         raise ValueError("min_hours must be positive")
     keys = keys or [k for k in UNIT_KEYS if k in tallies.columns]
-    h = from_hours(_with_generation_flag(tallies, positive))
+    h = _with_generation_flag(tallies, positive)
     outage = nz("derate_MW") > 0
     for c in [*FULL, *PARTIAL]:
         outage = outage | (nz(c) > 0)
@@ -284,27 +283,31 @@ def economic_shutdown(tallies: DataFrame, positive: DataFrame, min_hours: int, k
     d = d.withColumn("economic_shutdown", F.col("_c") & (F.col("_n") >= min_hours))
     report = d.filter("economic_shutdown").groupBy(*keys, "run_id").agg(
         F.min(START).alias("start"), F.max(END).alias("end_excl"), F.sum(hours_col()).alias("duration_h"),
-        F.count(F.lit(1)).alias("n_rows")).drop("run_id").withColumn("economic_shutdown_min_hours", F.lit(min_hours))
+        F.sum(hours_col()).alias("n_rows")).drop("run_id").withColumn("economic_shutdown_min_hours", F.lit(min_hours))
     out = d.withColumn("RSH", F.col("economic_shutdown").cast("int")).drop("_c", "_n", "_gen", "run_id")
     return out, report
 
 
 def input_qa(panel: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Per unit counters of an hourly panel: duplicates, gaps, missing and odd capacities."""
+    """Per unit counters of the panel's hours: duplicates, gaps, missing and odd capacities.
+
+    Works on intervals: rows and flags weighted by hours, and the distinct hours as the time
+    that at least one interval covers. Rows without bounds count as one invalid hour.
+    """
     keys = keys or ["country", "plant_type_code", "eic_code", "unit_name"]
     i, a = num("installed_capacity"), num("avail_capacity")
-    flag = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
-    # rows per unit-hour first: combines map-side and makes the distinct count a plain sum
-    h = panel.groupBy(*keys, "timestamp").agg(
-        F.count(F.lit(1)).alias("n"), flag(i.isNull()).alias("mi"), flag(a.isNull()).alias("ma"),
-        flag(i < 0).alias("ni"), flag(a < 0).alias("na"), flag(a > i).alias("gt"))
-    u = h.groupBy(*keys).agg(
-        F.sum("n").alias("n_rows"), F.min("timestamp").alias("timestamp_start"), F.max("timestamp").alias("timestamp_end"),
-        F.count("timestamp").alias("n_unique_timestamps"),
-        F.coalesce(F.sum(F.when(F.col("timestamp").isNull(), F.col("n"))), F.lit(0)).alias("invalid_timestamp_rows"),
-        F.sum("mi").alias("missing_installed_capacity_hours"), F.sum("ma").alias("missing_avail_capacity_hours"),
-        F.sum("ni").alias("negative_installed_capacity_hours"), F.sum("na").alias("negative_avail_capacity_hours"),
-        F.sum("gt").alias("avail_gt_installed_hours"))
+    valid = F.col(START).isNotNull() & F.col(END).isNotNull()
+    h = F.when(valid, hours_col()).otherwise(1)
+    flag = lambda c: F.sum(F.when(F.coalesce(c, F.lit(False)), h).otherwise(0))
+    rows = panel.groupBy(*keys).agg(
+        F.coalesce(F.sum(h), F.lit(0)).alias("n_rows"), F.min(F.when(valid, F.col(START))).alias("timestamp_start"),
+        (F.max(F.when(valid, F.col(END))) - one_hour()).alias("timestamp_end"), F.count_if(~valid).alias("invalid_timestamp_rows"),
+        flag(i.isNull()).alias("missing_installed_capacity_hours"), flag(a.isNull()).alias("missing_avail_capacity_hours"),
+        flag(i < 0).alias("negative_installed_capacity_hours"), flag(a < 0).alias("negative_avail_capacity_hours"),
+        flag(a > i).alias("avail_gt_installed_hours"))
+    spans = interval_sums(panel.filter(valid), keys, {}).groupBy(*keys).agg(F.sum(hours_col()).alias("n_unique_timestamps"))
+    u = rows.alias("r").join(spans.alias("s"), same_keys("r", "s", keys), "left").select(
+        *[F.col(f"r.`{c}`") for c in rows.columns], F.coalesce("n_unique_timestamps", F.lit(0)).cast("long").alias("n_unique_timestamps"))
     span = F.floor((F.unix_seconds("timestamp_end") - F.unix_seconds("timestamp_start")) / 3600) + 1
     return (
         u.withColumn("expected_hourly_timestamps", span)

@@ -13,6 +13,7 @@ from .overlap import match_hours, overlap_join
 from .rows import best_row
 from .runs import END, START, hours_col, mark_runs
 from .segments import to_hours
+from .timeline import interval_sums
 
 GROUP = ["country", "plant_type"]
 
@@ -189,13 +190,15 @@ def _factors(d: DataFrame) -> DataFrame:
     )
 
 
+def availability_intervals(panel: DataFrame) -> DataFrame:
+    """Availability sums per country and type, as intervals in which they are constant."""
+    sums = {"installed_mw": "cmp_installed", "available_mw": "cmp_available", "report_installed_mw": "installed_capacity", "report_available_mw": "avail_capacity"}
+    return interval_sums(panel, GROUP, {k: F.col(c) for k, c in sums.items()}, nullable=tuple(sums), count="unit_hours")
+
+
 def hourly_availability(panel: DataFrame) -> DataFrame:
-    """Availability sums per country, type and hour; hours are made inside the aggregating stage."""
-    d = to_hours(panel.select(*GROUP, "eic_code", START, END, "cmp_installed", "cmp_available", "installed_capacity", "avail_capacity"))
-    return d.groupBy(*GROUP, "timestamp").agg(
-        F.sum("cmp_installed").alias("installed_mw"), F.sum("cmp_available").alias("available_mw"),
-        F.sum("installed_capacity").alias("report_installed_mw"), F.sum("avail_capacity").alias("report_available_mw"),
-        F.count(F.lit(1)).alias("unit_hours"))
+    """Availability sums per country, type and hour: group-hours, made from prefix sums."""
+    return to_hours(availability_intervals(panel))
 
 
 def availability_vs_generation(panel: DataFrame, generation: DataFrame, tol_mw: float = 0.0, tol_rel: float = 0.0,

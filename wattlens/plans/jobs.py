@@ -62,12 +62,11 @@ def statistics(panel: DataFrame, opts: StatisticsOptions = StatisticsOptions(),
         bounds = gen.generation_bounds(pos)
         if opts.max_low_generation_hours is not None:
             panel, out["low_generation_units"] = tl.exclude_low_generation(panel, bounds, opts.max_low_generation_hours)
-    out["input_qa"] = tl.input_qa(to_hours(panel))
+    out["input_qa"] = tl.input_qa(panel)
     out["input_qa_summary"] = tl.input_qa_summary(out["input_qa"])
     if corrections is not None:
-        hours = to_hours(panel)
-        out["correction_report"] = inverse.correction_report(hours, corrections)
-        panel = from_hours(inverse.apply_corrections(hours, corrections))
+        out["correction_report"] = inverse.correction_report(panel, corrections)
+        panel = inverse.apply_corrections(panel, corrections)
     t = tl.tally(panel)
     if opts.counting_window != "full":
         windows = tl.counting_windows(t, opts.counting_window, bounds)
