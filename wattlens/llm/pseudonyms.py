@@ -267,16 +267,40 @@ PATTERN = re.compile(r"""
 HINT = re.compile(r"[0-9@=]|AKIA|password")
 
 
-def _cuts(m: re.Match, end: int) -> bool:
+#: What a number in groups may consist of; values that could cut each other lie in one such run.
+RUN = re.compile(r"[0-9A-Z .()+-]*")
+
+
+class _Ends:
+    """Where the value that begins at a place of one text ends (0: none begins there).
+
+    Whether a value stands depends on those behind it, so a run is settled once from right to
+    left: linear in its length, whatever the number of groups, and without recursion."""
+
+    def __init__(self, text: str):
+        self.text, self.known = text, {}
+
+    def __getitem__(self, at: int) -> int:
+        if at not in self.known:
+            places = [at]
+            for q in range(at + 1, RUN.match(self.text, at).end() + 1):
+                if self.text[q - 1] in " .-":
+                    if q in self.known:
+                        break
+                    places.append(q)
+            for q in reversed(places):
+                found = _value(PATTERN.match(self.text, q), b"", self)
+                self.known[q] = q + len(found[0]) if found else 0
+        return self.known[at]
+
+
+def _cuts(m: re.Match, end: int, ends: _Ends) -> bool:
     """Whether the first ``end`` characters of a match stop inside another value."""
     said, at = m[0], m.start()
-    for i in range(1, end):
-        if said[i - 1] in " .-" and (other := _value(PATTERN.match(m.string, at + i), b"")) and i + len(other[0]) > end:
-            return True
-    return False
+    return any(said[i - 1] in " .-" and ends[at + i] > at + end for i in range(1, end))
 
 
-def _beginnings(m: re.Match) -> Iterator[str]:
+def _beginnings(m: re.Match, ends: _Ends) -> Iterator[str]:
     """What of a match may be the value, best first: an IBAN of its country's length, the whole
     match, then its beginnings that stop before a separator, longest first; none that would
     cut the value behind it."""
@@ -287,17 +311,17 @@ def _beginnings(m: re.Match) -> Iterator[str]:
         end = places[length - 1] if length <= len(places) else len(said)
         if end < len(said) and said[end] == " ":
             yield said[:end]
-    if kind not in ("iban", "phone", "card") or not _cuts(m, len(said)):
+    if kind not in ("iban", "phone", "card") or not _cuts(m, len(said), ends):
         yield said
     if kind in ("phone", "card") or kind == "iban" and not length:
         for i in range(len(said) - 1, 0, -1):
-            if said[i] in " .-" and (shorter := PATTERN.fullmatch(m.string, m.start(), m.start() + i)) and shorter.lastgroup == kind and not _cuts(m, i):
+            if said[i] in " .-" and (shorter := PATTERN.fullmatch(m.string, m.start(), m.start() + i)) and shorter.lastgroup == kind and not _cuts(m, i, ends):
                 yield said[:i]
 
 
-def _value(m: re.Match | None, key: bytes, undo: bool = False) -> tuple[str, str] | None:
+def _value(m: re.Match | None, key: bytes, ends: _Ends, undo: bool = False) -> tuple[str, str] | None:
     """The value at a match and its pseudonym; None if no beginning of the match holds its check."""
-    for said in _beginnings(m) if m else ():
+    for said in _beginnings(m, ends) if m else ():
         if (new := KINDS[m.lastgroup](said, key, undo)) is not None:
             return said, new
     return None
@@ -315,9 +339,9 @@ def pseudonymise_text(text: str, key: bytes, undo: bool = False) -> tuple[str, l
         return text, kinds
     out, done, at = [], 0, 0
     rejected: list[tuple[int, int]] = []  # matches without a value that may reach into the next one
-
+    ends = _Ends(text)
     while m := PATTERN.search(text, at):
-        found = _value(m, key, undo)
+        found = _value(m, key, ends, undo)
         if found is None:
             rejected.append(m.span())
             at = m.start() + 1
@@ -330,9 +354,10 @@ def pseudonymise_text(text: str, key: bytes, undo: bool = False) -> tuple[str, l
 
             def told(new: str) -> bool:
                 around = text[low:start] + new + text[end:end + 64]
+                near = _Ends(around)
                 again = PATTERN.match(around, start - low)
-                own = _value(again, key)
-                return own is not None and again.lastgroup == kind and own[0] == new and not any(_value(PATTERN.match(around, i - low), key) for i, _ in rejected)
+                own = _value(again, key, near)
+                return own is not None and again.lastgroup == kind and own[0] == new and not any(_value(PATTERN.match(around, i - low), key, near) for i, _ in rejected)
 
             while told(said) and not told(new):
                 new = KINDS[kind](new, key, undo)
