@@ -166,6 +166,6 @@ def test_long_tables_of_digits_take_linear_time():
         parts = ["1950", "1984", "4111 1111 1111 1111", "ES9121000418450200051332", "+49 30 1234 5678", "12"]
         texts = [" ".join(str(1950 + i % 60) for i in range(n)), "-".join(["1234"] * n), " ".join(parts[i * 7 % 6] for i in range(n))]
         at = time.process_time()
-        assert all(len(pseudonyms.pseudonymise_text(t, b"k")[0]) == len(t) for t in texts)
+        assert all(len(ps.pseudonymise_text(t, b"k")[0]) == len(t) for t in texts)
         took.append(time.process_time() - at)
     assert took[1] < 30 and took[1] < 8 * took[0] + 1
