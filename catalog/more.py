@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wattlens.functions import text
-from wattlens.operators import capacity as cap, compare, diagnose as dg, inverse, registers as rg, runs, tallies as tl, validation as val
+from wattlens.operators import capacity as cap, compare, diagnose as dg, inverse, references, registers as rg, runs, tallies as tl, validation as val
 from wattlens.plans import fixtures as fx
 from wattlens.schema import PLANT_MAP, conform
 from wattlens.session import materialise
 
 from .oracles import chain
-from .queries import _CMP, _TOL, _recommended, query, rounded
+from .queries import _CMP, _MASK, _RECS, _SEG, _TOL, _recommended, query, rounded
 
 JRC_SQL = """
 SELECT concat('C', cast(c_custkey AS varchar(20))) AS eic_g, concat('P', cast(c_custkey % 200 AS varchar(20))) AS eic_p, c_name AS name_g,
@@ -163,14 +163,44 @@ def violations_by_component(spark, d):
     return dg.summarize(_diag(spark, d)[2], ["outage_type_detail", "outage_component"]).select("outage_type_detail", "outage_component", "violation_hours")
 
 
-@query("segment_patterns")
+# hours with a restriction, their segment (touching hours with the same report ids) and their place in it
+_PLACED = """, rh AS (SELECT p.*, d.oid FROM panel p LEFT JOIN domids d ON p.unit_eic = d.unit_eic AND p.h = d.h WHERE p.av < p.inst),
+rn AS (SELECT *, CASE WHEN lag(h) OVER w = h - interval '1' hour AND lag(oid) OVER w IS NOT DISTINCT FROM oid THEN 0 ELSE 1 END AS nw FROM rh WINDOW w AS (PARTITION BY unit_eic ORDER BY h)),
+rs AS (SELECT *, CAST(sum(nw) OVER (PARTITION BY unit_eic ORDER BY h) AS BIGINT) AS sq FROM rn),
+sg AS (SELECT unit_eic, sq, min(h) AS g0, max(h) AS g1, count(*) AS gd FROM rs GROUP BY 1, 2),
+vp AS (SELECT v.*, concat(v.country, '|', v.plant_type_code, '|', v.unit_eic, '|', rs.sq) AS segment_uid, gd,
+  CASE WHEN gd = 1 THEN 'single_hour' WHEN v.h = g0 THEN 'start_hour' WHEN v.h = g1 THEN 'end_hour' WHEN date_diff('hour', g0, v.h) / (gd - 1.0) < 0.25 THEN 'early'
+       WHEN date_diff('hour', g0, v.h) / (gd - 1.0) > 0.75 THEN 'late' ELSE 'middle' END AS pos
+  FROM viol v JOIN rs ON v.unit_eic = rs.unit_eic AND v.h = rs.h JOIN sg ON sg.unit_eic = rs.unit_eic AND sg.sq = rs.sq)"""
+_POSITIONS = sorted(dg.POSITIONS)
+
+
+def _top(column: str, names: list[str]) -> str:
+    """First of ``names`` with the highest count."""
+    n = {x: f"count(*) FILTER (WHERE {column} = '{x}')" for x in names}
+    return "CASE " + " ".join(f"WHEN {n[x]} = greatest({', '.join(n.values())}) THEN '{x}'" for x in names) + " END"
+
+
+@query("segment_patterns", chain("panel", "gen", "domids") + _CMP + _PLACED + f""", q AS (SELECT segment_uid, count(*) AS violation_hours, any_value(gd) AS segment_duration_h, date_diff('hour', min(h), max(h)) + 1 AS span,
+  {_top('pos', _POSITIONS)} AS dominant_segment_position, {_top('sev', sorted(dg.SEVERITIES))} AS dominant_outage_severity,
+  count(*) FILTER (WHERE pos = 'single_hour') AS n1, count(*) FILTER (WHERE pos IN ('start_hour', 'early')) AS n2, count(*) FILTER (WHERE pos IN ('end_hour', 'late')) AS n3, count(*) FILTER (WHERE pos = 'middle') AS n4
+  FROM (SELECT *, {_SEV} AS sev FROM vp) GROUP BY 1)
+SELECT segment_uid, violation_hours, segment_duration_h, dominant_segment_position, dominant_outage_severity, CASE WHEN n1 = violation_hours THEN 'single_hour_segment'
+  WHEN violation_hours / segment_duration_h >= 0.75 OR span / segment_duration_h >= 0.75 THEN 'spread_across_segment' WHEN n2 / violation_hours >= 0.6 THEN 'beginning_cluster'
+  WHEN n3 / violation_hours >= 0.6 THEN 'end_cluster' WHEN n4 / violation_hours >= 0.6 THEN 'middle_cluster' ELSE 'mixed' END AS violation_pattern FROM q""")
 def segment_patterns(spark, d):
     return dg.segment_summary(_diag(spark, d)[2]).select("segment_uid", "violation_hours", "segment_duration_h", "dominant_segment_position", "dominant_outage_severity", "violation_pattern")
 
 
-@query("violations_by_position")
+@query("violations_by_position", chain("panel", "gen", "domids") + _CMP + _PLACED + """SELECT pos AS segment_position,
+  CASE WHEN gd <= 1 THEN '1h' WHEN gd <= 6 THEN '2-6h' WHEN gd <= 24 THEN '7-24h' WHEN gd <= 168 THEN '1-7d' WHEN gd <= 672 THEN '1-4w' ELSE '>4w' END AS segment_duration_bin,
+  count(*) AS violation_hours, count(DISTINCT unit_eic) AS n_units, count(DISTINCT segment_uid) AS n_segments, min(h) AS first_violation_hour, max(h) AS last_violation_hour,
+  round(sum(excess) + 1e-9, 6) AS total_excess_generation_mwh, round(sum(excess - tol) + 1e-9, 6) AS total_excess_above_tolerance_mwh, round(avg(excess) + 1e-9, 6) AS mean_excess_generation_mw,
+  round(median(excess) + 1e-9, 6) AS median_excess_generation_mw, round(max(excess) + 1e-9, 6) AS max_excess_generation_mw, round(avg(100.0 * excess / inst) + 1e-9, 6) AS mean_excess_generation_factor_pct,
+  round(max(100.0 * excess / inst) + 1e-9, 6) AS max_excess_generation_factor_pct, round(avg(100.0 * used / inst) + 1e-9, 6) AS mean_generation_factor_pct, round(avg(100.0 * av / inst) + 1e-9, 6) AS mean_availability_factor_pct
+  FROM vp GROUP BY 1, 2""")
 def violations_by_position(spark, d):
-    return dg.summarize(_diag(spark, d)[2], ["segment_position", "segment_duration_bin"])
+    return rounded(dg.summarize(_diag(spark, d)[2], ["segment_position", "segment_duration_bin"]))
 
 
 @query("diagnosis_units", chain("panel", "gen") + _CMP + """, a AS (SELECT unit_eic, count(*) AS n, median(av) AS m, sum(inst - av) AS u FROM panel WHERE av < inst GROUP BY 1),
@@ -266,6 +296,25 @@ def category_counts(spark, d):
     return rounded(compare.counts_by(spark.table("orders").selectExpr("o_orderstatus AS status", "o_orderpriority AS priority"), "status", "priority"))
 
 
+_KPIS = """SELECT n_name AS country, l_returnflag AS plant_type, CASE WHEN l_linestatus = 'F' THEN 'published' ELSE 'own results' END AS source, avg(l_discount) AS d, avg(l_tax) AS t, avg(l_quantity) AS q
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2, 3"""
+
+
+@query("reference_fallback", f"""WITH k AS ({_KPIS}), v AS (SELECT country, plant_type, source, unnest(['uFOR', 'uPOR', 'uTOF', 'wRR_so_h']) AS metric,
+  unnest(CASE WHEN source = 'published' THEN [100 * d, q / 365 * 100, 100 * d + q / 365 * 100, 100 * d] ELSE [100 * d, 100 * t, 100 * (d + t), q / 24] END) AS value FROM k),
+b AS (SELECT country, plant_type FROM k GROUP BY 1, 2 HAVING count(DISTINCT source) = 2)
+SELECT v.country, v.plant_type, source, metric, round(value + 1e-9, 6) AS value FROM v JOIN b USING (country, plant_type)""")
+def reference_fallback(spark, d):
+    """The published side has no uFOR but a rate in percent, no planned rate but days, and no total,
+    which is then the sum of both; our own side has fractions and hours."""
+    k, pub = fx.view(spark, d, _KPIS), F.col("source") == "published"
+    wide = k.select("country", "plant_type", "source", F.when(~pub, F.col("d")).alias("uFOR"), F.when(pub, 100 * F.col("d")).alias("Forced outage-rate"),
+                    F.when(~pub, F.col("t")).alias("uPOR"), F.when(pub, F.col("q")).alias("planned outage days"), F.when(~pub, F.col("d") + F.col("t")).alias("uTOF"),
+                    F.when(~pub, F.col("q")).alias("wRR_so_h"))
+    rows = references.metric_rows(wide, "plant_type", "published", "own results", ["uFOR", "uPOR", "uTOF", "wRR_so_h"])
+    return rounded(rows.select("country", "plant_type", "source", "metric", "value"))
+
+
 @query("outage_days", """SELECT n_name AS country, cast(year(o_orderdate) AS varchar(4)) AS period_key, round(avg(o_totalprice / 1000000.0) * CASE WHEN year(o_orderdate) % 4 = 0 AND (year(o_orderdate) % 100 <> 0 OR year(o_orderdate) % 400 = 0) THEN 366 ELSE 365 END + 1e-9, 6) AS "FOD"
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, year(o_orderdate)""")
 def outage_days(spark, d):
@@ -276,13 +325,15 @@ def outage_days(spark, d):
 
 # --- corrections fed back ---------------------------------------------------------------
 
-@query("corrected_unit_tallies")
+@query("corrected_unit_tallies", chain("panel", "gen", "rep", "domids", "tal") + _SEG + _RECS + _MASK + """SELECT tal.unit_eic AS eic_code, """ + ", ".join(
+    [f"CAST(sum(CASE WHEN mk.h IS NULL THEN {c} ELSE 0 END) AS BIGINT) AS {c}" for c in tl.FULL] + [f"round(sum(CASE WHEN mk.h IS NULL THEN {c} ELSE 0 END) + 1e-7, 4) AS {c}" for c in tl.PARTIAL])
+    + ", count(mk.h) AS corrected_hours FROM tal LEFT JOIN mk ON tal.unit_eic = mk.unit_eic AND tal.h = mk.h GROUP BY 1")
 def corrected_unit_tallies(spark, d):
     r, h = _recommended(spark, d)
     mask = materialise(inverse.correction_mask(h, r))
     t = tl.tally(inverse.apply_corrections(fx.segments(spark, d), mask))
     hh = runs.hours_col()
-    return t.groupBy("eic_code").agg(*[F.sum(F.col(c) * hh).alias(c) for c in (*tl.FULL, *tl.PARTIAL)], F.sum(F.when(F.col("inverse_correction_applied"), hh).otherwise(0)).alias("corrected_hours"))
+    return rounded(t.groupBy("eic_code").agg(*[F.sum(F.col(c) * hh).alias(c) for c in (*tl.FULL, *tl.PARTIAL)], F.sum(F.when(F.col("inverse_correction_applied"), hh).otherwise(0)).alias("corrected_hours")))
 
 
 _ = text

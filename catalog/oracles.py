@@ -107,6 +107,17 @@ CTES = {
                     WHEN a.total > 1e-9 THEN 'active_derate_no_baseline' ELSE '' END AS cr,
                CASE WHEN a.bn > 0 AND a.bm * 2 >= a.bn THEN 1 ELSE 0 END AS base_maint, CASE WHEN a.fn > 0 AND a.fm * 2 >= a.fn THEN 1 ELSE 0 END AS forced_maint
         FROM amount a JOIN low ON a.unit_eic = low.unit_eic AND a.h = low.h LEFT JOIN plan_now p ON a.unit_eic = p.unit_eic AND a.h = p.h""",
+    # ids of the reports that carry an hour's label, in reading order
+    "domset": """SELECT unit_eic, h, mrid, start_out, doc, start_derate, k FROM cur WHERE k IN ('F', 'B')
+        UNION ALL SELECT unit_eic, h, mrid, start_out, doc, start_derate, 'P' FROM (
+               SELECT *, min(avail_capacity) OVER (PARTITION BY unit_eic, h) mn FROM (
+               SELECT *, max(doc) OVER (PARTITION BY unit_eic, h) md FROM down WHERE outage_type = 'Planned') WHERE doc = md) WHERE avail_capacity = mn
+        UNION ALL SELECT unit_eic, h, mrid, start_out, doc, start_derate, 'L' FROM (
+               SELECT *, min(avail_capacity) OVER (PARTITION BY unit_eic, h) mn FROM down) WHERE avail_capacity = mn""",
+    "domids": """SELECT unit_eic, h, string_agg(mrid, '|' ORDER BY start_out, doc, mrid, start_derate) AS oid FROM (
+               SELECT d.* FROM domset d JOIN amount a ON d.unit_eic = a.unit_eic AND d.h = a.h
+                    AND d.k = CASE WHEN a.inc > 1e-9 THEN 'F' WHEN a.sched > 1e-9 THEN CASE WHEN a.bn > 0 THEN 'B' ELSE 'P' END WHEN a.total > 1e-9 THEN 'L' END
+               QUALIFY row_number() OVER (PARTITION BY d.unit_eic, d.h, d.mrid ORDER BY d.start_out, d.doc, d.start_derate) = 1) GROUP BY 1, 2""",
     "panel": """SELECT u.country, u.area, u.plant_type_code, u.asset_type, u.unit_name, hrs.unit_eic, hrs.h, hrs.inst, hrs.av, hrs.st, lab.ot, lab.rs,
                coalesce(lab.cr, '') AS cr, coalesce(lab.inc, 0) AS inc, coalesce(lab.sched, 0) AS sched,
                CASE WHEN lab.sched > 1e-9 AND base_maint = 0 THEN lab.sched ELSE 0 END AS po, CASE WHEN lab.sched > 1e-9 AND base_maint = 1 THEN lab.sched ELSE 0 END AS pm,
@@ -129,7 +140,7 @@ DEPS = {
     "ctx": ["work"], "av": ["act"], "inst_h": ["ctx"], "grid": ["work"], "filled": ["grid", "inst_h", "av"], "hrs": ["filled"],
     "links": ["work"], "down": ["act", "hrs", "links"], "thr": ["down"], "kind": ["thr"], "newest": ["kind"], "cur": ["newest"],
     "side": ["cur"], "low": ["down"], "plan_now": ["down"], "amount": ["side"], "lab": ["amount", "low", "plan_now"],
-    "panel": ["hrs", "u", "lab"], "t0": ["panel"], "t1": ["t0"], "tal": ["t1"],
+    "domset": ["cur", "down"], "domids": ["domset", "amount"], "panel": ["hrs", "u", "lab"], "t0": ["panel"], "t1": ["t0"], "tal": ["t1"],
 }
 
 

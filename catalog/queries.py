@@ -14,6 +14,7 @@ from wattlens.functions import binning, codes, text
 from wattlens.functions.times import period_key
 from wattlens.operators import bridging, capacity as cap, generation as gen, inverse, kpis, panel as pn, reports as rep, runs, tallies as tl, validation as val
 from wattlens.plans import fixtures as fx
+from wattlens.session import materialise
 
 from .oracles import H, chain
 
@@ -565,9 +566,13 @@ def _raw(spark, d):
 
 
 def _scored(spark, d):
-    s, h = val.violation_segments(_violations(spark, d))
-    c = inverse.score_candidates(s, _raw(spark, d), window_hours=24, **_TOL)
-    return s, h, c
+    """Violation segments, their hours and the ranked candidates; as in the job, each is written once."""
+    key = (spark.sparkContext.applicationId, d, "scored")
+    if key not in fx._built:
+        s, h = val.violation_segments(materialise(_violations(spark, d)))
+        s, h = materialise(s), materialise(h)
+        fx._built[key] = (s, h, materialise(inverse.score_candidates(s, _raw(spark, d), window_hours=24, **_TOL)))
+    return fx._built[key]
 
 
 _SEG = _CMP + f""", z AS (SELECT *, CASE WHEN lag(h) OVER (PARTITION BY unit_eic ORDER BY h) = h - {H} THEN 0 ELSE 1 END AS nw FROM viol),
@@ -607,47 +612,65 @@ _ACTION = """CASE WHEN resid <= 1e-9 AND syn = 1 THEN 'remove_or_ignore_current_
   WHEN resid <= 1e-9 THEN 'replace_with_candidate_raw_report' ELSE 'unresolved_by_raw_candidates' END"""
 
 
-_BEST = f""", best AS (SELECT segment_id, unit_eic, s0, s1, mrid, resid, CASE WHEN syn = 1 THEN 'no_outage' WHEN stn IN ('cancelled', 'canceled', 'withdrawn') THEN 'cancelled_or_withdrawn' ELSE 'raw_report' END AS kind,
-  {_ACTION} AS action FROM rk WHERE rnk = 1)"""
+_RECS = f""", best AS (SELECT segment_id, unit_eic, s0, s1, mrid, resid, syn, stn, CASE WHEN syn = 1 THEN 'no_outage' WHEN stn IN ('cancelled', 'canceled', 'withdrawn') THEN 'cancelled_or_withdrawn' ELSE 'raw_report' END AS kind
+  FROM rk WHERE rnk = 1),
+sid AS (SELECT concat(country, '|', asset_type, '|', plant_type_code, '|', y.unit_eic, '|', strftime(min(y.h), '%Y%m%d%H')) AS segment_id, country, plant_type_code, count(*) AS vh, sum(excess - tol) AS mwh,
+  coalesce(string_agg(DISTINCT oid, '|' ORDER BY oid), '') AS ids FROM y LEFT JOIN domids ON y.unit_eic = domids.unit_eic AND y.h = domids.h GROUP BY country, asset_type, plant_type_code, y.unit_eic, s),
+recs AS (SELECT *, CASE WHEN resid <= 1e-9 AND same THEN 'keep_current_report_capacity_issue' ELSE {_ACTION} END AS action FROM (
+  SELECT best.*, ids, vh, mwh, country, plant_type_code, list_contains(string_split(ids, '|'), mrid) AS same FROM best JOIN sid USING (segment_id)))"""
+_RECOMMEND = chain("panel", "gen", "rep", "domids") + _SEG + _RECS
 
 
-@query("recommendation_actions", chain("panel", "gen", "rep") + _SEG + _BEST + """SELECT segment_id, mrid AS candidate_mrid, kind AS candidate_kind,
-  CASE WHEN action IN ('replace_with_candidate_raw_report', 'respect_later_cancellation_or_withdrawal') THEN 'report' ELSE action END AS action_group FROM best""")
+@query("recommendation_actions", _RECOMMEND + "SELECT segment_id, mrid AS candidate_mrid, kind AS candidate_kind, action AS recommended_action FROM recs")
 def recommendation_actions(spark, d):
     r, _ = _recommended(spark, d)
-    a = F.col("recommended_action")
-    report = a.isin("keep_current_report_capacity_issue", "replace_with_candidate_raw_report", "respect_later_cancellation_or_withdrawal")
-    return r.select("segment_id", "candidate_mrid", "candidate_kind", F.when(report, "report").otherwise(a).alias("action_group"))
+    return r.select("segment_id", "candidate_mrid", "candidate_kind", "recommended_action")
 
 
-@query("recommendations")
+@query("recommendations", _RECOMMEND + """SELECT segment_id, ids AS current_outage_ids, mrid AS candidate_mrid, kind AS candidate_kind, same AS candidate_same_as_current_report, action AS recommended_action FROM recs""")
 def recommendations(spark, d):
     r, _ = _recommended(spark, d)
     return r.select("segment_id", "current_outage_ids", "candidate_mrid", "candidate_kind", "candidate_same_as_current_report", "recommended_action")
 
 
-@query("recommendation_breakdown")
+_TYPE = "CASE plant_type_code WHEN 'B04' THEN 'Fossil Gas' WHEN 'B05' THEN 'Fossil Hard coal' WHEN 'B14' THEN 'Nuclear' WHEN 'B12' THEN 'Hydro Water Reservoir' END"
+_COUNTED = ", ".join([f"count(*) FILTER (WHERE action = '{a}') AS n_{a}" for a in (
+    "keep_current_report_capacity_issue", "remove_or_ignore_current_outage", "respect_later_cancellation_or_withdrawal", "replace_with_candidate_raw_report", "unresolved_by_raw_candidates")]
+    + [f"count(*) FILTER (WHERE kind = '{k}') AS candidates_{k}" for k in ("raw_report", "cancelled_or_withdrawn", "no_outage")])
+
+
+@query("recommendation_breakdown", _RECOMMEND + f"""SELECT country, {_TYPE} AS plant_type, count(*) AS segments, CAST(sum(vh) AS BIGINT) AS violation_hours, round(sum(mwh) + 1e-9, 6) AS excess_generation_mwh, {_COUNTED} FROM recs GROUP BY 1, 2""")
 def recommendation_breakdown(spark, d):
-    return inverse.action_breakdown(_recommended(spark, d)[0], ["country", "plant_type"])
+    return rounded(inverse.action_breakdown(_recommended(spark, d)[0], ["country", "plant_type"]))
 
 
-@query("recommendation_distribution")
+@query("recommendation_distribution", _RECOMMEND + "SELECT action AS category, count(*) AS n, round(count(*) / sum(count(*)) OVER () + 1e-9, 6) AS share FROM recs GROUP BY 1")
 def recommendation_distribution(spark, d):
-    return inverse.distribution(_recommended(spark, d)[0], "recommended_action")
+    return rounded(inverse.distribution(_recommended(spark, d)[0], "recommended_action"))
+
+
+_MASK = f""", mk AS (SELECT y.*, recs.segment_id, recs.action, recs.kind, recs.mrid AS cm FROM y JOIN recs ON y.unit_eic = recs.unit_eic AND y.h >= recs.s0 AND y.h < recs.s1
+  WHERE action IN ('remove_or_ignore_current_outage', 'respect_later_cancellation_or_withdrawal', 'unresolved_by_raw_candidates'))"""
 
 
-@query("correction_masks")
+@query("correction_masks", _RECOMMEND + _MASK + f"""SELECT h AS timestamp, country, asset_type, area, {_TYPE} AS plant_type, plant_type_code, unit_eic AS eic_code, unit_name, segment_id AS inverse_segment_id, action AS inverse_recommended_action,
+  kind AS inverse_candidate_kind, cm AS inverse_candidate_mrid, true AS inverse_correction_flag, action = 'unresolved_by_raw_candidates' AS inverse_unreconstructable_flag, true AS set_availability_to_installed_capacity,
+  inst AS corrected_available_capacity_mw, 1.0::DOUBLE AS corrected_availability_factor, round(greatest(raw, 0) + 1e-9, 6) AS actual_generation_mw, round(excess - tol + 1e-9, 6) AS excess_generation_above_tolerance_mw FROM mk""")
 def correction_masks(spark, d):
     r, h = _recommended(spark, d)
-    return inverse.correction_mask(h, r)
+    return rounded(inverse.correction_mask(h, r))
 
 
-@query("latest_mrid_candidates", chain("rep") + """, a AS (SELECT mrid, max(version) AS v FROM rep WHERE status = 'Active' AND old_version = 'false' GROUP BY 1),
-l AS (SELECT rep.mrid, max(created_doc) AS c FROM rep JOIN a ON rep.mrid = a.mrid AND version = v WHERE status = 'Active' AND old_version = 'false' GROUP BY 1)
-SELECT DISTINCT rep.* FROM rep JOIN a ON rep.mrid = a.mrid JOIN l ON rep.mrid = l.mrid
+@query("latest_mrid_candidates", chain("rep") + """, n AS (SELECT mrid FROM rep GROUP BY 1 HAVING count(DISTINCT unit_eic) > 1),
+sr AS (SELECT rep.* REPLACE (CASE WHEN n.mrid IS NULL THEN rep.mrid ELSE concat(rep.mrid, '__', unit_eic) END AS mrid) FROM rep LEFT JOIN n ON rep.mrid = n.mrid),
+a AS (SELECT mrid, max(version) AS v FROM sr WHERE status = 'Active' AND old_version = 'false' GROUP BY 1),
+l AS (SELECT sr.mrid, max(created_doc) AS c FROM sr JOIN a ON sr.mrid = a.mrid AND version = v WHERE status = 'Active' AND old_version = 'false' GROUP BY 1)
+SELECT DISTINCT sr.* FROM sr JOIN a ON sr.mrid = a.mrid JOIN l ON sr.mrid = l.mrid
 WHERE (status = 'Active' AND old_version = 'false' AND version = v) OR (status = 'Cancelled' AND created_doc > c)""")
 def latest_mrid_candidates(spark, d):
-    return inverse.latest_mrid_rows(fx.view(spark, d, fx.REPORT_SQL))
+    """A document on two units is two documents: ids are scoped first, as in the job."""
+    r = fx.view(spark, d, fx.REPORT_SQL)
+    return inverse.latest_mrid_rows(rep.scope_mrids(r.withColumn("unit_name", F.lit(None).cast("string")))).select(*r.columns).distinct()
 
 
 @query("register_name_keys", """SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS key, regexp_replace(upper(p_brand), '[^0-9A-Z]+', '', 'g') AS brand_norm,

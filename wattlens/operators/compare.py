@@ -286,11 +286,6 @@ def colour_limits(df: DataFrame) -> DataFrame:
     return with_quantiles(df.agg(F.count("value").alias("_n")), df, [], F.col("value"), {"p2": 0.02, "p98": 0.98}).drop("_n")
 
 
-def first_available(*cols: str) -> Column:
-    """Reference value by fallback: the first column that has one."""
-    return F.coalesce(*[num(c) for c in cols])
-
-
 def counts_by(df: DataFrame, *keys: str) -> DataFrame:
     """Chart tables in long form: rows and their share within the first key."""
     g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

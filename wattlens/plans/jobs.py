@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from ..operators import (capacity as cap, compare, diagnose as dg, generation as gen, inverse, kpis, registers, tallies as tl,
+from ..operators import (capacity as cap, compare, diagnose as dg, generation as gen, inverse, kpis, references, registers, tallies as tl,
                          validation as val)
 from ..operators.panel import PanelOptions, build_panel, build_segments, outage_sums
 from ..operators.reports import Prepared, prepare_reports, scope_mrids
@@ -186,3 +186,13 @@ def compare_sources(table: DataFrame, group: str, a: str, b: str, top: int) -> d
     pairs = compare.pairwise(both, group, a, b)
     return {"pairs": pairs, "agreement": compare.agreement(pairs), "top": compare.top_deviations(pairs, top),
             "group_medians": compare.group_medians(both, group), "colour_limits": compare.colour_limits(both)}
+
+
+def compare_metrics(table: DataFrame, group: str, reference: str, own: str, top: int, metrics: list[str] | None = None) -> dict[str, DataFrame]:
+    """Tables of our own KPIs against a published source, metric by metric, from one wide table
+    (country, group, source, KPI columns). ``metrics``: by default those of the source."""
+    rows = materialise(references.metric_rows(table, group, reference, own, metrics))
+    out = {"values": rows}
+    for m in metrics or references.default_metrics(reference):
+        out |= {f"{k}_{m}": v for k, v in compare_sources(rows.filter(rows["metric"] == m).drop("metric"), group, reference, own, top).items()}
+    return out
