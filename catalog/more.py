@@ -163,6 +163,18 @@ def violations_by_component(spark, d):
     return dg.summarize(_diag(spark, d)[2], ["outage_type_detail", "outage_component"]).select("outage_type_detail", "outage_component", "violation_hours")
 
 
+@query("overlapping_series", chain("hrs") + """SELECT coalesce(p.unit_eic, q.unit_eic) AS eic_code, date_trunc('month', coalesce(p.h, q.h)) AS month, count(*) AS hours, sum(least(p.av, q.av)) AS available_mwh
+FROM hrs p FULL JOIN (SELECT unit_eic, h + interval '5' hour AS h, inst - av / 2 AS av FROM hrs) q ON p.unit_eic = q.unit_eic AND p.h = q.h GROUP BY 1, 2""")
+def overlapping_series(spark, d):
+    """Two series of every unit whose intervals overlap with other bounds: the lowest value of each hour."""
+    one = fx.segments(spark, d).select("eic_code", "unit_id", "seg_start", "seg_end", "installed_capacity", "avail_capacity")
+    later = lambda c: F.col(c) + F.expr("INTERVAL 5 HOUR")
+    two = one.withColumns({"seg_start": later("seg_start"), "seg_end": later("seg_end"), "avail_capacity": F.col("installed_capacity") - F.col("avail_capacity") / 2})
+    s = tl.dedup_unit_hours(one.unionByName(two))
+    h = runs.hours_col()
+    return s.groupBy("eic_code", F.date_trunc("month", "seg_start").alias("month")).agg(F.sum(h).alias("hours"), F.sum(F.col("avail_capacity") * h).alias("available_mwh"))
+
+
 # hours with a restriction, their segment (touching hours with the same report ids) and their place in it
 _PLACED = """, rh AS (SELECT p.*, d.oid FROM panel p LEFT JOIN domids d ON p.unit_eic = d.unit_eic AND p.h = d.h WHERE p.av < p.inst),
 rn AS (SELECT *, CASE WHEN lag(h) OVER w = h - interval '1' hour AND lag(oid) OVER w IS NOT DISTINCT FROM oid THEN 0 ELSE 1 END AS nw FROM rh WINDOW w AS (PARTITION BY unit_eic ORDER BY h)),

@@ -200,11 +200,14 @@ def multi_interval_counts(df: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("multi_interval_rows"))
 
 
+def _named_type(wanted: str) -> Column:
+    return F.coalesce(text.clean("area_type"), F.lit(wanted.strip()))
+
+
 def allowed_areas(df: DataFrame, wanted: str, y_areas: DataFrame | None = None) -> DataFrame:
     """Rows of known areas: the static list, plus directory codes with the wanted function.
     Rows that name no area type count as of the wanted one."""
-    df = df.withColumn("area_type", F.coalesce(text.clean("area_type"), F.lit(wanted.strip())))
-    df = df.filter(text.area_type_matches("area_type", wanted))
+    df = df.withColumn("area_type", _named_type(wanted)).filter(text.area_type_matches("area_type", wanted))
     static = F.col("area_code").isin(*codes.AREAS.values())
     if y_areas is None:
         return df.filter(static)
@@ -303,7 +306,7 @@ def prepare_reports(
     missing = ~F.coalesce(F.col("installed_capacity") > 0, F.lit(False))
     counters = (
         counted(typed, "rows_before_area_type_filter")
-        .unionByName(counted(typed, "rows_after_area_type_filter", text.area_type_matches("area_type", area_type)))
+        .unionByName(counted(typed, "rows_after_area_type_filter", text.area_type_matches(_named_type(area_type), area_type)))
         .unionByName(counted(before, "installed_capacity_missing_before_lookup", missing))
         .unionByName(counted(time_report, "document_time_order_corrections"))
         .unionByName(counted(bounds_report(chosen, bounds_policy), "ts_bounds_adjusted_rows"))
