@@ -24,11 +24,22 @@ def _own(length: Column, widths: tuple[int, ...]) -> Column:
     return out
 
 
+def _width(widths: tuple[int, ...]) -> Column:
+    """Seconds of the bins of ``_level``."""
+    out = F.lit(widths[-1] * HOUR)
+    for i, w in reversed(list(enumerate(widths[:-1]))):
+        out = F.when(F.col("_level") == i, w * HOUR).otherwise(out)
+    return out
+
+
 def _with_bins(df: DataFrame, s: str, e: str, widths: tuple[int, ...], classes: str) -> DataFrame:
     """Rows per class and bin (``_level``, ``_bin``) of ``classes``: the row's "own" class, all
     "wider" ones, or "all" from its own on. ``s`` and ``e`` are seconds; ``e`` is exclusive."""
     last = F.greatest(F.col(e) - 1e-6, F.col(s))
     own = _own(F.col(e) - F.col(s), widths)
+    if classes == "own":  # one short list of numbers a row
+        d = df.withColumn("_level", own.cast("int")).withColumn("_width", _width(widths))
+        return d.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(s) / F.col("_width")), F.floor(last / F.col("_width"))))).drop("_width")
 
     def span(i: int, w: int) -> Column:
         bins = F.sequence(F.floor(F.col(s) / (w * HOUR)), F.floor(last / (w * HOUR)))
@@ -47,8 +58,7 @@ def _seconds(c) -> Column:
 def _met(left: DataFrame, right: DataFrame, keys: list[str], widths: tuple[int, ...], where: Column | None) -> DataFrame:
     """Pairs whose stretches [_l0, _l1) and [_r0, _r1) (seconds) overlap."""
     overlap = (F.col("_l0") < F.col("_r1")) & (F.col("_r0") < F.col("_l1"))
-    width = F.element_at(F.array(*[F.lit(w * HOUR) for w in widths]), F.col("_level") + 1)
-    first = F.col("_bin") == F.floor(F.greatest("_l0", "_r0") / width)
+    first = F.col("_bin") == F.floor(F.greatest("_l0", "_r0") / _width(widths))
     keep = overlap & first if where is None else overlap & first & where
     on = [*keys, "_level", "_bin"]
     binned = lambda df, s, e, classes: _with_bins(df, s, e, widths, classes)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import re
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .. import schema as sc
@@ -26,34 +30,65 @@ def asset_type_of_path(path: Column) -> Column:
     )
 
 
-def header_of(spark: SparkSession, path: str, sep: str) -> list[str]:
-    """Column names from the first line only (no inference over the data)."""
-    return spark.read.option("sep", sep).option("header", True).csv(path).limit(0).columns
+MONTH_IN_NAME = re.compile(r"(\d{4})_(\d{2})[^/]*$")
+
+
+def in_months(path: str, start: str | None, end: str | None) -> bool:
+    """Whether a file may hold rows of [start, end): files name their month as YYYY_MM; those that
+    name none may."""
+    said = MONTH_IN_NAME.search(path)
+    month = f"{said[1]}-{said[2]}" if said else None
+    return month is None or not ((start and month < start[:7]) or (end and month > end[:7]))
 
 
-def read_text_table(spark: SparkSession, where: str | list[str], sep: str = "\t", wanted: set[str] | None = None) -> DataFrame:
+def header_of(spark: SparkSession, path: str, sep: str) -> list[str]:
+    """Column names from the first line of a file, opened by its own file system (packed files
+    too); no Spark job and no inference over the data."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(conf).open(p)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(p)
+    lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec is not None else stream, "UTF-8"))
+    try:
+        first = lines.readLine()
+    finally:
+        lines.close()
+    return next(csv.reader([(first or "").removeprefix("\ufeff")], delimiter=sep), [])
+
+
+def read_text_table(spark: SparkSession, where: str | list[str], sep: str = "\t", wanted: set[str] | None = None,
+                    start: str | None = None, end: str | None = None) -> DataFrame:
     """Delimited files with header, all columns as text, by name across files.
 
     Lines that do not fit with quoting on are read again with quoting off; only those
-    lines go through the second parser.
+    lines go through the second parser. With ``start`` and ``end`` files of other months are
+    left out by their names, before any of them is opened.
     """
     out = None
-    for group in files_by_header(spark, paths(where), sep):
+    for group in files_by_header(spark, paths(where), sep, start, end):
         part = _read_one(spark, group, sep)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise FileNotFoundError(f"no file of {start} to {end} in {where}")
     if wanted:
         out = out.select(*[F.col(f"`{c}`") for c in out.columns if c in wanted or c == "source_path"])
     return out
 
 
-def files_by_header(spark: SparkSession, where: list[str], sep: str) -> list[list[str]]:
-    """The files of the given files and folders, those with one header line together: old and new
-    spellings may lie side by side, and each file is read by its own names. Only the first
-    line of a file is looked at."""
+def files_by_header(spark: SparkSession, where: list[str], sep: str, start: str | None = None, end: str | None = None) -> list[list[str]]:
+    """The catalogue of the given files and folders: those with one header line together, since old
+    and new spellings may lie side by side and each file is read by its own names.
+
+    Spark lists the folders once; of each file of the wanted months only the first line is
+    read, by a few threads and without a job.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(where).select("path")
+    names = [r["path"] for r in files.collect() if in_months(r["path"], start, end)]  # one name a file
+    with ThreadPoolExecutor(16) as pool:
+        headers = list(pool.map(lambda p: tuple(header_of(spark, p, sep)), names))
     groups: dict[tuple[str, ...], list[str]] = {}
-    for r in files.collect():  # names only, one row a file
-        groups.setdefault(tuple(header_of(spark, r["path"], sep)), []).append(r["path"])
+    for h, p in zip(headers, names):
+        groups.setdefault(h, []).append(p)
     return [sorted(g) for _, g in sorted(groups.items())]
 
 
@@ -72,9 +107,11 @@ def _read_one(spark: SparkSession, path: list[str], sep: str) -> DataFrame:
     return d.select(*[value(n) for n in names], "source_path")
 
 
-def read_reports(spark: SparkSession, where: str | list[str], asset_types: set[str] | None = None) -> DataFrame:
-    """Raw outage reports, conformed; the asset level falls back to the folder name."""
-    raw = read_text_table(spark, where)
+def read_reports(spark: SparkSession, where: str | list[str], asset_types: set[str] | None = None, start: str | None = None,
+                 end: str | None = None) -> DataFrame:
+    """Raw outage reports, conformed; the asset level falls back to the folder name. With ``start``
+    and ``end`` month files outside are not opened."""
+    raw = read_text_table(spark, where, start=start, end=end)
     df = sc.conform(raw, sc.OUTAGE_REPORT, keep=["source_path"])
     df = df.withColumn("asset_type", F.upper(F.coalesce("asset_type", asset_type_of_path(F.col("source_path")))))
     df = df.withColumn("unit_name", F.coalesce("unit_name", "unit_eic")).withColumn("unit_eic", F.coalesce("unit_eic", "unit_name"))
@@ -141,11 +178,8 @@ def read_panel(spark: SparkSession, root: str, start: str | None = None, end: st
 def read_generation_csv(spark: SparkSession, where: str | list[str], start: str, end: str, units: DataFrame | None = None,
                         areas: list[str] | None = None) -> DataFrame:
     """Raw metered generation to unit-hour means; files of other months are skipped by name."""
-    raw = read_text_table(spark, where)
-    name = F.regexp_extract("source_path", r"(\d{4})_(\d{2})[^/]*$", 0)
-    month = F.concat_ws("-", F.regexp_extract(name, r"^(\d{4})", 1), F.regexp_extract(name, r"^\d{4}_(\d{2})", 1))
-    keep = (name == "") | ((month >= start[:7]) & (month <= end[:7]))
-    return unit_hour_means(sc.conform(raw.filter(keep), sc.UNIT_GENERATION), start, end, units, areas)
+    raw = read_text_table(spark, where, start=start, end=end)
+    return unit_hour_means(sc.conform(raw, sc.UNIT_GENERATION), start, end, units, areas)
 
 
 def read_generation_parquet(spark: SparkSession, where: str | list[str], start: str, end: str, units: DataFrame | None = None) -> DataFrame:
