@@ -10,6 +10,7 @@ from .functions.times import parse_time
 
 S, D, L, TS, B = "string", "double", "long", "timestamp", "boolean"
 
+# Header spellings and column names of the data formats.
 # name -> (type, accepted raw spellings, default)
 OUTAGE_REPORT = {
     "mrid": (S, ["MRID", "InstanceCode"], None),
