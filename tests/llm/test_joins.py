@@ -58,6 +58,7 @@ def test_odd_rows(spark, mixed):
 
 def test_large_groups_chains_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(jj, "BLOCK", 10)
+    monkeypatch.setattr(jj, "BLOCK_SETS", 7)
     rng = np.random.default_rng(4)
     base = [f"w{i}" for i in range(120)]
     rows = []
@@ -72,6 +73,31 @@ def test_large_groups_chains_and_blocks(spark, monkeypatch):
     assert joined(docs) == brute(rows)
 
 
+def test_only_links_leave_the_blocks(spark, monkeypatch):
+    """Near copies that mostly miss the bound: links that come out stay below sets times blocks."""
+    monkeypatch.setattr(jj, "BLOCK_SETS", 20)
+    made = []
+    monkeypatch.setattr(jj, "judge", lambda *a, f=jj.judge: made.append(jj.store(f(*a))) or made[-1])
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(90):
+        w = [f"w{j}" for j in range(150)]
+        for at in rng.choice(150, 4, replace=False):
+            w[int(at)] = f"x{i}_{at}"
+        rows.append((i, " ".join(w)))
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    assert len(made) == 1 and 0 < made[0].count() <= 90 * 5
+
+
+def test_tree_passes_over_names_that_are_not_wanted():
+    tree = jj.PrefixTree(np.empty(0, np.uint64))
+    sets = [np.arange(k, k + 50, dtype=np.uint64) for k in (0, 0, 1, 2, 30)]
+    for i, s in enumerate(sets):
+        tree.add(s, i)
+    assert sorted(tree.probe(sets[0], 80)) == [0, 1, 2, 3]
+    assert sorted(tree.probe(sets[0], 80, lambda name: name not in (1, 2))) == [0, 3]
+
+
 def test_copies_go_before_n_grams_are_made(spark, monkeypatch):
     seen = []
     for name in ("profile", "meetings", "_sets"):

@@ -57,6 +57,15 @@ def test_stages_one_by_one(spark, tmp_path):
     assert sums.max() <= 2048 and len(sums) <= packed.length.sum() / 2048 + 2
 
 
+def test_language_stage_keeps_columns_named_like_its_own(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns(
+        {"score": F.concat(F.lit("s"), "doc_id"), "lang_pred": F.lit("mine"), "ambiguous": F.col("doc_id") * 2})
+    out = cp.language_stage(spark, docs, SF)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert rows and all((r["score"], r["lang_pred"], r["ambiguous"]) == (f"s{r['doc_id']}", "mine", 2 * r["doc_id"]) for r in rows)
+
+
 def test_near_duplicate_stage_with_odd_rows(spark, mixed):
     out = cp.near_duplicate_stage(spark, mixed, SF)
     ids = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)

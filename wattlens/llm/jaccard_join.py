@@ -4,10 +4,12 @@ A document's set is its distinct word n-grams, as 64-bit hashes, in one global o
 n-grams first, by counts in a table of fixed size that sums over the whole corpus, then by
 hash. Two sets that link share an n-gram among the first ``n - ceil(t n) + 1`` of each, so
 documents meet under those n-grams only; equal texts meet once. Under a key, neighbours by
-size are compared first, in linear number; components so far drop most keys, and only keys
-that still hold several components compare the rest. Candidates of a document are stored in
-a prefix tree, which one walk compares with the document: partial overlaps are shared along
+size are compared first, in linear number; components so far drop most keys. Under keys that
+still hold several components, sizes and bitmaps tell which texts may link; these form groups,
+and within a group the sets meet block by block. Sets to compare with are stored in
+a prefix tree, which one walk compares with a set: partial overlaps are shared along
 common beginnings, and subtrees are cut where the remaining lengths cannot reach the bound.
+Only links leave a task, never more than its sets: no pair that does not link becomes a row.
 
 No link is lost and none is guessed: the order affects speed only, and every link is an exact
 count of common n-gram hashes. Hashes of n-grams and texts have 64 bits; two different
@@ -24,11 +26,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import map_batches, store
-from .components import components
+from .components import Forest, components
 
 SKETCH_BITS = 20  # counters of the order's table: its size does not depend on the corpus
 PAIRS_UP_TO = 4  # keys of so many documents compare all pairs at once, larger ones neighbours first
 BLOCK = 20_000  # about as many documents of one key meet in a task
+BLOCK_SETS, BLOCK_GRAMS = 512, 2_000_000  # sets and n-grams of a group that a task stores, and as many that walk them
 BROADCAST_KEYS = 1_000_000  # as many keys (8 bytes each) are sent to all tasks; more are joined by a shuffle
 MEMO = 150_000
 
@@ -111,19 +114,22 @@ class PrefixTree:
                 node.below[int(rest[0])] = child = upper
             node, rest = child, rest[n:]
 
-    def probe(self, items: np.ndarray, percent: int) -> list:
-        """Names of the stored sets that link with ``items`` (sorted by value)."""
+    def probe(self, items: np.ndarray, percent: int, wanted=None) -> list:
+        """Names of the stored sets that link with ``items`` (sorted by value); with ``wanted`` only
+        names it holds for, and a set with no such name is not compared."""
         found, size = [], len(items)
         stack = [(self, 0, 0)]
         while stack:
             node, depth, hits = stack.pop()
+            if wanted and not node.below and not any(wanted(name) for name, _ in node.names):
+                continue
             if len(node.run):
                 at = np.minimum(np.searchsorted(items, node.run), size - 1)
                 hits += int((items[at] == node.run).sum())
                 depth += len(node.run)
             if hits + min(size - hits, node.most - depth) < overlap_needed(size, node.least, percent):
                 continue
-            found += [name for name, other in node.names if 100 * hits >= percent * (size + other - hits)]
+            found += [name for name, other in node.names if 100 * hits >= percent * (size + other - hits) and (not wanted or wanted(name))]
             stack += [(child, depth, hits) for child in node.below.values()]
         return found
 
@@ -288,9 +294,10 @@ def neighbours(met: DataFrame, percent: int) -> DataFrame:
     return map_batches(met, near, "kind int, gram long, block int, blocks int, a long, b long, size int, at int")
 
 
-def rest_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components under one key that sizes, places and bitmaps let link:
-    sorted rows (gram, x, y, block, a, size, at, root, bits)."""
+def may_meet(members: DataFrame, percent: int) -> DataFrame:
+    """Rows (a, b): the texts under each key, out of different components, that sizes, places and
+    bitmaps let link, as a forest: whatever may link is connected, and a key gives fewer rows than
+    it has texts. Takes sorted rows (gram, x, y, block, a, size, at, root, bits)."""
     def far(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for run in _runs((b.assign(meet=list(zip(b["gram"], b["x"], b["y"]))) for b in batches), "meet"):
             run = run.drop_duplicates("a").sort_values(["size", "a"])
@@ -300,7 +307,7 @@ def rest_pairs(members: DataFrame, percent: int) -> DataFrame:
             width = np.array([len(x) for x in run["bits"]])  # grows with the size, so each width is one stretch of rows
             stretch = {int(w): (int(np.argmax(width == w)), np.frombuffer(b"".join(run["bits"][width == w]), "<u8").reshape(-1, w // 8)) for w in np.unique(width)}
             folded = {w: fold(m) for w, (_, m) in stretch.items() if w > 8}
-            out: list[np.ndarray] = []
+            group = np.arange(len(k))  # name of what is connected so far under this key
             for i in range(len(k)):
                 end = int(np.searchsorted(n, 100 * n[i] // percent, side="right"))
                 if end <= i + 1:
@@ -314,7 +321,7 @@ def rest_pairs(members: DataFrame, percent: int) -> DataFrame:
                     if low >= high:
                         continue
                     j = np.arange(low, high)
-                    ok = (root[j] != root[i]) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= overlap_needed(n[i], n[j], percent))
+                    ok = (root[j] != root[i]) & (group[j] != group[i]) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= overlap_needed(n[i], n[j], percent))
                     if across:
                         ok &= block[j] != block[i]
                     j = j[ok]
@@ -322,16 +329,53 @@ def rest_pairs(members: DataFrame, percent: int) -> DataFrame:
                         differ = np.bitwise_count(rows[j - first] ^ own).sum(axis=1).astype(np.int64)
                         j = j[may_link(n[i], n[j], differ, percent)]
                     if len(j):
-                        out.append(np.stack([np.minimum(k[i], k[j]), np.maximum(k[i], k[j])], axis=1))
-                if out and i % 4096 == 4095:
-                    yield pd.DataFrame(np.concatenate(out), columns=["a", "b"])
-                    out.clear()
-            if out:
-                yield pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+                        group[np.isin(group, group[j])] = group[i]
+            least = {}
+            for g, key in zip(group.tolist(), k.tolist()):
+                least[g] = min(key, least.get(g, key))
+            b = np.array([least[g] for g in group.tolist()], np.int64)
+            if (b != k).any():
+                yield pd.DataFrame({"a": k[b != k], "b": b[b != k]})
 
     return map_batches(members, far, "a long, b long")
 
 
+def judge(groups: DataFrame, sets: DataFrame, by_key: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect all texts of a group as far as links do. ``groups``: (key, group,
+    root), the texts that may link and their component so far.
+
+    A group is dealt over blocks of at most about BLOCK_SETS sets and BLOCK_GRAMS n-grams. For two
+    blocks a task stores one in a prefix tree, walks it with each set of the other and keeps
+    what is connected; a pair that is connected already is not compared. So no pair leaves the task
+    but links, fewer than its sets."""
+    sized = groups.join(by_key.select("key", "size"), "key")
+    many = sized.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    dealt = sized.join(many, "group").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = dealt.select("key", "group", "root", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).join(sets, "key")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for run in _runs((b.assign(meet=list(zip(b["group"], b["x"], b["y"]))) for b in batches), "meet"):
+            whole = run["x"].iloc[0] == run["y"].iloc[0]
+            forest, tree, links = Forest(), PrefixTree(np.empty(0, np.uint64)), []
+            stored = (run["block"] == run["x"]).to_numpy()
+            for key, root, first, g in zip(run["key"].tolist(), run["root"].tolist(), stored.tolist(), run["grams"]):
+                forest.union(key, root)
+                if first and not whole:
+                    tree.add(np.frombuffer(g, "<u8"), key)
+            for key, first, g in zip(run["key"].tolist(), stored.tolist(), run["grams"]):
+                if first and not whole:
+                    continue
+                items = np.frombuffer(g, "<u8")
+                links += [(key, name) for name in tree.probe(np.sort(items), percent, lambda name: forest.root(name) != forest.root(key)) if forest.union(key, name)]
+                if whole:  # each set is compared with those before it
+                    tree.add(items, key)
+            if links:
+                yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return map_batches(rows.repartition("group", "x", "y").sortWithinPartitions("group", "x", "y"), compare, "a long, b long")
+
+
 def promising(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that their bitmaps let link."""
     one = bits.select(F.col("key").alias("a"), F.col("size").alias("na"), F.col("bits").alias("ba"))
@@ -433,11 +477,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     open_ = rooted.join(spread.select("gram"), "gram").join(by_key.select(F.col("key").alias("a"), "bits"), "a")
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     open_ = open_.select("gram", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "a", "size", "at", "root", "bits")
-    rest = rest_pairs(open_.repartition("gram", "x", "y").sortWithinPartitions("gram", "x", "y"), percent).distinct()
-    rest = store(rest.join(pairs, ["a", "b"], "left_anti"))
+    near = store(may_meet(open_.repartition("gram", "x", "y").sortWithinPartitions("gram", "x", "y"), percent).distinct())
     all_links = links
-    if rest.head(1):
-        all_links = links.union(linked(rest))
+    if near.head(1):
+        named = components(near)  # texts that may link, whether near or far along a chain, form a group
+        groups = named.select(F.col("node").alias("key"), F.col("root").alias("group")).union(named.select("root", "root").distinct())
+        groups = store(groups.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "group", F.coalesce("root", "key").alias("root")))
+        more = store(judge(groups, store(_sets(texts, groups.select("key"), counts, n)), by_key, percent))
+        all_links = links.union(more)
         roots = components(all_links)
     counts.unpersist()  # all that needed it is written
 
