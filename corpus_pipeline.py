@@ -17,8 +17,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents in a language that the model knows; those without a letter, without text, or
     about equally near to two languages go."""
     model = language.train(docs.filter(~held_out()))
-    said = language.identify(docs, model, keep_text=True)
-    return said.filter((F.col("lang_pred") != language.UNKNOWN) & ~F.col("ambiguous")).select(*docs.columns)
+    passed = ["text" if c == "text" else f"__{i}" for i, c in enumerate(docs.columns)]  # no name is one of the model's
+    said = language.identify(docs.toDF(*passed), model, keep_text=True)
+    return said.filter((F.col("lang_pred") != language.UNKNOWN) & ~F.col("ambiguous")).select(*passed).toDF(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
