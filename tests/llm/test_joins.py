@@ -81,8 +81,8 @@ def test_only_links_leave_the_blocks(spark, monkeypatch):
     rng = np.random.default_rng(8)
     rows = []
     for i in range(90):
-        w = [f"w{j}" for j in range(150)]
-        for at in rng.choice(150, 4, replace=False):
+        w = [f"w{j}" for j in range(180)]
+        for at in rng.choice(180, 2, replace=False):
             w[int(at)] = f"x{i}_{at}"
         rows.append((i, " ".join(w)))
     assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
