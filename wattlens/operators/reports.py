@@ -289,29 +289,33 @@ def prepare_reports(
         df = df.withColumn("plant_type_code", code)
     df = df.withColumn("plant_type", label)
     time_report = document_time_report(df)
-    df = default_deration_window(repair_document_times(df))
     before = df
+    df = default_deration_window(repair_document_times(df))
     if lookup is not None:
         df = installed_from_lookup(df, lookup)
     df = df.filter(F.col("installed_capacity") > 0)
-    scoped = materialise(scope_mrids(materialise(df)))
-    chosen = current_records(scoped, status_policy, "latest_version_intervals", tie)
+    scoped = scope_mrids(materialise(df))
+    # superseded versions are most of the rows; what stays is read by the two reports and by the next choice
+    chosen = materialise(current_records(scoped, status_policy, "latest_version_intervals", tie))
     bounded = bound_deration(chosen, bounds_policy)
     clipped = clip_horizon(bounded, start, end)
     # every document is down to one version here, so rounding can only create equal intervals
     clean = materialise(distinct_intervals(inner_hours(clipped), tie))
 
-    counted = lambda d, name, p=F.lit(True): d.agg(
-        F.lit(name).alias("counter"), F.coalesce(F.sum(p.cast("long")), F.lit(0)).alias("value"))
-    missing = ~F.coalesce(F.col("installed_capacity") > 0, F.lit(False))
+    def counted(d: DataFrame, **which: Column) -> DataFrame:
+        """All counters of one frame in one pass."""
+        sums = d.agg(*[F.coalesce(F.sum(p.cast("long")), F.lit(0)).alias(n) for n, p in which.items()])
+        return sums.selectExpr(f"stack({len(which)}, " + ", ".join(f"'{n}', {n}" for n in which) + ") as (counter, value)")
+
+    every = F.lit(True)
     counters = (
-        counted(typed, "rows_before_area_type_filter")
-        .unionByName(counted(typed, "rows_after_area_type_filter", text.area_type_matches(_named_type(area_type), area_type)))
-        .unionByName(counted(before, "installed_capacity_missing_before_lookup", missing))
-        .unionByName(counted(time_report, "document_time_order_corrections"))
-        .unionByName(counted(bounds_report(chosen, bounds_policy), "ts_bounds_adjusted_rows"))
-        .unionByName(counted(horizon_report(bounded, start, end), "horizon_clip_rows"))
-        .unionByName(counted(clean, "clean_rows"))
+        counted(typed, rows_before_area_type_filter=every,
+                rows_after_area_type_filter=text.area_type_matches(_named_type(area_type), area_type))
+        .unionByName(counted(before, installed_capacity_missing_before_lookup=~F.coalesce(F.col("installed_capacity") > 0, F.lit(False)),
+                             document_time_order_corrections=F.col("created_doc") > F.col("update_time")))
+        .unionByName(counted(bounds_report(chosen, bounds_policy), ts_bounds_adjusted_rows=every))
+        .unionByName(counted(horizon_report(bounded, start, end), horizon_clip_rows=every))
+        .unionByName(counted(clean, clean_rows=every))
         .unionByName(multi_interval_counts(clean).selectExpr(
             "stack(2, 'multi_interval_mrids', multi_interval_mrids, 'multi_interval_rows', multi_interval_rows)"
             " as (counter, value)"))
