@@ -93,6 +93,19 @@ def test_stream_commits_within_a_bounded_window(files):
     assert viterbi.Codec(files)._ids(early + s.finish()) == viterbi.Codec(files).encode(text[1:].replace("▁", " ")).tolist()
 
 
+def test_common_beginnings_are_searched_once(files, monkeypatch):
+    """Words that begin alike, and parts that no piece reaches across, take few steps of the search; ids stay the library's."""
+    import sentencepiece
+
+    lib, own, steps, best = sentencepiece.SentencePieceProcessor(model_file=piece_bpe()), viterbi.Codec(files), [], viterbi.Stream._best
+    monkeypatch.setattr(viterbi.Stream, "_best", lambda self, at: steps.append(at) or best(self, at))
+    words = [f"reformulation{end}.\nKonstantin{number}" for end in ("s", "al", "ed", "ing", "") for number in range(100)]
+    text = " ".join(words)
+    ids = own.encode(text)
+    assert ids.tolist() == lib.encode(text) and own.decode(ids) == text
+    assert len(steps) < len(text) / 20
+
+
 def test_unigram_model_gives_the_best_sum(files):
     """The same pieces as a unigram model, against the search over all ways of short texts."""
     m = viterbi.Model(files)

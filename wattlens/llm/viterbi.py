@@ -28,6 +28,7 @@ SPACE = "▁"
 UNIGRAM, MERGES = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MEMO = 300_000
+SHORT = 48  # characters of a stretch that is remembered
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -85,6 +86,7 @@ class Model:
         self._pairs: dict[tuple[int, int], bool] = {}
         # a stretch may be encoded by itself where no piece reaches across its first space mark
         self.across = any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        self.inside = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}  # neighbours that a piece can hold
         if self.rules:
             raise ValueError("models with normalisation rules need the library's normaliser")
 
@@ -231,14 +233,36 @@ class Stream:
         self.text, self.way = "", [(0.0, -1, "")]
         return pieces[::-1]
 
+    def resume(self, text: str, known: dict[str, list]) -> list[str]:
+        """Pieces of a short stretch. The best way to a position depends on the characters before it
+        only, so the search goes on behind the longest beginning that is ``known``, and tells
+        there what it finds."""
+        at = len(text)
+        while at and text[:at] not in known:
+            at -= 1
+        self.text, self.way = text, known[text[:at]][:at + 1] if at else [(0.0, -1, "")]
+        way = self.way
+        for i in range(at + 1, len(text) + 1):
+            way.append(self._best(i))
+            known[text[:i]] = way  # shared: its first i + 1 entries
+        return self.finish()
+
 
 class Codec:
     """Texts to ids and back. Stretches from one space mark to the next are remembered, since
-    all ways meet between them; the memo is bounded and longer stretches are streamed."""
+    all ways meet between them. A new one is cut wherever no piece holds both neighbours, as
+    all ways meet there too, and its parts share the ways of common beginnings. The memos are
+    bounded and longer parts are streamed."""
 
     def __init__(self, data: bytes):
         self.m = Model(data)
         self.memo: dict[str, bytes] = {}
+        self.search = Stream(self.m)
+        self.known: dict[str, list] = {}
+        text = [p if k != CONTROL else "" for p, k in zip(self.m.pieces, self.m.kinds)]
+        text[self.m.unknown:self.m.unknown + 1] = [" ⁇ "]
+        self.spelled = [bytes([self.m.of_byte[i]]) if i in self.m.of_byte else t.encode() for i, t in enumerate(text)]
+        self.control = np.array([k == CONTROL for k in self.m.kinds], bool)
 
     def normal(self, text: str) -> str:
         m = self.m
@@ -260,12 +284,25 @@ class Codec:
                 out.append(self.m.unknown)
         return out
 
+    def _pieces(self, text: str) -> list[str]:
+        out, inside = [], self.m.inside
+        cuts = [i for i in range(1, len(text)) if text[i - 1:i + 1] not in inside]
+        for a, b in zip([0, *cuts], [*cuts, len(text)]):
+            if b - a > SHORT:
+                s = Stream(self.m)
+                out += s.feed(text[a:b])
+                out += s.finish()
+                continue
+            if len(self.known) >= MEMO:
+                self.known.clear()
+            out += self.search.resume(text[a:b], self.known)
+        return out
+
     def _stretch(self, text: str) -> bytes:
         got = self.memo.get(text)
         if got is None:
-            s = Stream(self.m)
-            got = np.array(self._ids(s.feed(text) + s.finish()), "<u4").tobytes()
-            if len(text) <= 48:
+            got = np.array(self._ids(self._pieces(text)), "<u4").tobytes()
+            if len(text) <= SHORT:
                 if len(self.memo) >= MEMO:
                     self.memo.clear()
                 self.memo[text] = got
@@ -290,18 +327,8 @@ class Codec:
 
     def decode(self, ids: np.ndarray) -> str:
         """The normalised text, without the space that encoding puts before it."""
-        out, raw = [], bytearray()
-        for i in ids.tolist():
-            if i in self.m.of_byte:
-                raw.append(self.m.of_byte[i])
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            if self.m.kinds[i] != CONTROL:
-                out.append(" ⁇ " if i == self.m.unknown else self.m.pieces[i])
-        out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out)
+        runs = np.split(ids, np.flatnonzero(self.control[ids])) if self.control[ids].any() else [ids]  # no character reaches across a control id
+        text = "".join(b"".join(map(self.spelled.__getitem__, run.tolist())).decode("utf-8", "replace") for run in runs)
         if self.m.prefix and text.startswith(SPACE):
             text = text[1:]
         return text.replace(SPACE, " ")
