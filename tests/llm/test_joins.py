@@ -1,5 +1,6 @@
 import re
 from collections import defaultdict
+from itertools import permutations, product
 
 import numpy as np
 import pytest
@@ -198,3 +199,26 @@ def test_perturbations_come_in_order(probes):
     sets = neighbours.perturbations(inside, probes)
     costs = [cost(s) for s in sets]
     assert costs == sorted(costs) and len({tuple(sorted(s)) for s in sets}) == len(sets) == min(probes, 27)
+
+
+# --- hashes of words
+
+def test_words_are_hashed_without_a_step_a_word():
+    """Words as ``bytes.lower().split()`` gives them: equal ones have equal hashes, others different ones."""
+    rng, letters, known = np.random.default_rng(11), list("aB \t\n\x0b\x0c\r\x1c\x85\xa0é한Z"), {}
+    texts = ["".join(rng.choice(letters, int(rng.integers(0, 40)))) for _ in range(800)]
+    texts += ["", " ", "q" * 64, "q" * 65 + " " + "Q" * 65, "q" * 400, " ".join(map(str, range(30_000)))]
+    for t in texts:
+        data = t.encode()
+        words, hashes = data.lower().split(), jj.word_hashes(data).tolist()
+        assert len(words) == len(hashes) and all(known.setdefault(w, h) == h for w, h in zip(words, hashes))
+    assert len(set(known.values())) == len(known)
+
+
+def test_n_grams_keep_the_order_of_words():
+    """Every order of the same few words is an n-gram of its own."""
+    for words in (("a", "b", "c", "d", "e"), ("a", "a", "b", "b", "b"), ("1", "2", "3", "4", "4")):
+        orders = set(permutations(words))
+        assert len({int(jj.shingles(" ".join(o), 5)[0]) for o in orders}) == len(orders)
+    rows = set(product("abcd", repeat=5))
+    assert len(jj.shingles(" ".join(w for r in rows for w in r), 5)) == len({w for t in [[w for r in rows for w in r]] for w in zip(*(t[i:] for i in range(5)))})

@@ -33,37 +33,58 @@ PAIRS_UP_TO = 4  # keys of so many documents compare all pairs at once, larger o
 BLOCK = 20_000  # about as many documents of one key meet in a task
 BLOCK_SETS, BLOCK_GRAMS = 512, 2_000_000  # sets and n-grams of a group that a task stores, and as many that walk them
 BROADCAST_KEYS = 1_000_000  # as many keys (8 bytes each) are sent to all tasks; more are joined by a shuffle
-MEMO = 150_000
+LETTERS = 64  # bytes of a word that are hashed by table
 
 
-class Words(dict):
-    """64-bit hash of a word, remembered; the memo is bounded."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Each number to another one without a pattern (SplitMix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        got = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= 64:
-            self[word] = got
-        return got
 
+def _letter_table() -> np.ndarray:
+    """A 64-bit number for each byte at each of the first LETTERS places of a word; A-Z have those of a-z."""
+    table = _mixed(np.arange(1, LETTERS * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(LETTERS, 256)
+    table[:, 65:91] = table[:, 97:123]
+    return table.ravel()
 
-_words = Words()
+
+_letters = _letter_table()
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text, A-Z lowered, parted by ASCII white space: the sum of the
+    table's numbers of its bytes at their places. Words beyond LETTERS bytes: BLAKE2b."""
+    raw = np.frombuffer(data, np.uint8)
+    at = np.flatnonzero((raw - np.uint8(9) > 4) & (raw != 32))  # bytes below 9 wrap around
+    if not len(at):
+        return np.empty(0, np.uint64)
+    first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1] + 1) + 1])
+    size = np.diff(first, append=len(at))
+    place = np.arange(len(at)) - np.repeat(first, size)
+    out = np.add.reduceat(_letters[np.minimum(place, LETTERS - 1) * 256 + raw[at]], first)
+    for i in np.flatnonzero(size > LETTERS).tolist():
+        word = data[at[first[i]]:at[first[i]] + size[i]].lower()
+        out[i] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+    return _mixed(out)
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of the word n-grams: A-Z lowered, words parted by ASCII white
     space. Fewer words than n: one n-gram of them all. None, empty or no words: empty."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    size = min(n, len(words))
-    total = np.full(len(words) - size + 1, size, np.uint64)
+    h = word_hashes((text or "").encode("utf-8", "surrogatepass"))
+    if not len(h):
+        return h
+    size = min(n, len(h))
+    rows = len(h) - size + 1
+    places = _mixed(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    total, part = np.full(rows, size, np.uint64), np.empty(rows, np.uint64)
     for i in range(size):
-        total = (total ^ h[i:len(words) - size + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-        total ^= total >> np.uint64(32)
-    return np.unique(total)
+        total += np.multiply(h[i:rows + i], places[i], out=part)
+    total = _mixed(total)
+    total.sort()
+    return total[np.concatenate([[True], total[1:] != total[:-1]])]
 
 
 def slots_of(grams: np.ndarray) -> np.ndarray:
