@@ -30,12 +30,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = jaccard_join.jaccard_components(docs, n=5, percent=80, keys=True)
     worded = F.col("n_shingles") > 0
     best = found.filter(worded).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("b"))
-    best = best.select(F.col("b.doc_id").alias("__id"), F.col("b.text_key").alias("__kept"), F.lit(True).alias("__worded"))
-    kept = best.union(found.filter(~worded).select("doc_id", "text_key", F.lit(False)).distinct())
-    rows = docs.withColumn("__key", jaccard_join.text_key("text")).withColumn("__row", F.monotonically_increasing_id())
-    named = rows.join(kept, (F.col("__key") == F.col("__kept")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    apart = F.when(F.col("doc_id").isNull() & ~F.col("__worded"), F.col("__row"))
-    return named.withColumn("__apart", apart).dropDuplicates(["doc_id", "__key", "__apart"]).select(*docs.columns)
+    kept = best.select("b.doc_id", "b.text_key").union(found.filter(~worded & F.col("doc_id").isNotNull()).select("doc_id", "text_key").distinct())
+    no_id = F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType))
+    kept = kept.select(F.col("text_key").alias("__kept"), no_id.alias("__kept_id"), F.col("doc_id").isNull().alias("__kept_none"))
+    untold = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    # repeats go first and by the columns of the join, so the texts are shuffled once for both
+    rows = docs.filter(~untold).withColumns({"__key": jaccard_join.text_key("text"), "__id": no_id, "__none": F.col("doc_id").isNull()}).dropDuplicates(["__key", "__id", "__none"])
+    named = rows.join(kept, (F.col("__key") == F.col("__kept")) & (F.col("__id") == F.col("__kept_id")) & (F.col("__none") == F.col("__kept_none")))
+    return named.select(*docs.columns).union(docs.filter(untold))
 
 
 def private_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

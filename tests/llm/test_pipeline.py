@@ -91,3 +91,20 @@ def test_empty_table(spark):
 def test_run(spark):
     out = cp.run(spark, SF)
     assert {"doc_id", "sequence_id", "offset", "length"} <= set(out.columns) and out.filter(F.col("length") > 0).count() == out.count() > 0
+
+
+def test_near_duplicates_shuffle_the_texts_once_behind_the_join(spark, mixed):
+    """Repeated rows go by the columns of the join: one exchange carries texts, and rows without id and words all stay."""
+    rows = mixed.select("doc_id", "text", "lang").union(spark.createDataFrame([(None, " ", "a"), (None, " ", "b"), (None, None, "c"), (None, "no id here", "d"), (0, "no id here either", "e"), (3, None, "f"), (3, None, "f")], "doc_id long, text string, lang string"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = cp.near_duplicate_stage(spark, rows, SF)
+        plan = out._jdf.queryExecution().explainString(out._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    carried = [part for part in plan.split("\n\n") if " Exchange\n" in part and "text#" in part]
+    assert len(carried) == 1
+    # of every id and text one row, and of linked texts the smallest id; nothing tells rows without id and words apart
+    assert got == sorted([(r["doc_id"], r["text"]) for r in rows.filter("doc_id in (1, 4, 5, 6, 7, 8, 9, 10, 12)").collect()]
+                         + [(13, "123 456 !!"), (None, "no id here"), (0, "no id here either"), (3, None), (None, " "), (None, " "), (None, None)], key=str)
