@@ -151,6 +151,17 @@ def test_components_of_paths_stars_and_loops(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_rounds_of_components_have_small_plans(spark, monkeypatch):
+    """A round is three shuffles: the driver's memory grows with what it plans and schedules."""
+    from wattlens.llm import components as module
+
+    plans = []
+    monkeypatch.setattr(module, "store", lambda df, f=module.store: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or f(df))
+    links = spark.range(4, 400).selectExpr("id AS a", "id - 1 - id % 3 AS b")
+    assert {r["root"] for r in components(links).collect()} == {2}
+    assert plans and max(p.count("Scan parquet") for p in plans) <= 2
+
+
 def exact(rows, k, every=20):
     ids = np.array([r[0] for r in rows])
     v = np.array([r[1] for r in rows], float)

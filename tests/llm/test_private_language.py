@@ -158,6 +158,17 @@ def test_held_out_accuracy(spark):
     assert right > 0.97
 
 
+def test_the_fit_holds_one_copy_of_its_matrix():
+    import tracemalloc
+
+    x = np.random.default_rng(3).random((200, 8192), np.float32)
+    tracemalloc.start()
+    language.fit(x, [f"l{i % 4}" for i in range(200)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.6 * x.nbytes
+
+
 def test_long_tables_of_digits_take_linear_time():
     import time
 

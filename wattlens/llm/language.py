@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from .common import map_batches
 
 UNKNOWN = "und"
+FIT_COLUMNS = 1024  # of the training matrix that a product widens to doubles at a time
 _letters: np.ndarray | None = None
 
 
@@ -84,7 +85,8 @@ class Model:
 
 def fit(x: np.ndarray, y: list[str], ridge: float = 0.3) -> Model:
     """One least-squares classifier a bit, languages weighed alike; a bit's trust for a
-    language is the share of its left-out rows on the right side."""
+    language is the share of its left-out rows on the right side. ``x``, the largest thing
+    on the driver, is centred in place and widened in parts."""
     languages = sorted(set(y))
     at = np.array([languages.index(v) for v in y])
     code = codewords(len(languages))
@@ -92,13 +94,14 @@ def fit(x: np.ndarray, y: list[str], ridge: float = 0.3) -> Model:
     mean = x.mean(axis=0)
     target = code[at]
     offset = code.mean(axis=0)
-    gram = (x - mean) @ (x - mean).T
+    x -= mean
+    gram = x @ x.copy().T
     inverse = np.linalg.inv(gram + ridge * np.diag(count[at] / count.mean()))
     dual = inverse @ (target - offset)
     left_out = target - dual / np.diag(inverse)[:, None]
     right = (left_out * target > 0).astype(float)
     trust = np.vstack([right[at == k].mean(axis=0) for k in range(len(languages))]) + 1e-3
-    weights = ((x - mean).T @ dual).astype(np.float32)
+    weights = np.vstack([x[:, i:i + FIT_COLUMNS].T @ dual for i in range(0, x.shape[1], FIT_COLUMNS)]).astype(np.float32)
     return Model(languages, code, trust / trust.sum(axis=1, keepdims=True), weights, offset - mean @ weights)
 
 
@@ -136,10 +139,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], r["key"]))
+    labels = [r["lang"] for r in rows]
     x = np.zeros((len(rows), size), np.float32)
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["value"], "<f4")
-    return fit(x, [r["lang"] for r in rows])
+    del rows, r
+    return fit(x, labels)
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", margin: float = 0.02, size: int = 8192, keep_text: bool = False) -> DataFrame:
