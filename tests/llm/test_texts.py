@@ -106,6 +106,27 @@ def test_common_beginnings_are_searched_once(files, monkeypatch):
     assert len(steps) < len(text) / 20
 
 
+def test_parts_are_searched_once_in_whatever_word(files, monkeypatch):
+    """Different words out of the same parts: a part that no piece reaches across is searched once."""
+    import sentencepiece
+
+    lib, own, searched, resume = sentencepiece.SentencePieceProcessor(model_file=piece_bpe()), viterbi.Codec(files), [], viterbi.Stream.resume
+    monkeypatch.setattr(viterbi.Stream, "resume", lambda self, text, known: searched.append(text) or resume(self, text, known))
+    ends = ["ation", "ing", "ed", "er", "ly", "ness", "al", "ous", "ive", "ity"]
+    text = " ".join(f"th{a}.\nTh{b}" for a in ends for b in ends)
+    assert own.encode(text).tolist() == lib.encode(text)
+    assert len(searched) == len(set(searched)) < 50
+
+
+def test_memo_keeps_what_is_asked_for():
+    made = []
+    memo = viterbi.Memo(lambda t: made.append(t) or t.encode(), 20)
+    for i in range(200):
+        assert memo["often"] == b"often" and memo[f"once{i}"] == f"once{i}".encode()
+    assert made.count("often") == 1 and len(memo) + len(memo.older) <= 20
+    assert memo["x" * 100] == b"x" * 100 and "x" * 100 not in memo
+
+
 def test_unigram_model_gives_the_best_sum(files):
     """The same pieces as a unigram model, against the search over all ways of short texts."""
     m = viterbi.Model(files)

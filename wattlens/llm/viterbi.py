@@ -13,9 +13,10 @@ that no piece covers are spelled by byte pieces, or are unknown.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -86,7 +87,6 @@ class Model:
         self._pairs: dict[tuple[int, int], bool] = {}
         # a stretch may be encoded by itself where no piece reaches across its first space mark
         self.across = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.inside = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}  # neighbours that a piece can hold
         if self.rules:
             raise ValueError("models with normalisation rules need the library's normaliser")
 
@@ -106,6 +106,18 @@ class Model:
             parts = new
         return tuple(parts)
 
+    @cached_property
+    def neighbours(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which neighbours a piece can hold: a number for each character (0: in no piece of several
+        characters), and a table of the numbers' pairs."""
+        pairs = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
+        known = {c: i for i, c in enumerate(sorted(set("".join(pairs))), 1)}
+        letter, held = np.zeros(0x110000, np.int32), np.zeros((len(known) + 1, len(known) + 1), bool)
+        letter[[ord(c) for c in known]] = list(known.values())
+        for a, b in pairs:
+            held[known[a], known[b]] = True
+        return letter, held
+
     @cached_property
     def reach(self) -> dict[str, int]:
         """Length of the longest piece that ends with given two characters."""
@@ -248,15 +260,35 @@ class Stream:
         return self.finish()
 
 
+class Memo(dict):
+    """Values by short text, made at need. Holds about ``most`` at a time: whenever half of them are
+    new, those are dropped that were not asked for since the last time."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.half, self.older = make, max(1, most // 2), {}
+
+    def __missing__(self, text: str) -> bytes:
+        got = self.older.get(text)
+        if got is None:
+            got = self.make(text)
+        if len(text) <= SHORT:
+            if len(self) >= self.half:
+                self.older = dict(self)
+                self.clear()
+            self[text] = got
+        return got
+
+
 class Codec:
-    """Texts to ids and back. Stretches from one space mark to the next are remembered, since
-    all ways meet between them. A new one is cut wherever no piece holds both neighbours, as
-    all ways meet there too, and its parts share the ways of common beginnings. The memos are
-    bounded and longer parts are streamed."""
+    """Texts to ids and back. All ways meet wherever no piece holds both neighbours, as between
+    words, so a text is cut there. The ids of a part are remembered, and new parts share the ways
+    of common beginnings. The memos are bounded and longer parts are streamed."""
 
     def __init__(self, data: bytes):
         self.m = Model(data)
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(lambda text: self._packed(self._searched(text)), MEMO)
+        self.alone = self.m.type == MERGES or bool(self.m.bytes)  # else unknown characters of two parts may share an id
         self.search = Stream(self.m)
         self.known: dict[str, list] = {}
         text = [p if k != CONTROL else "" for p, k in zip(self.m.pieces, self.m.kinds)]
@@ -267,7 +299,7 @@ class Codec:
     def normal(self, text: str) -> str:
         m = self.m
         if m.collapse:
-            text = " ".join(x for x in text.split(" ") if x)
+            text = " ".join(filter(None, text.split(" ")))
         if m.prefix and text:
             text = " " + text
         return text.replace(" ", SPACE) if m.escape else text
@@ -284,46 +316,37 @@ class Codec:
                 out.append(self.m.unknown)
         return out
 
-    def _pieces(self, text: str) -> list[str]:
-        out, inside = [], self.m.inside
-        cuts = [i for i in range(1, len(text)) if text[i - 1:i + 1] not in inside]
-        for a, b in zip([0, *cuts], [*cuts, len(text)]):
-            if b - a > SHORT:
-                s = Stream(self.m)
-                out += s.feed(text[a:b])
-                out += s.finish()
-                continue
-            if len(self.known) >= MEMO:
-                self.known.clear()
-            out += self.search.resume(text[a:b], self.known)
-        return out
-
-    def _stretch(self, text: str) -> bytes:
-        got = self.memo.get(text)
-        if got is None:
-            got = np.array(self._ids(self._pieces(text)), "<u4").tobytes()
-            if len(text) <= SHORT:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[text] = got
-        return got
+    def _packed(self, pieces: list[str]) -> bytes:
+        ids = self._ids(pieces)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _searched(self, part: str) -> list[str]:
+        """The pieces of a part that no piece reaches across."""
+        if len(part) > SHORT:
+            s = Stream(self.m)
+            return s.feed(part) + s.finish()
+        if len(self.known) >= MEMO:
+            self.known.clear()
+        return self.search.resume(part, self.known)
+
+    def _parts(self, text: str) -> list[str]:
+        letter, held = self.m.neighbours
+        of = letter[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+        cuts = (np.flatnonzero(~held[of[:-1], of[1:]]) + 1).tolist()
+        return [text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)])]
+
+    def _stretches(self, text: str) -> list[str]:
+        """From one space mark to the next; runs of marks belong to the stretch that they open."""
+        return re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", text)
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, "<u4")
         text = self.normal(text)
-        if self.m.across:
-            return np.frombuffer(self._stretch(text), "<u4")
-        first, *rest = text.split(SPACE)
-        out, marks = [first] if first else [], ""
-        for part in rest:  # runs of marks belong to the stretch that they open
-            marks += SPACE
-            if part:
-                out.append(marks + part)
-                marks = ""
-        if marks:
-            out.append(marks)
-        return np.frombuffer(b"".join(map(self._stretch, out)), "<u4")
+        if self.alone:
+            return np.frombuffer(b"".join(map(self.memo.__getitem__, self._parts(text))), "<u4")
+        stretches = [text] if self.m.across else self._stretches(text)
+        return np.frombuffer(b"".join(self._packed([x for part in self._parts(t) for x in self._searched(part)]) for t in stretches), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
         """The normalised text, without the space that encoding puts before it."""
