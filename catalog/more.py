@@ -167,7 +167,7 @@ def violations_by_component(spark, d):
 FROM hrs p FULL JOIN (SELECT unit_eic, h + interval '5' hour AS h, inst - av / 2 AS av FROM hrs) q ON p.unit_eic = q.unit_eic AND p.h = q.h GROUP BY 1, 2""")
 def overlapping_series(spark, d):
     """Two series of every unit whose intervals overlap with other bounds: the lowest value of each hour."""
-    one = fx.segments(spark, d).select("eic_code", "unit_id", "seg_start", "seg_end", "installed_capacity", "avail_capacity")
+    one = fx.panel(spark, d).select("eic_code", "unit_id", "seg_start", "seg_end", "installed_capacity", "avail_capacity")
     later = lambda c: F.col(c) + F.expr("INTERVAL 5 HOUR")
     two = one.withColumns({"seg_start": later("seg_start"), "seg_end": later("seg_end"), "avail_capacity": F.col("installed_capacity") - F.col("avail_capacity") / 2})
     s = tl.dedup_unit_hours(one.unionByName(two))
@@ -228,7 +228,9 @@ def diagnosis_units(spark, d):
 SELECT c.unit_eic AS eic_code, c.mrid AS outage_event_id, count(*) AS gap_hours FROM c JOIN b ON c.unit_eic = b.unit_eic AND c.mrid = b.mrid AND c.h > h0 AND c.h < h1
 LEFT JOIN a ON c.unit_eic = a.unit_eic AND c.mrid = a.mrid AND c.h = a.h WHERE a.h IS NULL GROUP BY 1, 2""")
 def gap_hours(spark, d):
-    p = fx.segments(spark, d).withColumn("cmp_installed", F.col("installed_capacity"))
+    ids = ("dominant_outage_type", "type_effective", "dominant_outage_reason", "active_outage_event_ids", "active_deration_event_ids",
+           "active_deration_gap_bridge_event_ids", "is_deration_gap_bridge")
+    p = fx.panel(spark, d, ids).withColumn("cmp_installed", F.col("installed_capacity"))
     return dg.gap_intervals(p).groupBy("eic_code", "outage_event_id").agg(F.sum(runs.hours_col()).alias("gap_hours"))
 
 
@@ -242,7 +244,7 @@ def event_metadata(spark, d):
 # --- comparison -------------------------------------------------------------------------
 
 def _relabelled(spark, d):
-    return fx.segments(spark, d).withColumn("outage_type", F.when(F.col("outage_reason") == "maintenance", "Planned").otherwise(F.col("outage_type")))
+    return fx.panel(spark, d).withColumn("outage_type", F.when(F.col("outage_reason") == "maintenance", "Planned").otherwise(F.col("outage_type")))
 
 
 _SIDES = """, o AS (SELECT country, plant_type_code, strftime(h, '%Y-%m') AS month, inst - av AS mw, ot AS t0, CASE WHEN rs = 'maintenance' THEN 'Planned' ELSE ot END AS t1 FROM panel)"""
@@ -252,13 +254,13 @@ _SIDES = """, o AS (SELECT country, plant_type_code, strftime(h, '%Y-%m') AS mon
   sum(CASE WHEN t1 = 'Forced' THEN mw ELSE 0 END) AS forced_outage_mwh_new, sum(CASE WHEN t1 = 'Planned' THEN mw ELSE 0 END) - sum(CASE WHEN t0 = 'Planned' THEN mw ELSE 0 END) AS planned_outage_mwh_delta FROM o GROUP BY 1, 2, 3""")
 def panel_compare_monthly(spark, d):
     m = ["unit_hours", *compare.MEASURES]
-    c = compare.compare_sides(compare.monthly_side(fx.segments(spark, d)), compare.monthly_side(_relabelled(spark, d)), compare.KEYS, m)
+    c = compare.compare_sides(compare.monthly_side(fx.panel(spark, d)), compare.monthly_side(_relabelled(spark, d)), compare.KEYS, m)
     return c.select("country", "plant_type_code", "month", "unit_hours_old", "outage_mwh_old", "forced_outage_mwh_old", "forced_outage_mwh_new", "planned_outage_mwh_delta")
 
 
 @query("label_change_energy", chain("panel") + _SIDES + """SELECT country, plant_type_code, month, sum(CASE WHEN coalesce(t0, '') <> coalesce(t1, '') THEN mw ELSE 0 END) AS changed_mwh FROM o WHERE mw > 0 GROUP BY 1, 2, 3""")
 def label_change_energy(spark, d):
-    return compare.label_changes(fx.segments(spark, d), _relabelled(spark, d)).select("country", "plant_type_code", "month", "changed_mwh")
+    return compare.label_changes(fx.panel(spark, d), _relabelled(spark, d)).select("country", "plant_type_code", "month", "changed_mwh")
 
 
 _DATA = """SELECT n_name AS country, c_mktsegment AS plant_type, cast(year(o_orderdate) AS varchar(4)) AS period_key, 'orders' AS metric, avg(o_totalprice) AS dataset_value
@@ -343,7 +345,7 @@ def outage_days(spark, d):
 def corrected_unit_tallies(spark, d):
     r, h = _recommended(spark, d)
     mask = materialise(inverse.correction_mask(h, r))
-    t = tl.tally(inverse.apply_corrections(fx.segments(spark, d), mask))
+    t = tl.tally(inverse.apply_corrections(fx.labelled(spark, d), mask))
     hh = runs.hours_col()
     return rounded(t.groupBy("eic_code").agg(*[F.sum(F.col(c) * hh).alias(c) for c in (*tl.FULL, *tl.PARTIAL)], F.sum(F.when(F.col("inverse_correction_applied"), hh).otherwise(0)).alias("corrected_hours")))
 

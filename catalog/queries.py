@@ -213,7 +213,7 @@ g AS (SELECT country, area, plant_type_code, h, sum(inst) AS i, count(DISTINCT u
 SELECT country, area, plant_type_code, date_trunc('month', h) AS month, count(*) AS hours, sum(i) AS sum_installed_capacity_mw, CAST(sum(n) AS BIGINT) AS count_units_total, """ + ", ".join(
     f"sum(s_{c}) AS sum_outage_mw{k}, CAST(sum(n_{c}) AS BIGINT) AS count_units{k or '_outage'}" for k, c in _PARTS.items()) + " FROM g GROUP BY 1, 2, 3, 4")
 def outage_sums_area_type(spark, d):
-    s = pn.outage_sums(fx.segments(spark, d))
+    s = pn.outage_sums(fx.panel(spark, d))
     total = [c for c in s.columns if c.startswith(("sum_", "count_"))]
     return s.groupBy("country", "area", "plant_type_code", F.date_trunc("month", "timestamp").alias("month")).agg(
         F.count(F.lit(1)).alias("hours"), *[F.sum(c).alias(c) for c in total])
@@ -399,7 +399,7 @@ def without_long_outages(spark, d):
   CAST(sum(CASE WHEN av IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing_avail_capacity_hours, CAST(sum(CASE WHEN av > inst THEN 1 ELSE 0 END) AS BIGINT) AS avail_gt_installed_hours,
   count(*) - count(DISTINCT h) AS duplicate_timestamp_rows, CAST(date_diff('hour', min(h), max(h)) + 1 - count(DISTINCT h) AS BIGINT) AS missing_hourly_timestamps FROM panel GROUP BY 1, 2, 3, 4""")
 def input_qa(spark, d):
-    return tl.input_qa(fx.segments(spark, d)).select(
+    return tl.input_qa(fx.panel(spark, d)).select(
         "country", "plant_type_code", "eic_code", "unit_name", "n_rows", "timestamp_start", "timestamp_end", "n_unique_timestamps",
         "missing_avail_capacity_hours", "avail_gt_installed_hours", "duplicate_timestamp_rows", "missing_hourly_timestamps")
 
@@ -433,7 +433,7 @@ def generation_bounds(spark, d):
 @query("positive_hours_by_share", chain("gen", "panel") + """, c AS (SELECT unit_eic, max(inst) AS cap FROM panel GROUP BY 1)
 SELECT gen.eic_code, count(*) AS hours, round(sum(actual_generation_mw) + 1e-9, 6) AS mwh FROM gen JOIN c ON gen.eic_code = c.unit_eic WHERE actual_generation_mw >= cap * 0.3 GROUP BY 1""")
 def positive_hours_by_share(spark, d):
-    p = gen.positive_hours(fx.gen(spark, d), gen.unit_capacity(fx.segments(spark, d)), 0.3)
+    p = gen.positive_hours(fx.gen(spark, d), gen.unit_capacity(fx.panel(spark, d)), 0.3)
     return rounded(p.groupBy("eic_code").agg(F.count(F.lit(1)).alias("hours"), F.sum("actual_generation_mw").alias("mwh")))
 
 
@@ -460,7 +460,7 @@ def economic_shutdown_runs(spark, d):
 @query("low_generation_units", chain("panel", "gen") + """, b AS (SELECT eic_code, count(*) AS n FROM gen WHERE actual_generation_mw > 0 GROUP BY 1)
 SELECT unit_eic AS eic_code, count(*) AS panel_rows, coalesce(any_value(b.n), 0) AS generation_hours FROM panel LEFT JOIN b ON panel.unit_eic = b.eic_code GROUP BY 1 HAVING coalesce(any_value(b.n), 0) <= 90""")
 def low_generation_units(spark, d):
-    return tl.exclude_low_generation(fx.segments(spark, d), _bounds(spark, d), 90)[1].select("eic_code", "panel_rows", "generation_hours")
+    return tl.exclude_low_generation(fx.panel(spark, d), _bounds(spark, d), 90)[1].select("eic_code", "panel_rows", "generation_hours")
 
 
 @query("rare_generation_units", chain("tal", "gen") + _WIN_SQL.split("SELECT w.unit_eic")[0].replace("{start}", "s0").replace("{end}", "e0") + _POS.replace(", pos", ", pos2") +
@@ -517,7 +517,7 @@ uy AS (SELECT pop.*, coalesce(obs, 0) AS obs, coalesce(vio, 0) AS vio, coalesce(
 
 
 def _unit_year(spark, d):
-    p = fx.compared(spark, d).withColumn("plant_type", F.col("plant_type_code"))
+    p = fx.compared(spark, d, fx.panel).withColumn("plant_type", F.col("plant_type_code"))
     return val.unit_year_summary(p, val.compare_hours(p, fx.gen(spark, d), **_TOL))
 
 
@@ -549,13 +549,13 @@ _AVG_COLS = ["country", "plant_type", "date", "installed_mw", "available_mw", "g
 
 @query("availability_vs_generation_daily", chain("panel", "gen") + _AVG.replace("{where}", ""))
 def availability_vs_generation_daily(spark, d):
-    p = val.compared_capacity(fx.segments(spark, d)).withColumn("plant_type", F.col("plant_type_code"))
+    p = val.compared_capacity(fx.panel(spark, d)).withColumn("plant_type", F.col("plant_type_code"))
     return rounded(val.daily(val.availability_vs_generation(p, fx.gen(spark, d), **_TOL)).select(*_AVG_COLS))
 
 
 @query("active_restrictions_daily", chain("panel", "gen") + _AVG.replace("{where}", "WHERE p.av < p.inst"))
 def active_restrictions_daily(spark, d):
-    p = fx.compared(spark, d).withColumn("plant_type", F.col("plant_type_code"))
+    p = fx.compared(spark, d, fx.panel).withColumn("plant_type", F.col("plant_type_code"))
     return rounded(val.daily(val.availability_vs_generation(p, fx.gen(spark, d), **_TOL)).select(*_AVG_COLS))
 
 

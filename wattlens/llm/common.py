@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..session import materialise as store
+from ..session import store
 
 __all__ = ["gapless", "in_ranges", "map_batches", "range_cuts", "range_of", "split_evenly", "store", "table"]
 

@@ -47,6 +47,20 @@ def bridge_outage_windows(df: DataFrame, max_hours: float = 8, same_type: bool =
     """Stretch an outage window to the unit's next start when the gap is in (0, max_hours]."""
     if max_hours <= 0:
         return df
+    if same_type or same_reason:
+        return _bridge_alike(df, max_hours, same_type, same_reason)
+    # one row a start with the next one: a unit's starts are whole hours, an array of them holds no more than its horizon
+    starts = df.groupBy(UNIT).agg(F.array_sort(F.collect_set("start_out")).alias("_s"))
+    each = F.explode(F.arrays_zip(F.slice("_s", 1, F.size("_s") - 1).alias("start_out"), F.slice("_s", 2, F.size("_s") - 1).alias("_next")))
+    starts = starts.filter(F.size("_s") > 1).select(UNIT, each.alias("_e")).select(UNIT, "_e.*")
+    last = F.rank().over(Window.partitionBy(UNIT, "start_out").orderBy(F.struct(*_order("start_out")).desc()))
+    met = df.join(starts, [UNIT, "start_out"], "left").withColumn("_nth", last)
+    ok = (F.col("_nth") == 1) & _bridgeable(met, "end_out", F.col("_next"), "", max_hours, False, False)
+    return met.withColumn("end_out", F.when(ok, F.col("_next")).otherwise(F.col("end_out"))).select(*df.columns)
+
+
+def _bridge_alike(df: DataFrame, max_hours: float, same_type: bool, same_reason: bool) -> DataFrame:
+    """The bridge where the next start's first report must be of the same kind."""
     order = F.struct(*_order("start_out"))
     first = F.struct(*_order("start_out"), F.col("outage_type"), F.col("reason"))
     starts = df.groupBy(UNIT, "start_out").agg(F.max(order).alias("_last"), F.min(first).alias("_head"))

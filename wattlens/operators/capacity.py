@@ -268,11 +268,15 @@ def attach_capacity(rows: DataFrame, lookup: DataFrame, at: str, unit: str = "un
         F.max(F.upper(F.trim(F.coalesce("asset_type", F.lit("")))) == "PRODUCTION")
         if "asset_type" in have else F.lit(False)
     )
-    units = rows.filter(F.col(unit).isNotNull()).groupBy(F.trim(unit).alias("unit_eic")).agg(
+    spelled = rows.filter(F.col(unit).isNotNull()).groupBy(unit).agg(
         plant_level.alias("is_plant_level"), opt("country").alias("country"),
         opt("plant_type").alias("plant_type"), opt("unit_name").alias("unit_name"))
+    units = spelled.groupBy(F.trim(unit).alias("_unit")).agg(
+        F.max("is_plant_level").alias("is_plant_level"), *[F.min(c).alias(c) for c in ("country", "plant_type", "unit_name")])
+    units = units.withColumnRenamed("_unit", "unit_eic")
     chosen = choose_keys(units, lookup, allow_name and {"country", "plant_type", "unit_name"} <= have)
     iv = chosen.join(lookup, ["key_kind", "key"]).select(
         F.col("unit_eic").alias("_unit"), "valid_from", "valid_to", F.col("mw").alias(out))
-    keyed = rows.withColumn("_unit", F.trim(unit))
-    return asof_capacity(keyed, iv, ["_unit"], at, out).drop("_unit")
+    # keyed as the rows spell their unit: rows that are dealt by unit stay where they are
+    iv = spelled.select(unit, F.trim(unit).alias("_unit")).join(iv, "_unit").drop("_unit")
+    return asof_capacity(rows, iv, [unit], at, out)

@@ -24,14 +24,12 @@ def latest_mrid_rows(raw: DataFrame) -> DataFrame:
     key = F.trim(F.coalesce("mrid", F.lit("")))
     d = raw.withColumn("_k", key).withColumn("_s", status).withColumn("_v", F.coalesce(F.col("version").cast("double"), F.lit(-1.0)))
     d = d.withColumn("_act", (F.col("_s") == "active") & ~text.is_true_like("old_version"))
-    top = d.filter(F.col("_act") & (F.col("_k") != "")).groupBy("_k").agg(F.max(F.struct("_v")).alias("m")).select(
-        F.col("_k").alias("_tk"), F.col("m._v").alias("_top"))
-    j = d.join(top, F.col("_k") == F.col("_tk"), "left")
-    newest = j.filter(F.col("_act") & (F.col("_v") == F.col("_top"))).groupBy("_tk").agg(F.max("created_doc").alias("_last")).withColumnRenamed("_tk", "_lk")
-    j = j.join(newest, F.col("_tk") == F.col("_lk"), "left")
+    of = Window.partitionBy("_k")
+    d = d.withColumn("_top", F.max(F.when(F.col("_act") & (F.col("_k") != ""), F.col("_v"))).over(of))
+    j = d.withColumn("_last", F.max(F.when(F.col("_act") & (F.col("_v") == F.col("_top")), F.col("created_doc"))).over(of))
     keep = F.when(F.col("_act"), (F.col("_k") == "") | (F.col("_v") == F.col("_top"))).otherwise(
         F.col("_s").isin(*CANCELLED) & (F.col("created_doc") > F.col("_last")))
-    return j.filter(F.coalesce(keep, F.lit(False))).select(*raw.columns).distinct()
+    return j.filter(F.coalesce(keep, F.lit(False))).select("_k", *raw.columns).distinct().drop("_k")
 
 
 def candidates_in_scope(raw: DataFrame, segments: DataFrame, window_hours: float = 0.0) -> DataFrame:

@@ -11,10 +11,10 @@ from ..functions.maths import nz
 from ..functions.times import FAR_FUTURE, FAR_PAST, hours, hours_between, ts
 from ..session import materialise
 from ..schema import PANEL_COLUMNS
-from .bridging import UNIT, bridge_reports
+from .bridging import UNIT, bridge_reports, with_unit_id
 from .rows import require
 from .overlap import overlap_join
-from .segments import CHUNK, bounds, covered, n_hours, to_hours
+from .segments import CHUNK, covered, n_hours, to_hours
 from .timeline import interval_sums
 
 SEG = [UNIT, CHUNK, "seg_start", "seg_end"]
@@ -81,7 +81,8 @@ NARROW = ["start_out", "end_out", "start_derate", "end_derate", "id", "o_doc", "
 
 
 def by_segment() -> WindowSpec:
-    return Window.partitionBy(UNIT, "seg_start")
+    """A segment lies in one month, and its rows stay where ``covered`` has dealt the month."""
+    return Window.partitionBy(UNIT, CHUNK, "seg_start")
 
 
 def _newest(tie: str) -> list[Column]:
@@ -100,7 +101,7 @@ def _marked_newest(rows: DataFrame) -> DataFrame:
 
 def segment_capacity(rows: DataFrame, opts: PanelOptions) -> DataFrame:
     """Capacities and state per segment from the rows of ``covered``."""
-    return with_capacity(_marked_newest(rows).groupBy(UNIT, CHUNK, "seg_start", "seg_end").agg(*_newest(opts.tie)), opts)
+    return with_capacity(_marked_newest(rows).groupBy(*SEG).agg(*_newest(opts.tie)), opts)
 
 
 def with_capacity(df: DataFrame, opts: PanelOptions = PanelOptions()) -> DataFrame:
@@ -153,7 +154,7 @@ def forced_increment_events(rows: DataFrame, segs: DataFrame, delta: float) -> D
     """
     planned, forced = _has(PLANNED, "bits"), _has(FORCED, "bits")
     line = rows.filter(F.col("in_a") & (planned | forced)).select(
-        UNIT, "seg_start", forced.alias("forced"), "id", "avail",
+        UNIT, CHUNK, "seg_start", forced.alias("forced"), "id", "avail",
         F.when(planned, F.col("created")).otherwise(F.col("start_out") - hours(delta)).alias("at"),
         F.when(planned, F.struct(F.col("rank_d").alias("d"), F.col("rank_s").alias("s"), F.col("avail").isNotNull().alias("h"), (-F.col("avail")).alias("k"))).alias("plan"),
     ).filter(F.col("at").isNotNull())
@@ -201,7 +202,7 @@ def planned_links(work: DataFrame, increments: DataFrame | None, delta: float) -
 def link_planned(work: DataFrame, increments: DataFrame | None, delta: float) -> DataFrame:
     """``work`` with the link flags of its planned reports."""
     planned = text.outage_type_norm("outage_type") == "planned"
-    links = planned_links(work, increments, delta).withColumn("_p", F.lit(True))
+    links = materialise(planned_links(work, increments, delta)).withColumn("_p", F.lit(True))
     out = work.withColumn("_p", planned).join(links, [UNIT, "start_out", "end_out", "created_doc", "_p"], "left").drop("_p")
     return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("reactive", "reactive_increment", "short")})
 
@@ -241,21 +242,24 @@ def related(rows: DataFrame, opts: PanelOptions = PanelOptions()) -> DataFrame:
 
 def reduced(rows: DataFrame, opts: PanelOptions = PanelOptions()) -> DataFrame:
     """One row per segment: capacities, what is true of any of its reports, sizes of the report
-    sets, and ``members``, the ids in reading order with their bits (the ids are output)."""
+    sets, the bits of the first report among the lowest, and ``members``, the ids in reading order
+    with their bits. The ids are output; without the id columns no list is built."""
     any_ = lambda c: F.coalesce(F.max(c), F.lit(False))
     of = lambda *bits: F.col("m").bitwiseAND(F.lit(sum(bits))) == sum(bits)
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
     counts = []
     for name, bit in SETS.items():
         counts += [n(of(bit)).alias(f"n_{name}"), n(of(bit, OBSERVED_MAINT)).alias(f"obs_{name}"), n(of(bit, INFERRED_MAINT)).alias(f"inf_{name}")]
-    member = F.when(F.col("in_a") | F.col("in_c"), F.struct("start_out", "o_doc", "id", "start_derate", "end_derate", "end_out", "m"))
+    read = F.struct("start_out", "o_doc", "id", "start_derate", "end_derate", "end_out", "m")
+    member = F.when(F.col("in_a") | F.col("in_c"), read)
     starts_here = _has(FORCED_LABEL) & ((F.col("in_c") & (F.col("start_out") == F.col("seg_start"))) | (F.col("in_a") & (F.col("start_derate") == F.col("seg_start"))))
     return related(rows, opts).groupBy(*SEG).agg(
         *_newest(opts.tie), *counts, any_(F.col("in_a")).alias("any_a"), any_(of(IN_A, FORCED)).alias("any_forced"), any_(of(EXTENSION)).alias("any_extension"),
         any_(of(IN_A, PLANNED, REACTIVE)).alias("any_reactive_a"), any_(of(IN_C, PLANNED, REACTIVE)).alias("any_reactive_c"),
         any_(of(IN_A, BRIDGE)).alias("is_deration_gap_bridge"), any_(of(IN_C, LATE)).alias("any_late"), any_(of(IN_C, PLANNED, SHORT)).alias("any_short"),
         any_(starts_here).alias("forced_start_here"),
-        (-F.max("base_key")["k"]).alias("base_avail"), (-F.max("cand_key")["k"]).alias("cand_avail"), F.sort_array(F.collect_list(member)).alias("members"))
+        (-F.max("base_key")["k"]).alias("base_avail"), (-F.max("cand_key")["k"]).alias("cand_avail"), F.min(F.when(of(LOWEST), read))["m"].alias("first_low"),
+        F.sort_array(F.collect_list(member)).alias("members"))
 
 
 def attribute(df: DataFrame, opts: PanelOptions = PanelOptions()) -> DataFrame:
@@ -275,9 +279,9 @@ def attribute(df: DataFrame, opts: PanelOptions = PanelOptions()) -> DataFrame:
     bit = F.coalesce(*[F.when(F.col("dom_name") == k, F.lit(b)) for k, b in SETS.items()], F.lit(0))
     df = df.withColumns({"dom_bit": bit, "n_dom": chosen("n"), "obs_dom": chosen("obs"), "inf_dom": chosen("inf")})
     df = df.withColumn("dom", F.filter("members", lambda x: x["m"].bitwiseAND(F.col("dom_bit")) != 0))
-    title = lambda x: F.when(x["m"].bitwiseAND(F.lit(PLANNED)) != 0, "Planned").when(x["m"].bitwiseAND(F.lit(FORCED)) != 0, "Forced")
+    title = lambda m: F.when(m.bitwiseAND(F.lit(PLANNED)) != 0, "Planned").when(m.bitwiseAND(F.lit(FORCED)) != 0, "Forced")
     some = F.col("n_dom") > 0
-    df = df.withColumn("dom_type", F.when(by_force, "Forced").when(by_plan, "Planned").when(by_any & some, F.get(F.transform("dom", title), F.lit(0))))
+    df = df.withColumn("dom_type", F.when(by_force, "Forced").when(by_plan, "Planned").when(by_any & some, title(F.col("first_low"))))
     ext = F.lit(opts.reactive_extension)
     rule = (
         F.when(by_force, F.when(F.col("any_extension") & ~F.col("any_forced"), "reactive_planned_after_forced_increment").otherwise("forced_increment_over_planned"))
@@ -296,7 +300,7 @@ def attribute(df: DataFrame, opts: PanelOptions = PanelOptions()) -> DataFrame:
     a, reactive_c = held(IN_A), held(IN_C, PLANNED, REACTIVE)
     suppressed = F.array_sort(F.array_except(id_set(a), F.concat(id_set(held(BASE)), id_set(F.col("dom")), id_set(reactive_c))))
     dom_ids = F.when(F.col("on"), _ids(F.col("dom")))
-    titled = F.filter(F.transform("dom", title), lambda x: x.isNotNull())
+    titled = F.filter(F.transform("dom", lambda x: title(x["m"])), lambda x: x.isNotNull())
     return df.select(
         *SEG, "installed_capacity", "avail_capacity", "relative_avail_capacity", "state", "total_derate_mw",
         _ids(a).alias("active_event_ids"), _ids(held(IN_C)).alias("active_outage_event_ids"),
@@ -362,26 +366,40 @@ def unit_attributes(reports: DataFrame) -> DataFrame:
                     *[(F.col(f"f.{c}") if c in reports.columns else F.lit(None).cast("string")).alias(c) for c in UNIT_ATTRIBUTES])
 
 
+# What ``narrow`` and ``link_planned`` read.
+WORK = [UNIT, "mrid", "start_out", "end_out", "start_derate", "end_derate", "document_sort_time", "created_doc", "avail_capacity", "installed_capacity",
+        "outage_type", "reason", "is_deration_gap_bridge"]
+
+
+def _bridged(clean: DataFrame, opts: PanelOptions) -> tuple[DataFrame, DataFrame]:
+    """Bridged reports without their unit's attributes, and the attributes. Rows that close gaps
+    between derations count among the reports that attributes are taken from."""
+    work = bridge_reports(clean, opts.max_outage_gap, opts.max_deration_gap, opts.same_type, opts.same_reason, opts.tie)
+    if opts.max_deration_gap > 0:
+        work = materialise(work)
+        return work, unit_attributes(work)
+    return materialise(work.select(*WORK)), unit_attributes(with_unit_id(clean))
+
+
 def build_segments(clean: DataFrame, start: str, end: str, opts: PanelOptions = PanelOptions()) -> DataFrame:
     """The labelled panel in interval form: unit attributes, ``seg_start``, ``seg_end``, labels."""
     require(opts.tie, ("lowest", "highest"), "tie")
-    work = materialise(bridge_reports(clean, opts.max_outage_gap, opts.max_deration_gap, opts.same_type, opts.same_reason, opts.tie))
-    marks = bounds(work, start, end)
+    work, attributes = _bridged(clean, opts)
     increments = None
     if opts.reactive_extension:
-        marks = materialise(marks)
-        first = materialise(covered(narrow(unlinked(work)), start, end, NARROW, marks))
+        first = materialise(covered(narrow(unlinked(work)), start, end, NARROW))
         increments = forced_increment_events(first, segment_capacity(first, opts), opts.cluster_delta)
-    rows = covered(narrow(link_planned(work, increments, opts.cluster_delta)), start, end, NARROW, marks)
+    linked = materialise(narrow(link_planned(work, increments, opts.cluster_delta)))
+    rows = covered(linked, start, end, NARROW)
     labelled = clusters(attribute(with_capacity(reduced(rows, opts), opts), opts), opts.hard_split_forced)
-    return unit_attributes(work).join(labelled, UNIT)
+    return attributes.join(labelled, UNIT)
 
 
 def capacity_segments(clean: DataFrame, start: str, end: str, opts: PanelOptions = PanelOptions()) -> DataFrame:
     """Capacities and state only, without attribution."""
-    work = materialise(bridge_reports(clean, opts.max_outage_gap, opts.max_deration_gap, opts.same_type, opts.same_reason, opts.tie))
+    work, attributes = _bridged(clean, opts)
     rows = covered(narrow(unlinked(work)), start, end, NARROW)
-    return unit_attributes(work).join(segment_capacity(rows, opts), UNIT)
+    return attributes.join(segment_capacity(rows, opts), UNIT)
 
 
 def build_panel(clean: DataFrame, start: str, end: str, opts: PanelOptions = PanelOptions()) -> DataFrame:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import codes, text
 from ..functions.maths import num
 from ..functions.times import ceil_hour, floor_hour, ts
 from ..session import materialise
 from . import capacity as cap
-from .rows import best_row, high_first, low_first, require, same_keys
+from .rows import best_row, high_first, low_first, require
 
 WINDOWS = ["start_out", "end_out", "start_derate", "end_derate"]
 ID_COLUMNS = [
@@ -92,12 +92,18 @@ def clip_horizon(df: DataFrame, start: str, end: str) -> DataFrame:
     return within_horizon(df, start, end).withColumns(_clipped(start, end))
 
 
-def horizon_report(df: DataFrame, start: str, end: str) -> DataFrame:
+def _moved(start: str, end: str) -> Column:
+    """The horizon changes a bound of the row."""
     after = _clipped(start, end)
     changed = F.lit(False)
     for c in WINDOWS:
         changed = changed | ~F.col(c).eqNullSafe(after[c])
-    return within_horizon(df, start, end).filter(changed).select(
+    return changed
+
+
+def horizon_report(df: DataFrame, start: str, end: str) -> DataFrame:
+    after = _clipped(start, end)
+    return within_horizon(df, start, end).filter(_moved(start, end)).select(
         *_ids(df), ts(start).alias("study_start"), ts(end).alias("study_end_exclusive"),
         *[F.col(c).alias(f"{c}_before") for c in WINDOWS], *[after[c].alias(f"{c}_after") for c in WINDOWS])
 
@@ -110,31 +116,43 @@ def inner_hours(df: DataFrame) -> DataFrame:
     }).filter((F.col("end_out") > F.col("start_out")) & (F.col("end_derate") > F.col("start_derate")))
 
 
-def scope_mrids(df: DataFrame) -> DataFrame:
-    """Give a document id that occurs on several units one id per unit.
+#: Column by which ``by_document`` deals rows.
+DOC = "_doc"
 
-    "Several units" is ``min(unit) <> max(unit)``, which combines map-side; only the
-    affected ids are joined back.
-    """
+
+def by_document(df: DataFrame) -> DataFrame:
+    """Rows dealt by their document id, with column ``DOC``: the id up to its first "__", which
+    ``scope_mrids`` leaves as it is. What groups by ``DOC`` and more needs no further shuffle."""
+    start = F.substring_index(F.trim(F.coalesce("mrid", F.lit(""))), "__", 1)
+    return df.withColumn(DOC, F.rtrim(start, F.lit("_"))).repartition(DOC)
+
+
+def _scoped(df: DataFrame) -> DataFrame:
+    """``scope_mrids`` for rows that ``by_document`` has dealt."""
     original = F.trim(F.coalesce("mrid", F.lit("")))
     unit = F.upper(F.trim(F.coalesce("unit_eic", F.lit(""))))
     scope = F.when(unit != "", unit).otherwise(text.id_suffix("unit_name") if "unit_name" in df.columns else "UNKNOWN_UNIT")
+    names = [c for c in df.columns if c != "original_mrid"]
     df = df.withColumn("original_mrid", original).withColumn("mrid_unit_scope", scope)
-    shared = (
-        df.filter(F.col("original_mrid") != "").groupBy("original_mrid")
-        .agg(F.min("mrid_unit_scope").alias("a"), F.max("mrid_unit_scope").alias("b"))
-        .filter(F.col("a") != F.col("b")).select("original_mrid", F.lit(True).alias("_shared"))
-    )
+    of = Window.partitionBy(DOC, "original_mrid")
+    df = df.withColumns({"_a": F.min("mrid_unit_scope").over(of), "_b": F.max("mrid_unit_scope").over(of)})
+    df = df.withColumn("mrid_cross_unit_duplicate", (F.col("original_mrid") != "") & (F.col("_a") != F.col("_b")))
     return (
-        df.join(shared, "original_mrid", "left")
-        .withColumn("mrid_cross_unit_duplicate", F.coalesce("_shared", F.lit(False)))
-        .withColumn("mrid", F.when(
+        df.withColumn("mrid", F.when(
             F.col("mrid_cross_unit_duplicate"),
             F.concat("original_mrid", F.lit("__"), text.id_suffix("mrid_unit_scope"))).otherwise(F.col("mrid")))
-        .drop("_shared")
+        .select("original_mrid", *names, "mrid_unit_scope", "mrid_cross_unit_duplicate")
     )
 
 
+def scope_mrids(df: DataFrame) -> DataFrame:
+    """Give a document id that occurs on several units one id per unit.
+
+    "Several units" is ``min(unit) <> max(unit)`` over the id's rows.
+    """
+    return _scoped(by_document(df)).drop(DOC)
+
+
 EVENT_KEYS = ["asset_type", "mrid"]
 INTERVAL_KEYS = [*EVENT_KEYS, "unit_eic", *WINDOWS]
 
@@ -147,7 +165,12 @@ def _version_order(tie: str) -> list[Column]:
 
 def distinct_intervals(df: DataFrame, tie: str = "lowest") -> DataFrame:
     """One row per document interval: highest version, latest document, capacity rule."""
-    return best_row(df, INTERVAL_KEYS, _version_order(tie))
+    return best_row(df, [*_dealt(df), *INTERVAL_KEYS], _version_order(tie))
+
+
+def _dealt(df: DataFrame) -> list[str]:
+    """The column that rows are dealt by; it follows from the id, so groups stay the same."""
+    return [DOC] if DOC in df.columns else []
 
 
 def current_records(
@@ -173,10 +196,8 @@ def current_records(
         # An interval's best row carries the interval's highest version, so exact duplicates
         # shrink first; then intervals below the document's highest version drop out.
         rows = distinct_intervals(df, tie).withColumn("_v", F.coalesce("version", F.lit(-1)))
-        top = df.groupBy(*EVENT_KEYS).agg(F.max(F.coalesce("version", F.lit(-1))).alias("_top"))
-        out = rows.alias("r").join(
-            top.alias("t"), same_keys("r", "t", EVENT_KEYS) & (F.col("r._v") == F.col("t._top")), "left_semi"
-        ).drop("_v")
+        top = F.max("_v").over(Window.partitionBy(*_dealt(df), *EVENT_KEYS))
+        out = rows.withColumn("_top", top).filter(F.col("_v") == F.col("_top")).drop("_v", "_top")
     if status_policy == "latest-status":
         out = out.filter(active_current())
     return out
@@ -294,13 +315,13 @@ def prepare_reports(
     if lookup is not None:
         df = installed_from_lookup(df, lookup)
     df = df.filter(F.col("installed_capacity") > 0)
-    scoped = scope_mrids(materialise(df))
-    # superseded versions are most of the rows; what stays is read by the two reports and by the next choice
-    chosen = materialise(current_records(scoped, status_policy, "latest_version_intervals", tie))
-    bounded = bound_deration(chosen, bounds_policy)
-    clipped = clip_horizon(bounded, start, end)
+    # dealt by document once: scopes, versions and intervals are settled in place, so only the two ends are written
+    scoped = _scoped(by_document(materialise(df)))
+    current = current_records(scoped, status_policy, "latest_version_intervals", tie)
     # every document is down to one version here, so rounding can only create equal intervals
-    clean = materialise(distinct_intervals(inner_hours(clipped), tie))
+    clean = materialise(distinct_intervals(inner_hours(clip_horizon(bound_deration(current, bounds_policy), start, end)), tie).drop(DOC))
+    scoped, chosen = scoped.drop(DOC), current.drop(DOC)
+    bounded = bound_deration(chosen, bounds_policy)
 
     def counted(d: DataFrame, **which: Column) -> DataFrame:
         """All counters of one frame in one pass."""
@@ -308,13 +329,16 @@ def prepare_reports(
         return sums.selectExpr(f"stack({len(which)}, " + ", ".join(f"'{n}', {n}" for n in which) + ") as (counter, value)")
 
     every = F.lit(True)
+    outside = current.withColumn("_outside", _outside())
+    kept = ~F.col("_outside") if bounds_policy == "drop" else every
+    in_study = (F.col("end_out") > ts(start)) & (F.col("start_out") < ts(end))
+    current_rows = outside if bounds_policy == "drop" else bound_deration(outside, bounds_policy)
     counters = (
         counted(typed, rows_before_area_type_filter=every,
                 rows_after_area_type_filter=text.area_type_matches(_named_type(area_type), area_type))
         .unionByName(counted(before, installed_capacity_missing_before_lookup=~F.coalesce(F.col("installed_capacity") > 0, F.lit(False)),
                              document_time_order_corrections=F.col("created_doc") > F.col("update_time")))
-        .unionByName(counted(bounds_report(chosen, bounds_policy), ts_bounds_adjusted_rows=every))
-        .unionByName(counted(horizon_report(bounded, start, end), horizon_clip_rows=every))
+        .unionByName(counted(current_rows, ts_bounds_adjusted_rows=F.col("_outside"), horizon_clip_rows=kept & in_study & _moved(start, end)))
         .unionByName(counted(clean, clean_rows=every))
         .unionByName(multi_interval_counts(clean).selectExpr(
             "stack(2, 'multi_interval_mrids', multi_interval_mrids, 'multi_interval_rows', multi_interval_rows)"

@@ -2,14 +2,15 @@
 
 Every input of capacity, state and attribution is constant inside a segment, so one row
 stands for many hours; hours are generated only at output. The bounds of a unit-month are a
-set of at most 745 whole hours, built map-side; each report then meets the bounds of the months
-it touches and gives one narrow row per segment that it covers. Those rows are dealt by
-(unit, segment), so a busy unit spreads over as many tasks as it has segments.
+set of at most 745 whole hours; each report meets the bounds of the months
+it touches and gives one narrow row per segment that it covers. Reports are dealt by (unit, month),
+and the rows made of them, many times as many, are not dealt again: a busy unit spreads over
+as many tasks as it has months.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.times import one_hour, period_unit, ts, whole_hours
 from .bridging import UNIT
@@ -37,17 +38,38 @@ def cut(df: DataFrame, start: str, end: str, keep: list[str]) -> DataFrame:
 WINDOWS = (("start_out", "end_out"), ("start_derate", "end_derate"))
 
 
+def _pieces(work: DataFrame, start: str, end: str, keep: list[str]) -> DataFrame:
+    """Reports dealt by unit and by the months they touch: the stretch ``ws``, ``we`` of both windows
+    and the bounds ``_b0`` to ``_b3`` of each inside the month. One row more a month, without
+    report (``_none``), has the month's own bounds, where it is inside [start, end)."""
+    windows = [c for w in WINDOWS for c in w]
+    s, e = F.least(*[s for s, _ in WINDOWS]), F.greatest(*[e for _, e in WINDOWS])
+    own = cut(work.withColumns({"_s0": s, "_e0": e}), "_s0", "_e0", [UNIT, *dict.fromkeys([*keep, *windows])]).drop("ws", "we")
+    months = work.select(UNIT).distinct().select(UNIT, F.explode(chunk_starts(ts(start), ts(end))).alias(CHUNK))
+    first, last = F.date_trunc("month", ts(start)), F.date_trunc("month", ts(end) - F.expr("INTERVAL 1 MICROSECOND"))
+    beyond = (F.col(CHUNK) < first) | (F.col(CHUNK) > last)
+    none = months.unionByName(own.filter(beyond).select(UNIT, CHUNK).distinct()).withColumn("_none", F.lit(True))
+    d = own.withColumn("_none", F.lit(False)).unionByName(none, allowMissingColumns=True).repartition(UNIT, CHUNK)
+    # what follows from times and month is not dealt
+    month_end = F.add_months(CHUNK, 1).cast("timestamp")
+    study = F.col("_none") & ~beyond
+    places = {"ws": F.when(study, F.greatest(ts(start), CHUNK)).when(~F.col("_none"), F.greatest(s, CHUNK)),
+              "we": F.when(study, F.least(ts(end), month_end)).when(~F.col("_none"), F.least(e, month_end))}
+    for k, (a, b) in enumerate(WINDOWS):
+        here = (F.col(b) > F.col(a)) & (F.col(a) < month_end) & (F.col(b) > F.col(CHUNK))
+        places |= {f"_b{2 * k}": F.when(here, F.greatest(a, CHUNK)), f"_b{2 * k + 1}": F.when(here, F.least(F.col(b), month_end))}
+    for k, c in ((0, "ws"), (1, "we")):
+        places[f"_b{k}"] = F.when(F.col("_none"), places[c]).otherwise(places[f"_b{k}"])
+    return d.select(UNIT, CHUNK, *keep, "_none", *[c.alias(n) for n, c in places.items()])
+
+
 def bounds(work: DataFrame, start: str, end: str) -> DataFrame:
     """Per unit and month the sorted distinct bounds of its reports' windows and of the month.
 
     Bounds are whole hours, so a row holds at most 745 of them however many reports there are.
     """
-    window = F.explode(F.array(*[F.struct(F.col(s).alias("s"), F.col(e).alias("e")) for s, e in WINDOWS])).alias("w")
-    pieces = cut(work.select(UNIT, window).select(UNIT, "w.*"), "s", "e", [UNIT])
-    months = cut(work.select(UNIT).distinct().select(UNIT, ts(start).alias("s"), ts(end).alias("e")), "s", "e", [UNIT])
-    each = F.explode(F.array("ws", "we")).alias("b")
-    points = pieces.select(UNIT, CHUNK, each).unionByName(months.select(UNIT, CHUNK, each))
-    return points.groupBy(UNIT, CHUNK).agg(F.array_sort(F.collect_set("b")).alias("bounds"))
+    each = _pieces(work, start, end, []).select(UNIT, CHUNK, F.explode(F.array("_b0", "_b1", "_b2", "_b3")).alias("b"))
+    return each.groupBy(UNIT, CHUNK).agg(F.array_sort(F.collect_set("b")).alias("bounds"))
 
 
 def _between(frame: DataFrame, keep: list[str], first: Column, last: Column) -> DataFrame:
@@ -57,27 +79,26 @@ def _between(frame: DataFrame, keep: list[str], first: Column, last: Column) ->
     return rows.select(*keep, F.get("bounds", F.col("_i") - 1).alias("seg_start"), F.get("bounds", F.col("_i")).alias("seg_end"))
 
 
-def covered(work: DataFrame, start: str, end: str, keep: list[str], marks: DataFrame | None = None) -> DataFrame:
+def covered(work: DataFrame, start: str, end: str, keep: list[str]) -> DataFrame:
     """Segments tiling [start, end) per unit with the reports that cover them.
 
     One row per segment and report, with columns ``keep`` of ``work`` and flags ``in_c`` (its
     outage window covers the segment) and ``in_a`` (its deration window does), and one row per
-    segment with neither, which keeps segments without any report. ``marks``: ``bounds`` of
-    these reports, where known.
+    segment with neither, which keeps segments without any report. Reports are dealt by (unit,
+    month) once: they meet the bounds there, and the rows made of them stay in their task.
     """
-    marks = bounds(work, start, end) if marks is None else marks
-    s, e = F.least(*[s for s, _ in WINDOWS]), F.greatest(*[e for _, e in WINDOWS])
-    pieces = cut(work.withColumns({"_s0": s, "_e0": e}), "_s0", "_e0", [UNIT, *keep])
-    met = pieces.join(marks, [UNIT, CHUNK])
+    month = Window.partitionBy(UNIT, CHUNK)
+    sets = [F.collect_set(f"_b{k}").over(month).alias(f"_s{k}") for k in range(4)]
+    met = _pieces(work, start, end, keep).select(UNIT, CHUNK, *keep, "ws", "we", "_none", *sets)
+    met = met.withColumn("bounds", F.array_sort(F.array_distinct(F.concat("_s0", "_s1", "_s2", "_s3")))).drop("_s0", "_s1", "_s2", "_s3")
     # an empty window leaves no bounds, so its end of the stretch is found by comparison
     at = lambda c: F.array_position("bounds", F.col(c)).cast("int")
-    first = F.when(at("ws") > 0, at("ws")).otherwise(F.size(F.filter("bounds", lambda b: b < F.col("ws"))) + 1)
-    last = F.when(at("we") > 0, at("we")).otherwise(F.size(F.filter("bounds", lambda b: b <= F.col("we"))))
-    rows = _between(met, [UNIT, CHUNK, *keep], first, last)
+    first = F.when(F.col("_none"), 1).when(at("ws") > 0, at("ws")).otherwise(F.size(F.filter("bounds", lambda b: b < F.col("ws"))) + 1)
+    last = F.when(F.col("_none"), F.size("bounds")).when(at("we") > 0, at("we")).otherwise(F.size(F.filter("bounds", lambda b: b <= F.col("we"))))
+    rows = _between(met, [UNIT, CHUNK, *keep, "_none"], first, last)
     holds = lambda s, e: F.coalesce((F.col(s) <= F.col("seg_start")) & (F.col(e) >= F.col("seg_end")), F.lit(False))
-    rows = rows.withColumn("in_c", holds(*WINDOWS[0])).withColumn("in_a", holds(*WINDOWS[1])).filter(F.col("in_c") | F.col("in_a"))
-    none = _between(marks, [UNIT, CHUNK], F.lit(1), F.size("bounds")).withColumns({"in_c": F.lit(False), "in_a": F.lit(False)})
-    return rows.unionByName(none, allowMissingColumns=True)
+    rows = rows.withColumn("in_c", holds(*WINDOWS[0])).withColumn("in_a", holds(*WINDOWS[1]))
+    return rows.filter(F.col("in_c") | F.col("in_a") | F.col("_none")).drop("_none")
 
 
 def split_at_period(df: DataFrame, period: str, start: str = "seg_start", end: str = "seg_end") -> DataFrame:

@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import capacity as cap, reports as rep, validation as val
-from ..operators.panel import PanelOptions, build_segments
+from ..operators.panel import RULE_COLUMNS, PanelOptions, build_segments
 from ..operators.tallies import tally
-from ..session import materialise
+from ..session import settled
 
 # Bounds that hold every report of the given tables.
 START, END = "1995-01-01 00:00:00", "2002-01-01 00:00:00"
@@ -115,7 +115,7 @@ _built: dict = {}
 def _once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _built:
-        _built[key] = materialise(make())
+        _built[key] = settled(make)
     return _built[key]
 
 
@@ -132,31 +132,58 @@ def lookup(spark, sf_dir):
         F.col("unit_installed_capacity").alias("mw"))
 
 
+def _prepare(spark, sf_dir, iv):
+    return rep.prepare_reports(reports(spark, sf_dir), start=START, end=END, lookup=iv, check_areas=False)
+
+
 def prepared(spark, sf_dir):
+    """Cleaned reports with what was found on the way."""
     key = (spark.sparkContext.applicationId, sf_dir, "prepared")
     if key not in _built:
-        _built[key] = rep.prepare_reports(
-            reports(spark, sf_dir), start=START, end=END, lookup=lookup(spark, sf_dir), check_areas=False)
+        _built[key] = _prepare(spark, sf_dir, lookup(spark, sf_dir))
     return _built[key]
 
 
 def clean(spark, sf_dir):
-    return prepared(spark, sf_dir).clean
+    """Only the cleaned reports: what they were chosen from goes."""
+    iv = lookup(spark, sf_dir)
+    return _once(spark, sf_dir, "clean", lambda: _prepare(spark, sf_dir, iv).clean)
 
 
 def segments(spark, sf_dir):
-    return _once(spark, sf_dir, "segments", lambda: build_segments(clean(spark, sf_dir), START, END, OPTIONS))
+    """The labelled panel with all its columns."""
+    r = clean(spark, sf_dir)
+    return _once(spark, sf_dir, "segments", lambda: build_segments(r, START, END, OPTIONS))
+
+
+# What tallies and comparisons read; without the id lists Spark builds no lists of reports.
+PANEL = ["unit_id", "country", "area", "area_code", "asset_type", "plant_type_code", "plant_type", "eic_code", "unit_name", "seg_start", "seg_end",
+         "installed_capacity", "avail_capacity", "state", "outage_type", "outage_reason", *RULE_COLUMNS]
+
+
+# What runs of one outage and the search for candidates read besides.
+LABELLED = ["outage_id", "dominant_outage_type", "dominant_outage_reason", "type_effective"]
+
+
+def panel(spark, sf_dir, more=()):
+    """The panel's capacities and labels, and columns ``more``."""
+    r = clean(spark, sf_dir)
+    return _once(spark, sf_dir, "|".join(["panel", *more]), lambda: build_segments(r, START, END, OPTIONS).select(*PANEL, *more))
+
+
+def labelled(spark, sf_dir):
+    return panel(spark, sf_dir, tuple(LABELLED))
 
 
 def tallies(spark, sf_dir):
     tables(spark, sf_dir)
-    return tally(segments(spark, sf_dir))
+    return tally(panel(spark, sf_dir))
 
 
 def gen(spark, sf_dir):
     return _once(spark, sf_dir, "gen", lambda: generation(spark, sf_dir))
 
 
-def compared(spark, sf_dir):
+def compared(spark, sf_dir, of=labelled):
     """Restricted panel intervals with the capacities used for comparison."""
-    return val.restricted(val.compared_capacity(segments(spark, sf_dir)))
+    return val.restricted(val.compared_capacity(of(spark, sf_dir)))

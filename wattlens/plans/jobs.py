@@ -11,7 +11,7 @@ from ..operators import (capacity as cap, compare, diagnose as dg, generation as
 from ..operators.panel import PanelOptions, build_panel, build_segments, outage_sums
 from ..operators.reports import Prepared, prepare_reports, scope_mrids
 from ..operators.segments import from_hours, to_hours
-from ..session import materialise
+from ..session import materialise, settled
 
 __all__ = ["Prepared", "prepare_reports", "panel_job", "statistics", "StatisticsOptions", "availability_vs_generation", "inverse_availability",
            "diagnose", "compare_panels", "kpi_corridors", "integrate_registers", "describe_register", "site_aggregates", "compare_sources", "build_panel"]
@@ -25,7 +25,7 @@ site_aggregates = registers.site_aggregates
 
 def panel_job(clean: DataFrame, start: str, end: str, opts: PanelOptions = PanelOptions()) -> dict[str, DataFrame]:
     """Interval panel, hourly panel and area sums from cleaned reports."""
-    segs = materialise(build_segments(clean, start, end, opts))
+    segs = settled(lambda: build_segments(clean, start, end, opts))
     return {"segments": segs, "panel": to_hours(segs), "outage_sums": outage_sums(segs)}
 
 
