@@ -8,7 +8,7 @@ from ..functions.maths import floor0, num, nz, ratio, weighted_mean
 from .panel import outage_parts
 from .quantiles import quantiles, with_quantiles
 from .rows import same_keys
-from .runs import END, START, hours_col
+from .runs import END, START, hours_col, merge_runs
 from .timeline import interval_sums
 
 KEYS = ["country", "plant_type_code", "month"]
@@ -73,6 +73,11 @@ def compare_sides(old: DataFrame, new: DataFrame, keys: list[str], metrics: list
     return d
 
 
+def _as_runs(df: DataFrame, start: str, end: str, keys: list[str], labels: list[str]) -> DataFrame:
+    d = df.withColumnsRenamed({start: START, end: END}).withColumn("_m", F.date_trunc("month", START))
+    return merge_runs(d, [*keys, "_m"], labels).drop("_m").withColumnsRenamed({START: start, END: end})
+
+
 def label_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Outage energy whose type or reason label differs between two interval panels."""
     from .overlap import overlap_join
@@ -81,7 +86,10 @@ def label_changes(old: DataFrame, new: DataFrame) -> DataFrame:
                         F.lower(F.coalesce("outage_type", F.lit(""))).alias("t0"), F.lower(F.coalesce("outage_reason", F.lit(""))).alias("r0")).filter("outage_mwh > 0")
     b = new.select("eic_code", F.col(START).alias("b0"), F.col(END).alias("b1"),
                    F.lower(F.coalesce("outage_type", F.lit(""))).alias("t1"), F.lower(F.coalesce("outage_reason", F.lit(""))).alias("r1"))
-    j = overlap_join(a, b, ["eic_code"], ("a0", "a1"), ("b0", "b1"))
+    # touching intervals of equal labels that begin in one month count as one
+    a = _as_runs(a, "a0", "a1", ["eic_code"], ["country", "plant_type_code", "outage_mwh", "t0", "r0"])
+    b = _as_runs(b, "b0", "b1", ["eic_code"], ["t1", "r1"])
+    j = overlap_join(a, b, ["eic_code"], ("a0", "a1"), ("b0", "b1"), looked_up=True)
     e = F.col("outage_mwh") * (F.unix_seconds(F.least("a1", "b1")) - F.unix_seconds(F.greatest("a0", "b0"))) / 3600.0
     dt, dr = F.col("t0") != F.col("t1"), F.col("r0") != F.col("r1")
     return j.withColumn("e", e).withColumn("month", F.date_format(F.greatest("a0", "b0"), "yyyy-MM")).groupBy(*KEYS).agg(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import arrays, text
@@ -62,6 +64,12 @@ def score_candidates(segments: DataFrame, raw: DataFrame, window_hours: float =
         F.col("version").alias("candidate_version"), F.col("outage_type").alias("candidate_outage_type"),
         F.col("reason").alias("candidate_reason"), F.col("created_doc").alias("candidate_created_doc_utc"),
         F.col("installed_capacity").alias("c_inst"), F.col("avail_capacity").alias("c_av"))
+    # reports outside the span of all segments, or of their unit's, meet none
+    slack = F.expr(f"INTERVAL {math.ceil(window_hours * 3600) + 1} SECOND")
+    first, last = (F.min("segment_start_utc") - slack).alias("_a"), (F.max("segment_end_utc") + slack).alias("_b")
+    span = seg.agg(F.struct(first, last)).scalar()
+    r = r.filter((F.col("c_start") < span["_b"]) & (F.col("c_end") > span["_a"]))
+    r = r.join(seg.groupBy("eic_code").agg(first, last), "eic_code").filter((F.col("c_start") < F.col("_b")) & (F.col("c_end") > F.col("_a"))).drop("_a", "_b")
     p = overlap_join(seg, r, ["eic_code"], ("segment_start_utc", "segment_end_utc"), ("c_start", "c_end"), window_hours)
     gone = F.col("candidate_status_norm").isin(*CANCELLED)
     inst = F.when(F.col("seg_inst") > 0, F.col("seg_inst")).otherwise(nz("c_inst"))
