@@ -11,6 +11,7 @@ from ..functions.maths import clip, nz, ratio
 from ..functions.times import floor_hour
 from .generation import tolerance
 from .overlap import match_hours, overlap_join
+from .reports import DOC
 from .rows import best_row
 from .runs import END, START
 from .segments import from_hours
@@ -26,12 +27,13 @@ def latest_mrid_rows(raw: DataFrame) -> DataFrame:
     key = F.trim(F.coalesce("mrid", F.lit("")))
     d = raw.withColumn("_k", key).withColumn("_s", status).withColumn("_v", F.coalesce(F.col("version").cast("double"), F.lit(-1.0)))
     d = d.withColumn("_act", (F.col("_s") == "active") & ~text.is_true_like("old_version"))
-    of = Window.partitionBy("_k")
+    dealt = [c for c in (DOC,) if c in raw.columns]  # rows of a document are together already
+    of = Window.partitionBy(*dealt, "_k")
     d = d.withColumn("_top", F.max(F.when(F.col("_act") & (F.col("_k") != ""), F.col("_v"))).over(of))
     j = d.withColumn("_last", F.max(F.when(F.col("_act") & (F.col("_v") == F.col("_top")), F.col("created_doc"))).over(of))
     keep = F.when(F.col("_act"), (F.col("_k") == "") | (F.col("_v") == F.col("_top"))).otherwise(
         F.col("_s").isin(*CANCELLED) & (F.col("created_doc") > F.col("_last")))
-    return j.filter(F.coalesce(keep, F.lit(False))).select("_k", *raw.columns).distinct().drop("_k")
+    return j.filter(F.coalesce(keep, F.lit(False))).select("_k", *raw.columns).distinct().drop("_k", *dealt)
 
 
 def candidates_in_scope(raw: DataFrame, segments: DataFrame, window_hours: float = 0.0) -> DataFrame:
