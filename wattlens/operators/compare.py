@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.maths import floor0, num, nz, ratio, weighted_mean
+from ..session import materialise
 from .panel import outage_parts
 from .quantiles import quantiles, with_quantiles
 from .rows import same_keys
@@ -75,7 +76,7 @@ def compare_sides(old: DataFrame, new: DataFrame, keys: list[str], metrics: list
 
 def _as_runs(df: DataFrame, start: str, end: str, keys: list[str], labels: list[str]) -> DataFrame:
     d = df.withColumnsRenamed({start: START, end: END}).withColumn("_m", F.date_trunc("month", START))
-    return merge_runs(d, [*keys, "_m"], labels).drop("_m").withColumnsRenamed({START: start, END: end})
+    return materialise(merge_runs(d, [*keys, "_m"], labels).drop("_m")).withColumnsRenamed({START: start, END: end})
 
 
 def label_changes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -86,7 +87,7 @@ def label_changes(old: DataFrame, new: DataFrame) -> DataFrame:
                         F.lower(F.coalesce("outage_type", F.lit(""))).alias("t0"), F.lower(F.coalesce("outage_reason", F.lit(""))).alias("r0")).filter("outage_mwh > 0")
     b = new.select("eic_code", F.col(START).alias("b0"), F.col(END).alias("b1"),
                    F.lower(F.coalesce("outage_type", F.lit(""))).alias("t1"), F.lower(F.coalesce("outage_reason", F.lit(""))).alias("r1"))
-    # touching intervals of equal labels that begin in one month count as one
+    # touching intervals of equal labels that begin in one month count as one; each side is read three times
     a = _as_runs(a, "a0", "a1", ["eic_code"], ["country", "plant_type_code", "outage_mwh", "t0", "r0"])
     b = _as_runs(b, "b0", "b1", ["eic_code"], ["t1", "r1"])
     j = overlap_join(a, b, ["eic_code"], ("a0", "a1"), ("b0", "b1"), looked_up=True)
